@@ -75,7 +75,7 @@ def fit(sets: list[np.ndarray], labels: list[int]) -> Model:
     size = 1 << BITS
     counts = [np.ones(size), np.ones(size)]
     for s, label in zip(sets, y, strict=True):
-        counts[label > 0][s] += 1
+        counts[int(label > 0)][s] += 1
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     if len(y) == 0 or (y == y[0]).all():
         return Model(np.zeros(size), ratios, float(y[0]) if len(y) else 0.0)
