@@ -10,10 +10,12 @@ The join is exact. Tokens are 5-word shingles (64-bit hashes), ordered from rare
    in the prefix counts 1; c frequent tokens of one group (a hash of the token picks the group) count c - 1, as any two
    of them are a combination. The prefix extends until this reaches e + 1, so similar sets share a single rare token or
    a pair of frequent ones (pigeonhole; the set whose prefix ends first in the common order decides). Tokens that no
-   other node has come first: a set with e + 1 of them has no partner and ends here.
-4. *Verification.* Each bucket of a signature is checked as stars (all members against one hub), then once between its
-   components, then all pairs that still lie in different components. Pairs inside one component need no check: they
-   could not change it. So no group of near copies is expanded into its pairs, and no component is lost.
+   other node has come first. For partners of its size or more a set needs only the prefix for an overlap of
+   2t / (1 + t) |x|, so the smaller set of a pair is met in that shorter prefix: a set with e + 1 of them has no partner and ends here.
+4. *Verification.* Signatures with the same nodes are one bucket. In a few rounds each node is checked against the hub of
+   one of its buckets that lies in another component; then all pairs of a bucket that still lie in different components
+   are checked. Pairs inside one component need no check: they could not change it. So no group of near copies is
+   expanded into its pairs, and no component is lost.
 
 Sizes: nodes are 64-bit set fingerprints (two different sets meet with odds n^2 / 2^65), tokens 52-bit.
 """
@@ -41,6 +43,8 @@ COMMON_LEAST = 64
 BUCKET_TOKENS = 1 << 21
 #: From this document count on a token is frequent: it is indexed in pairs.
 FREQUENT = 64
+#: Rounds of stars before the pairs between components.
+STAR_ROUNDS = 3
 #: One group of frequent tokens for so many tokens of a set.
 GROUP_TOKENS = 16
 TOKEN_BITS = np.uint64(12)
@@ -48,7 +52,7 @@ TOKEN_BITS = np.uint64(12)
 ROWS = "kind int, doc_id long, n long, node long"
 POSTINGS = "key int, nodes binary, sizes binary, tokens binary, owners binary"
 SHARED = "part int, nodes binary, sizes binary, counts binary, tokens binary, ranks binary"
-INDEX = "sig long, node long, n long, tokens binary"
+INDEX = "sig long, node long, n long, lead boolean, tokens binary"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -139,7 +143,7 @@ def _postings(size: int, buckets: int, parts: int, common):
 
 def _emit(rows: list[tuple], schema: str):
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), schema.split(", "), strict=True)], names)
 
@@ -188,7 +192,7 @@ def _answers(buckets: int, parts: int):
 
 
 def _schema(text: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in text.split(", ")])
 
 
@@ -196,9 +200,13 @@ def _groups(n: int) -> int:
     return 1 << max(0, (n // GROUP_TOKENS).bit_length() - 1)
 
 
-def signatures(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set of n tokens, given those of its tokens that other nodes have too. Empty: it has no partner."""
-    need = n - least_overlap(n, percent) + 1 - (n - len(tokens))
+def signatures(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, smaller: bool = False) -> np.ndarray:
+    """Signatures of a set of n tokens, given those of its tokens that other nodes have too. Empty: it has no partner.
+
+    smaller: those it needs for partners of its size or more, with which it shares 2t / (1 + t) of its tokens.
+    """
+    least = -(-2 * percent * n // (100 + percent)) if smaller else least_overlap(n, percent)
+    need = n - least + 1 - (n - len(tokens))
     if need <= 0 or n < 2:
         return np.zeros(0, np.uint64)
     order = np.lexsort((tokens, ranks))
@@ -242,19 +250,20 @@ def _index(percent: int):
         order = np.lexsort((token, node))
         node, size, token, rank = node[order], size[order], token[order], rank[order]
         bounds = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
-        sigs, owners, counts, full, blobs = [], [], [], [], []
+        sigs, leads, owners, counts, full = [], [], [], [], []
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             n = int(size[i])
             own = signatures(n, token[i:j], rank[i:j], percent)
             if len(own):
                 sigs.append(own)
+                leads.append(np.isin(own, signatures(n, token[i:j], rank[i:j], percent, smaller=True)))
                 owners.append(np.full(len(own), node[i], np.uint64))
                 counts.append(np.full(len(own), n, np.int64))
-                full.append((None, int(node[i : i + 1].view(np.int64)[0]), n, token[i:j].tobytes()))
+                full.append((None, int(node[i : i + 1].view(np.int64)[0]), n, None, token[i:j].tobytes()))
         if not full:
             return pa.Table.from_batches([], schema=_schema(INDEX))
         sig = np.concatenate(sigs)
-        sigs = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(counts)), pa.nulls(len(sig), pa.binary())], schema=_schema(INDEX))
+        sigs = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(leads)), pa.nulls(len(sig), pa.binary())], schema=_schema(INDEX))
         return pa.Table.from_batches([sigs, *_emit(full, INDEX)])
 
     return run
@@ -286,6 +295,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One candidate pair for each node at most: with the hub of one of its buckets that lies in another component.
+
+    The hub of a bucket and band of sizes (sizes within the similarity) is its first node in an order that changes
+    with ``turn``.
+    """
+    order = F.xxhash64("comp", F.lit(turn))
+    banded = placed.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent)))).withColumn("o", order)
+    hubs = banded.groupBy("sig", "band").agg(F.min(F.struct("o", "node", "n", "comp")).alias("hub"))
+    near = banded.join(hubs, ["sig", "band"]).select(F.col("hub.o").alias("o"), F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.comp").alias("ca"), "comp")
+    near = near.filter((F.col("ca") != F.col("comp")) & _near(percent))
+    return near.groupBy("b").agg(F.min(F.struct("o", "a")).alias("first")).select(F.col("first.a").alias("a"), "b")
+
+
 def _near(percent: int):
     """Sizes that allow the similarity."""
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
@@ -315,37 +338,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = postings.groupBy("key").applyInArrow(_answers(buckets, parts), SHARED)
     index = cut(shared.groupBy("part").applyInArrow(_index(percent), INDEX))
     sets = index.filter("sig is null").select("node", "n", "tokens")
-    # A signature of one node makes no pair.
-    sigs = index.filter("sig is not null").select("sig", "node", "n")
-    sigs = cut(sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig"), "sig"))
-
-    # Stars: the hub is the smallest node of the bucket and band of sizes (a band: sizes within the similarity).
-    band = F.floor(F.log("n") / F.lit(math.log(100 / percent)))
-    banded = sigs.withColumn("band", band)
-    hubs = banded.groupBy("sig", "band").agg(F.min_by(F.struct("node", "n"), "node").alias("hub"))
-    stars = banded.join(hubs, ["sig", "band"]).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    stars = stars.filter((F.col("a") != F.col("b")) & _near(percent)).select("a", "b").distinct()
-    links = cut(_links(stars, sets, percent))
-    labels = components(links)
-
-    # Between components: the first of each component against the first of the bucket's first one.
-    placed = sigs.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    placed = cut(placed.join(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "sig"))
-    firsts = placed.groupBy("sig", "comp").agg(F.min_by(F.struct("node", "n"), "node").alias("x"))
-    lead = firsts.groupBy("sig").agg(F.min_by("x", "comp").alias("y"))
-    bridges = firsts.join(lead, "sig").select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"))
-    bridges = bridges.filter((F.col("a") != F.col("b")) & _near(percent)).select("a", "b").distinct()
-    more = cut(_links(bridges, sets, percent))
-    labels = components(links.unionByName(more))
+    sigs = index.filter("sig is not null").select("sig", "node", "n", "lead")
+    # A signature of one node makes no pair, and of those with the very same nodes (a shared passage) one is enough.
+    # It must be a short-prefix signature of one of them: of the smaller set of a similar pair it is.
+    h = F.xxhash64("node", "lead")
+    members = sigs.groupBy("sig").agg(F.count("*").alias("m"), F.sum(h.bitwiseAND(0x7FFFFFFFFFFF)).alias("s"), F.bit_xor(h).alias("x"), F.bool_or("lead").alias("led"))
+    sigs = cut(sigs.join(members.filter("m > 1 and led").groupBy("m", "s", "x").agg(F.min("sig").alias("sig")).select("sig"), "sig"))
+
+    links, labels, active = None, None, sigs.withColumn("comp", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        found = _links(_stars(active, turn, percent), sets, percent)
+        links = cut(found if links is None else links.unionByName(found))
+        labels = components(links)
+        placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "lead", F.coalesce("comp", "node").alias("comp"))
+        active = cut(placed.join(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "sig"))
 
     # Whatever still lies in different components of one bucket.
-    rest = placed.drop("comp").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    left = rest.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b").distinct()
-    last = cut(_links(pairs, sets, percent))
-    labels = components(links.unionByName(more).unionByName(last))
-    for table in (index, sigs, placed):
+    left = active.filter("lead").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    right = active.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "sig").filter((F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b").distinct()
+    labels = components(cut(links.unionByName(_links(pairs, sets, percent))))
+    for table in (index, sigs, active):
         drop_cut(table)
 
     named = rows.join(labels, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
