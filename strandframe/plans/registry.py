@@ -1,4 +1,359 @@
-"""Queries over the driver's tables, one for each operator, and the SQL that says the same."""
+"""Queries over the driver's tables, one for each operator, and the SQL that says the same.
+
+Roles: documents are sequences (letters of the nucleotide alphabet only), lineitem and orders intervals, part records
+with ids and symbols, embeddings points, customer slices upsert batches, nation and region a graph.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.functions import sequences as S
+from strandframe.operators import intervals, kmers, relations
+from strandframe.sources import catalog
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+GUIDE = "ACGATTTCG"
+PATTERN = "ATTGCA"
+PROBE = "THEREANDTHATTHISWASTHEREDANDTHEN"
+LETTERS = "[^ACGTUNRYSWKMBDHVacgtunryswkmbdhv]"
+SEQ = f"upper(regexp_replace(text, '{LETTERS}', '', 'g'))"
+#: Fixed value: complements.
+REVCOMP = "reverse(translate({0}, 'ACGTUNRYSWKMBDHV', 'TGCAANYRSWMKVHDB'))"
+DNA = f"replace({SEQ}, 'U', 'T')"
+FM = f"regexp_replace({DNA}, '[^ACGT]', 'A', 'g')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, seq): spread over tasks before anything is exploded."""
+    n = max(8, spark.sparkContext.defaultParallelism)
+    return t(spark, d, "documents").select("doc_id", "text").repartition(n, "doc_id").select("doc_id", F.upper(F.regexp_replace("text", LETTERS, "")).alias("seq"))
+
+
+def days(c: str) -> F.Column:
+    return F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("long")
+
+
+def shipping(spark: SparkSession, d: str) -> DataFrame:
+    start = days("l_shipdate")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+
+
+SHIP = "(SELECT l_orderkey, l_linenumber, l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+def point_lookup(spark, d):
+    return t(spark, d, "orders").filter("o_orderkey = 42").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name = (SELECT min(p_name) FROM part) OR p_partkey = 7 ORDER BY CASE WHEN p_partkey = 7 THEN 0 ELSE 1 END, p_partkey LIMIT 1")
+def lookup_symbol_or_id_first(spark, d):
+    part = t(spark, d, "part")
+    name = part.agg(F.min("p_name").alias("name"))
+    return part.join(F.broadcast(name), (F.col("p_name") == F.col("name")) | (F.col("p_partkey") == 7)).orderBy(F.when(F.col("p_partkey") == 7, 0).otherwise(1), "p_partkey").limit(1).select("p_partkey", "p_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
+def list_scoped_sorted(spark, d):
+    return t(spark, d, "supplier").filter("s_nationkey = 3").select("s_suppkey", "s_name").orderBy("s_suppkey")
+
+
+@query(f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, s AS \"start\", e AS \"end\" FROM {SHIP} WHERE s < 10100 AND e > 10000")
+def region_overlap(spark, d):
+    return intervals.in_region(shipping(spark, d), 10000, 10100, checked=True).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "start", "end")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT min(ts) FROM events) AND ts < (SELECT min(ts) FROM events) + INTERVAL 1 DAY")
+def point_in_range(spark, d):
+    events = t(spark, d, "events")
+    lo = events.agg(F.min("ts").alias("lo"))
+    return events.join(F.broadcast(lo)).filter((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("lo") + F.expr("INTERVAL 1 DAY"))).select("event_id", "user_id")
+
+
+@query(f"""
+WITH a AS {SHIP}, o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS os, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 60 AS oe FROM orders)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, s AS "start", e AS "end", os AS o_start FROM a JOIN o ON l_orderkey = o_orderkey AND s < oe AND e > os AND s < e""")
+def interval_join(spark, d):
+    start = days("o_orderdate")
+    windows = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), start.alias("o_start"), (start + 60).alias("o_end"))
+    out = intervals.interval_join(shipping(spark, d), windows, ["l_orderkey"], 32, right_on=("o_start", "o_end"))
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "start", "end", "o_start")
+
+
+@query(f"""
+WITH a AS {SHIP} SELECT x.l_suppkey, count(*) AS pairs, CAST(sum(least(x.e, y.e) - greatest(x.s, y.s)) AS BIGINT) AS days
+FROM a x JOIN a y ON x.l_suppkey = y.l_suppkey AND x.s < y.e AND x.e > y.s AND (x.l_orderkey, x.l_linenumber) < (y.l_orderkey, y.l_linenumber) GROUP BY x.l_suppkey""")
+def interval_self_join(spark, d):
+    a = shipping(spark, d)
+    b = a.select("l_suppkey", F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    out = intervals.interval_join(a, b, ["l_suppkey"], 32, right_on=("s2", "e2")).filter(F.struct("l_orderkey", "l_linenumber") < F.struct("ok", "ln"))
+    return out.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(F.least("end", "e2") - F.greatest("start", "s2")).alias("days"))
+
+
+@query(f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS max_end FROM {SHIP}")
+def prefix_max_end(spark, d):
+    return intervals.running_max_end(shipping(spark, d), ["l_suppkey"], ["start", "end", "l_orderkey", "l_linenumber"]).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "max_end")
+
+
+@query("SELECT doc_id, regexp_full_match(upper(text), '[ACGTUNRYSWKMBDHV]*') AS valid FROM documents")
+def seq_validate(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.is_valid(F.col("text")).alias("valid"))
+
+
+@query(f"SELECT doc_id, substring({SEQ}, 191, 120) AS seq FROM documents WHERE length({SEQ}) > 0")
+def seq_slice(spark, d):
+    rows = docs(spark, d).filter(F.length("seq") > 0)
+    chunks = kmers.chunk(rows, "doc_id", size=200)
+    return kmers.fetch(chunks, "doc_id", 190, 310, 200)
+
+
+@query(f"SELECT doc_id, sha256({SEQ}) AS sha FROM documents")
+def seq_full_concat(spark, d):
+    return kmers.fetch_full(kmers.chunk(docs(spark, d), "doc_id", size=500), "doc_id", 500).select("doc_id", F.sha2("seq", 256).alias("sha"))
+
+
+@query(f"SELECT doc_id, CAST(length({SEQ}) AS BIGINT) AS length_bp, sha256({SEQ}) AS sha256 FROM documents")
+def seq_sha256(spark, d):
+    return docs(spark, d).select("doc_id", F.length("seq").cast("long").alias("length_bp"), F.sha2("seq", 256).alias("sha256"))
+
+
+@query()
+def seq_crc32(spark, d):
+    return docs(spark, d).select("doc_id", F.crc32(F.col("seq").cast("binary")).alias("crc"))
+
+
+@query(f"SELECT doc_id, {REVCOMP.format(SEQ)} AS rc FROM documents")
+def revcomp(spark, d):
+    return docs(spark, d).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length({SEQ}) > 0 THEN round(100.0 * length(regexp_replace({SEQ}, '[^GC]', '', 'g')) / length({SEQ}), 6) END AS gc FROM documents")
+def gc_content(spark, d):
+    return docs(spark, d).select("doc_id", F.round(S.gc_percent(F.col("seq")), 6).alias("gc"))
+
+
+KMERS = f"(SELECT doc_id, unnest(range(0, greatest(length(s) - {{0}} + 1, 0))) AS pos, s FROM (SELECT doc_id, {DNA} AS s FROM documents))"
+
+
+@query(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}) GROUP BY kmer")
+def kmer_postings(spark, d):
+    return kmers.postings(docs(spark, d), "doc_id", 6).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+PROBE_KMERS = f"(SELECT i, substring('{PROBE}', i + 1, 6) AS kmer FROM (SELECT unnest(range(0, {len(PROBE) - 5})) AS i))"
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT doc_id, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}), q AS (SELECT DISTINCT kmer FROM {PROBE_KMERS})
+SELECT doc_id, round(count(q.kmer) / (count(*) + (SELECT count(*) FROM q) - count(q.kmer)), 9) AS jaccard FROM k LEFT JOIN q ON k.kmer = q.kmer GROUP BY doc_id""")
+def kmer_jaccard(spark, d):
+    return kmers.jaccard(kmers.postings(docs(spark, d), "doc_id", 6), "doc_id", PROBE, 6).select("doc_id", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(f"SELECT doc_id, count(*) AS shared FROM (SELECT DISTINCT doc_id, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}) k JOIN {PROBE_KMERS} q ON k.kmer = q.kmer GROUP BY doc_id")
+def kmer_shared(spark, d):
+    return kmers.shared_positions(kmers.postings(docs(spark, d), "doc_id", 6), "doc_id", PROBE, 6)
+
+
+@query(f"SELECT doc_id, pos // 100 * 100 AS \"window\", count(*) AS hits FROM (SELECT doc_id, pos, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}) k JOIN {PROBE_KMERS} q ON k.kmer = q.kmer GROUP BY ALL HAVING count(*) >= 2")
+def kmer_window_density(spark, d):
+    return kmers.window_density(kmers.postings(docs(spark, d), "doc_id", 6), "doc_id", PROBE, 6, least=2)
+
+
+FMS = f"(SELECT doc_id, unnest(range(0, greatest(length(s) - {{0}} + 1, 0))) AS pos, s FROM (SELECT doc_id, {FM} AS s FROM documents))"
+
+
+@query(f"SELECT doc_id, pos FROM {FMS.format(len(PATTERN))} WHERE substring(s, pos + 1, {len(PATTERN)}) = '{PATTERN}'")
+def exact_locate(spark, d):
+    return kmers.locate_exact(docs(spark, d), "doc_id", PATTERN)
+
+
+LONG = "ATTGCAAATTAC"
+_HAMMING = " + ".join(f"CAST(substring(k, {i + 1}, 1) <> '{c}' AS BIGINT)" for i, c in enumerate(LONG))
+
+
+@query(f"SELECT doc_id, pos, mismatches FROM (SELECT doc_id, pos, {_HAMMING} AS mismatches FROM (SELECT doc_id, pos, substring(s, pos + 1, {len(LONG)}) AS k FROM {FMS.format(len(LONG))})) WHERE mismatches <= 2")
+def approx_locate(spark, d):
+    return kmers.locate_approximate(docs(spark, d), "doc_id", LONG, 2)
+
+
+_G = len(GUIDE)
+_GUIDE_HAMMING = " + ".join(f"CAST(substring(k, {i + 1}, 1) <> '{c}' AS BIGINT)" for i, c in enumerate(GUIDE))
+_PAM = f"""(SELECT doc_id, strand, CASE WHEN strand = '+' THEN pos + {_G} ELSE n - pos - {_G} END AS pos, substring(k, 1, {_G}) AS protospacer, substring(k, {_G + 1}, 3) AS pam, {_GUIDE_HAMMING} AS mismatches FROM
+(SELECT doc_id, strand, n, pos, substring(s, pos + 1, {_G + 3}) AS k FROM (SELECT doc_id, strand, length(s) AS n, s, unnest(range(0, greatest(length(s) - {_G + 2}, 0))) AS pos FROM
+(SELECT doc_id, '+' AS strand, {DNA} AS s FROM documents UNION ALL SELECT doc_id, '-', replace({REVCOMP.format(DNA)}, 'U', 'T') FROM documents))) WHERE substring(k, {_G + 2}, 2) IN ('GG', 'AG'))"""
+
+
+@query(f"SELECT doc_id, strand, pos, protospacer, pam, mismatches, CASE WHEN pam[2] = 'G' THEN 100.0::DOUBLE ELSE 25.0::DOUBLE END AS score FROM {_PAM} WHERE mismatches <= 5")
+def pam_scan(spark, d):
+    return kmers.pam_sites(docs(spark, d), "doc_id", GUIDE, 5)
+
+
+@query(f"""
+WITH h AS (SELECT mismatches, CASE WHEN pam[2] = 'G' THEN 100.0 ELSE 25.0 END AS score FROM {_PAM} WHERE mismatches <= 5),
+a AS (SELECT count(*) FILTER (mismatches = 0) AS exact, count(*) AS hits, CAST(coalesce(sum(score), 0) - coalesce(max(score) FILTER (mismatches = 0), 0) AS DOUBLE) AS burden FROM h)
+SELECT exact, hits, burden, (SELECT CAST(sum(length({SEQ})) AS BIGINT) FROM documents) AS total_bp, greatest(0.0, least(100.0, 10000.0 / (100.0 + burden))) AS specificity FROM a""")
+def offtarget_report(spark, d):
+    rows = docs(spark, d)
+    return kmers.offtarget_report(kmers.pam_sites(rows, "doc_id", GUIDE, 5), rows.select(F.length("seq").alias("length")))
+
+
+MOTIF = [{"T": 1.5, "C": -0.5}, {"A": 1.5, "G": -1.0}, {"T": 1.5, "A": 0.25}, {"A": 1.5, "T": 0.25}, {"A": 1.0, "T": 0.75}, {"A": 1.5, "C": -2.0}]
+_PWM = " + ".join("CASE substring(k, %d, 1) %s ELSE 0.0 END" % (i + 1, " ".join(f"WHEN '{b}' THEN {x}::DOUBLE" for b, x in c.items())) for i, c in enumerate(MOTIF))
+
+
+@query(f"SELECT doc_id, pos, score FROM (SELECT doc_id, pos, CAST({_PWM} AS DOUBLE) AS score FROM (SELECT doc_id, pos, substring(s, pos + 1, 6) AS k FROM {KMERS.format(6)})) WHERE score >= 5.5")
+def pwm_scan(spark, d):
+    return kmers.pwm_scan(docs(spark, d), "doc_id", MOTIF, 5.5)
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, i AS s, substring(q, i + 1, 200) AS w FROM (SELECT doc_id, q, unnest(range(0, length(q) - 199, 50)) AS i FROM (SELECT doc_id, {DNA} AS q FROM documents) WHERE length(q) >= 200)),
+c AS (SELECT doc_id, s, length(w) - length(replace(w, 'C', '')) AS c, length(w) - length(replace(w, 'G', '')) AS g, (length(w) - length(replace(w, 'CG', ''))) // 2 AS cg FROM w),
+k AS (SELECT doc_id, s, s + 200 AS e FROM c WHERE (c + g) / 200 >= 0.08 AND c * g > 0 AND cg * 200 / (c * g) >= 0.3),
+f AS (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY doc_id ORDER BY s) >= s THEN 0 ELSE 1 END AS f FROM k),
+n AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM f)
+SELECT doc_id, min(s) AS "start", max(e) AS "end", count(*) AS n FROM n GROUP BY doc_id, n.n""")
+def cpg_islands(spark, d):
+    return kmers.cpg_islands(docs(spark, d), "doc_id", gc=0.08, ratio=0.3)
+
+
+@query("SELECT o_orderkey, coalesce(n, 1) AS exon_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def exon_count(spark, d):
+    n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return t(spark, d, "orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(1)).alias("exon_count"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def orphan_antijoin(spark, d):
+    return t(spark, d, "orders").select("o_orderkey").join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, length({SEQ}) AS len, sha256({SEQ}) AS sha FROM documents), g AS (SELECT doc_id, doc_id * 10 AS gs, doc_id * 10 + 200 AS ge, quality FROM labels),
+r AS (SELECT CAST(doc_id AS VARCHAR) AS symbol, gs, ge, len, sha, CASE WHEN len >= ge THEN greatest(gs - 50, 0) WHEN len > 0 AND gs >= len THEN 0 END AS fs, CASE WHEN len >= ge THEN least(ge + 30, len) WHEN len > 0 AND gs >= len THEN len END AS fe, quality FROM g JOIN s USING (doc_id))
+SELECT symbol, fs AS fetch_start, fe AS fetch_end, CASE WHEN len >= ge THEN fs WHEN fe IS NOT NULL THEN gs END AS window_start, CASE WHEN len >= ge THEN fe WHEN fe IS NOT NULL THEN gs + len END AS window_end, quality AS priority, sha AS provenance, coalesce(fe > fs, false) AS valid FROM r""")
+def locus_resolve(spark, d):
+    seqs = docs(spark, d).select(F.lit(9606).alias("tax_id"), F.lit("a").alias("assembly_name"), F.col("doc_id").cast("string").alias("seq_id"), F.length("seq").cast("long").alias("length_bp"), F.sha2("seq", 256).alias("sha256"))
+    labels = t(spark, d, "labels")
+    name = F.col("doc_id").cast("string")
+    genes = labels.select(name.alias("symbol"), F.lit(9606).alias("tax_id"), F.lit("a").alias("assembly_name"), name.alias("chr"), (F.col("doc_id") * 10).alias("start"), (F.col("doc_id") * 10 + 200).alias("end"))
+    targets = labels.select(F.lit(9606).alias("tax_id"), name.alias("symbol"), F.col("quality").alias("priority"))
+    return relations.locus_windows(genes, seqs, targets, 50, 30).drop("tax_id", "assembly_name", "chr")
+
+
+@query("""
+WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
+SELECT spot_id, cell_id, round(d2, 9) AS d2 FROM (SELECT s.vec_id AS spot_id, c.vec_id AS cell_id, (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) AS d2, row_number() OVER (PARTITION BY s.vec_id ORDER BY (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y), c.vec_id) AS r
+FROM p s JOIN p c ON c.label = 0 AND s.label <> 0 AND (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) <= 0.0025) WHERE r = 1""".replace("AS y FROM embeddings", "AS y, label FROM embeddings"))
+def nearest_cell(spark, d):
+    p = t(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
+    out = relations.nearest_cell(p.filter("label <> 0").withColumnRenamed("vec_id", "spot_id"), p.filter("label = 0").withColumnRenamed("vec_id", "cell_id"), 0.05)
+    return out.select("spot_id", "cell_id", F.round("d2", 9).alias("d2"))
+
+
+CUSTOMER = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+
+
+def batches(spark, d):
+    """Existing rows, and new ones that overlap them: other balances, no segment where the key is odd."""
+    c = t(spark, d, "customer").select(*CUSTOMER)
+    n = F.lit(3)
+    old = c.filter(F.pmod("c_custkey", n) < 2)
+    new = c.filter(F.pmod("c_custkey", n) > 0).select("c_custkey", "c_name", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return old, new
+
+
+_BATCHES = """
+WITH o AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 < 2),
+n AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 > 0)
+"""
+
+
+@query(_BATCHES + "SELECT * FROM n UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
+def upsert_replace(spark, d):
+    return catalog.upsert(*batches(spark, d), ["c_custkey"])
+
+
+@query(_BATCHES + "SELECT c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM o FULL JOIN n USING (c_custkey)")
+def upsert_coalesce(spark, d):
+    return catalog.upsert(*batches(spark, d), ["c_custkey"], fill=True)
+
+
+@query(_BATCHES + "SELECT c_custkey, coalesce(o.c_name, n.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, CASE WHEN o.c_name IS NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment FROM o FULL JOIN n USING (c_custkey)")
+def upsert_partial(spark, d):
+    return catalog.upsert(*batches(spark, d), ["c_custkey"], ["c_acctbal"])
+
+
+@query(_BATCHES + "SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)")
+def seed_ignore(spark, d):
+    return catalog.insert_missing(*batches(spark, d), ["c_custkey"])
+
+
+@query("""
+WITH v AS (SELECT p_partkey, substring(p_brand, 1, CAST(p_size % 3 + 1 AS BIGINT)) AS ref, substring(p_type, 1, CAST(p_partkey % 3 + 1 AS BIGINT)) AS alt, CASE WHEN p_size % 2 = 0 THEN '.' ELSE p_name END AS given FROM part)
+SELECT p_partkey, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'SNP' WHEN length(ref) < length(alt) THEN 'Insertion' WHEN length(ref) > length(alt) THEN 'Deletion' ELSE 'MNP' END AS kind,
+CASE WHEN given = '.' THEN 'chr1:' || p_partkey || ':' || ref || '>' || alt ELSE given END AS variant_id FROM v""")
+def variant_class(spark, d):
+    v = t(spark, d, "part").select("p_partkey", F.substring(F.col("p_brand"), F.lit(1), (F.col("p_size") % 3 + 1).cast("int")).alias("ref"), F.substring(F.col("p_type"), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int")).alias("alt"), F.when(F.col("p_size") % 2 == 0, ".").otherwise(F.col("p_name")).alias("given"))
+    return v.select("p_partkey", S.variant_class(F.col("ref"), F.col("alt")).alias("kind"), S.variant_id(F.col("given"), F.lit("chr1"), F.col("p_partkey"), F.col("ref"), F.col("alt")).alias("variant_id"))
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS name, CAST(user_id AS VARCHAR) AS note FROM events")
+def attr_parse(spark, d):
+    text = F.concat(F.lit("ID="), F.col("event_id").cast("string"), F.lit("; Name="), F.lit("x"), F.lit(";name=\""), F.col("event_type"), F.lit("\"; Note \""), F.col("user_id").cast("string"), F.lit("\";"))
+    a = t(spark, d, "events").select("event_id", S.attributes(text).alias("a"))
+    return a.select("event_id", F.col("a")["id"].alias("id"), F.col("a")["name"].alias("name"), F.col("a")["note"].alias("note"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT r_name AS source, n_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5),
+w(node, depth) AS (SELECT source, 0 FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node)
+SELECT node, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY node""")
+def grn_topo_order(spark, d):
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    a = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("source"), F.col("n_name").alias("target"))
+    b = n.alias("a").join(n.alias("b"), F.col("b.n_nationkey") == F.col("a.n_nationkey") + 5).select(F.col("a.n_name").alias("source"), F.col("b.n_name").alias("target"))
+    return relations.topological_depth(a.unionByName(b))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))), 4) AS total FROM embeddings")
+def vector_codec(spark, d):
+    v = t(spark, d, "embeddings").select("vec_id", S.decode_vector(S.encode_vector(F.col("embedding"))).alias("v"))
+    return v.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'chrX' WHEN 1 THEN 'chrM' WHEN 2 THEN 'y' WHEN 3 THEN 'chr' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS name FROM customer)
+SELECT c_custkey, c_custkey % 5 IN (3, 4) AS autosome, c_custkey % 5 IN (0, 2) AS sex, c_custkey % 5 = 1 AS mito FROM c""")
+def chrom_class(spark, d):
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, "chrX").when(k == 1, "chrM").when(k == 2, "y").when(k == 3, F.concat(F.lit("chr"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
+    c = t(spark, d, "customer").select("c_custkey", name.alias("name"))
+    return c.select("c_custkey", S.is_autosome(F.col("name")).alias("autosome"), S.is_sex_chromosome(F.col("name")).alias("sex"), S.is_mitochondrial(F.col("name")).alias("mito"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, 1.0 + p_size / 10 AS cl, 20.0 + p_size AS v, 1.5 AS ka FROM part), h AS (SELECT *, unnest(range(0, 25)) AS hour FROM c)
+SELECT p_partkey AS compound_id, hour, round(CASE WHEN hour >= 0 THEN 100 * ka / (v * (ka - cl / v)) * (exp(-cl / v * hour) - exp(-ka * hour)) ELSE 0 END + CASE WHEN hour >= 12 THEN 100 * ka / (v * (ka - cl / v)) * (exp(-cl / v * (hour - 12)) - exp(-ka * (hour - 12))) ELSE 0 END, 6) AS concentration FROM h""")
+def dosing(spark, d):
+    c = t(spark, d, "part").select(F.col("p_partkey").alias("compound_id"), (1.0 + F.col("p_size") / 10).alias("clearance"), (20.0 + F.col("p_size")).alias("volume"), F.lit(1.5).alias("absorption"), F.lit(2.0).alias("ec50"))
+    return relations.dosing(c, 100.0, 12, 2, 24).select("compound_id", F.col("hour").cast("long").alias("hour"), F.round("concentration", 6).alias("concentration"))
