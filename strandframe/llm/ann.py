@@ -223,7 +223,7 @@ def neighbour_graph(nodes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]
         drop_cut(lists)
         drop_cut(graph)
         graph = step
-        if graph.agg(F.sum("changed")).first()[0] < STILL * NEIGHBOURS * count:
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= STILL * NEIGHBOURS * count:
             break
     return graph, _both_ways(graph, key)
 

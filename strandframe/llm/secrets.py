@@ -30,7 +30,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 64
 AROUND = 400
 #: A candidate that adds so many bits a character is reported.
-NOVEL_BITS = 3.6
+NOVEL_BITS = 5.5
 #: Fixed value: identifiers that fill the dictionary beside the surrounding text.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key credential credentials authorization "
@@ -69,9 +69,16 @@ def novelty(text: str, start: int, end: int) -> float:
     return 8 * (_size(lead + own, primer) - _size(lead, primer)) / len(own)
 
 
+def _kind(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
 def _mixed(word: str) -> bool:
-    """Digits and letters both: what has only one of them is a word or a number."""
-    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+    """Digits and letters, changing between digits, small and capital letters once in six characters or more: compound
+    names that the dictionaries lack change at their parts only."""
+    kinds = [k for k in map(_kind, word) if k < 3]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    return 0 in kinds and (1 in kinds or 2 in kinds) and 6 * changes >= len(word)
 
 
 def novel_spans(text: str) -> list[tuple[int, int, int]]:
