@@ -12,8 +12,8 @@ The join is exact. Tokens are 5-word shingles (64-bit hashes), ordered from rare
    a pair of frequent ones (pigeonhole; the set whose prefix ends first in the common order decides). Tokens that no
    other node has come first. For partners of its size or more a set needs only the prefix for an overlap of
    2t / (1 + t) |x|, so the smaller set of a pair is met in that shorter prefix: a set with e + 1 of them has no partner and ends here.
-4. *Verification.* Signatures with the same nodes are one bucket. In a few rounds each node is checked against the hub of
-   one of its buckets that lies in another component; then all pairs of a bucket that still lie in different components
+4. *Verification.* Signatures with the same nodes are one bucket. In a few rounds each node is checked against hubs of its
+   buckets that lie in other components, central ones first; then all pairs of a bucket that still lie in different components
    are checked. Pairs inside one component need no check: they could not change it. So no group of near copies is
    expanded into its pairs, and no component is lost.
 
@@ -45,6 +45,8 @@ BUCKET_TOKENS = 1 << 21
 FREQUENT = 64
 #: Rounds of stars before the pairs between components.
 STAR_ROUNDS = 3
+#: A node meets one hub for each of these in a round: how much chance, against its core, decides on the hub.
+HUB_CHANCE = (0, 4, 16, 64)
 #: One group of frequent tokens for so many tokens of a set.
 GROUP_TOKENS = 16
 TOKEN_BITS = np.uint64(12)
@@ -52,7 +54,7 @@ TOKEN_BITS = np.uint64(12)
 ROWS = "kind int, doc_id long, n long, node long"
 POSTINGS = "key int, nodes binary, sizes binary, tokens binary, owners binary"
 SHARED = "part int, nodes binary, sizes binary, counts binary, tokens binary, ranks binary"
-INDEX = "sig long, node long, n long, lead boolean, tokens binary"
+INDEX = "sig long, node long, n long, core int, lead boolean, tokens binary"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -250,7 +252,7 @@ def _index(percent: int):
         order = np.lexsort((token, node))
         node, size, token, rank = node[order], size[order], token[order], rank[order]
         bounds = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
-        sigs, leads, owners, counts, full = [], [], [], [], []
+        sigs, leads, owners, counts, cores, full = [], [], [], [], [], []
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             n = int(size[i])
             own = signatures(n, token[i:j], rank[i:j], percent)
@@ -259,11 +261,12 @@ def _index(percent: int):
                 leads.append(np.isin(own, signatures(n, token[i:j], rank[i:j], percent, smaller=True)))
                 owners.append(np.full(len(own), node[i], np.uint64))
                 counts.append(np.full(len(own), n, np.int64))
-                full.append((None, int(node[i : i + 1].view(np.int64)[0]), n, None, token[i:j].tobytes()))
+                cores.append(np.full(len(own), int(rank[i:j].sum(dtype=np.int64)) // n, np.int32))
+                full.append((None, int(node[i : i + 1].view(np.int64)[0]), n, None, None, token[i:j].tobytes()))
         if not full:
             return pa.Table.from_batches([], schema=_schema(INDEX))
         sig = np.concatenate(sigs)
-        sigs = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(leads)), pa.nulls(len(sig), pa.binary())], schema=_schema(INDEX))
+        sigs = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(cores)), pa.array(np.concatenate(leads)), pa.nulls(len(sig), pa.binary())], schema=_schema(INDEX))
         return pa.Table.from_batches([sigs, *_emit(full, INDEX)])
 
     return run
@@ -296,17 +299,25 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One candidate pair for each node at most: with the hub of one of its buckets that lies in another component.
+    """A few candidate pairs for each node: with hubs of its buckets that lie in other components.
 
-    The hub of a bucket and band of sizes (sizes within the similarity) is its first node in an order that changes
-    with ``turn``.
+    The hubs of a bucket and band of sizes (sizes within the similarity) are its first nodes in orders by core (the
+    mean log frequency of a node's tokens: a copy with few changes of its own is like most others) and more or less
+    chance, which changes with ``turn``. A node keeps the first hub of each order: its pairs are as many as the orders.
     """
-    order = F.xxhash64("comp", F.lit(turn))
-    banded = placed.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent)))).withColumn("o", order)
-    hubs = banded.groupBy("sig", "band").agg(F.min(F.struct("o", "node", "n", "comp")).alias("hub"))
-    near = banded.join(hubs, ["sig", "band"]).select(F.col("hub.o").alias("o"), F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.comp").alias("ca"), "comp")
-    near = near.filter((F.col("ca") != F.col("comp")) & _near(percent))
-    return near.groupBy("b").agg(F.min(F.struct("o", "a")).alias("first")).select(F.col("first.a").alias("a"), "b")
+    banded = placed.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))))
+    chance = [F.pmod(F.xxhash64("node", F.lit(turn), F.lit(j)), F.lit(1 << 20)) / F.lit(1 << 20) for j in range(len(HUB_CHANCE))]
+    orders = [F.lit(float(much)) * x - F.col("core") for much, x in zip(HUB_CHANCE, chance, strict=True)]
+    hubs = banded.groupBy("sig", "band").agg(*[F.min(F.struct(o.alias("o"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias(f"hub{j}") for j, o in enumerate(orders)])
+    near = banded.join(hubs, ["sig", "band"])
+
+    def fits(j: int):
+        small, large = F.least(f"hub{j}.na", "n"), F.greatest(f"hub{j}.na", "n")
+        return (F.col(f"hub{j}.ca") != F.col("comp")) & (small * 100 >= large * percent)
+
+    first = near.groupBy(F.col("node").alias("b")).agg(*[F.min(F.when(fits(j), F.struct(f"hub{j}.o", f"hub{j}.a"))).alias(f"hub{j}") for j in range(len(orders))])
+    hubs_of = F.array_distinct(F.array_compact(F.array(*[F.col(f"hub{j}.a") for j in range(len(orders))])))
+    return first.select("b", F.explode(hubs_of).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near(percent: int):
@@ -338,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = postings.groupBy("key").applyInArrow(_answers(buckets, parts), SHARED)
     index = cut(shared.groupBy("part").applyInArrow(_index(percent), INDEX))
     sets = index.filter("sig is null").select("node", "n", "tokens")
-    sigs = index.filter("sig is not null").select("sig", "node", "n", "lead")
+    sigs = index.filter("sig is not null").select("sig", "node", "n", "core", "lead")
     # A signature of one node makes no pair, and of those with the very same nodes (a shared passage) one is enough.
     # It must be a short-prefix signature of one of them: of the smaller set of a similar pair it is.
     h = F.xxhash64("node", "lead")
@@ -350,7 +361,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = _links(_stars(active, turn, percent), sets, percent)
         links = cut(found if links is None else links.unionByName(found))
         labels = components(links)
-        placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "lead", F.coalesce("comp", "node").alias("comp"))
+        placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "core", "lead", F.coalesce("comp", "node").alias("comp"))
         active = cut(placed.join(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "sig"))
 
     # Whatever still lies in different components of one bucket.
