@@ -14,7 +14,7 @@ The join is exact. Tokens are 5-word shingles (64-bit hashes), ordered from rare
    2t / (1 + t) |x|, so the smaller set of a pair is met in that shorter prefix: a set with e + 1 of them has no partner and ends here.
 4. *Verification.* Signatures with the same nodes are one bucket. In a few rounds each node is checked against hubs of its
    buckets that lie in other components, central ones first; then all pairs of a bucket that still lie in different components
-   are checked. Pairs inside one component need no check: they could not change it. So no group of near copies is
+   are checked, after sketches of their sets have refuted what they can. Pairs inside one component need no check: they could not change it. So no group of near copies is
    expanded into its pairs, and no component is lost.
 
 Sizes: nodes are 64-bit set fingerprints (two different sets meet with odds n^2 / 2^65), tokens 52-bit.
@@ -50,11 +50,13 @@ HUB_CHANCE = (0, 4, 16, 64)
 #: One group of frequent tokens for so many tokens of a set.
 GROUP_TOKENS = 16
 TOKEN_BITS = np.uint64(12)
+#: 64-bit words of the parity sketch of a set.
+SKETCH = 8
 
 ROWS = "kind int, doc_id long, n long, node long"
 POSTINGS = "key int, nodes binary, sizes binary, tokens binary, owners binary"
 SHARED = "part int, nodes binary, sizes binary, counts binary, tokens binary, ranks binary"
-INDEX = "sig long, node long, n long, core int, lead boolean, tokens binary"
+INDEX = "sig long, node long, n long, core int, lead boolean, tokens binary, shared int, sketch array<long>"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -145,7 +147,7 @@ def _postings(size: int, buckets: int, parts: int, common):
 
 def _emit(rows: list[tuple], schema: str):
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), schema.split(", "), strict=True)], names)
 
@@ -194,7 +196,7 @@ def _answers(buckets: int, parts: int):
 
 
 def _schema(text: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in text.split(", ")])
 
 
@@ -237,6 +239,19 @@ def signatures(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, smal
     return words.distinct(np.concatenate(out))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Of each of 64 * SKETCH classes of tokens whether the set has an odd number. Two sketches differ in as many bits
+    as the sets differ in tokens at most."""
+    odd = np.bincount((words.mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _fits(percent: int):
+    """Whether the sketches of a and b allow the similarity: overlap <= (tokens of both - differing bits) / 2."""
+    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH)), F.lit(0))
+    return (F.col("ma") + F.col("mb") - differ) * (100 + percent) >= (F.col("na") + F.col("nb")) * (2 * percent)
+
+
 def _index(percent: int):
     """Of one part of the nodes: the shared tokens of each that may have a partner, and its signatures."""
 
@@ -262,11 +277,11 @@ def _index(percent: int):
                 owners.append(np.full(len(own), node[i], np.uint64))
                 counts.append(np.full(len(own), n, np.int64))
                 cores.append(np.full(len(own), int(rank[i:j].sum(dtype=np.int64)) // n, np.int32))
-                full.append((None, int(node[i : i + 1].view(np.int64)[0]), n, None, None, token[i:j].tobytes()))
+                full.append((None, int(node[i : i + 1].view(np.int64)[0]), n, None, None, token[i:j].tobytes(), j - i, sketch(token[i:j])))
         if not full:
             return pa.Table.from_batches([], schema=_schema(INDEX))
         sig = np.concatenate(sigs)
-        sigs = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(cores)), pa.array(np.concatenate(leads)), pa.nulls(len(sig), pa.binary())], schema=_schema(INDEX))
+        sigs = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(cores)), pa.array(np.concatenate(leads)), pa.nulls(len(sig), pa.binary()), pa.nulls(len(sig), pa.int32()), pa.nulls(len(sig), pa.list_(pa.int64()))], schema=_schema(INDEX))
         return pa.Table.from_batches([sigs, *_emit(full, INDEX)])
 
     return run
@@ -365,9 +380,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         active = cut(placed.join(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "sig"))
 
     # Whatever still lies in different components of one bucket.
-    left = active.filter("lead").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = active.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "sig").filter((F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & _near(percent)).select("a", "b").distinct()
+    active_sets = active.join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
+    left = active_sets.filter("lead").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("ma"), F.col("sketch").alias("sa"))
+    right = active_sets.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("mb"), F.col("sketch").alias("sb"))
+    apart = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & _near(percent)
+    pairs = left.join(right, (left["sig"] == right["sig"]) & apart & _fits(percent)).select("a", "b").distinct()
     labels = components(cut(links.unionByName(_links(pairs, sets, percent))))
     for table in (index, sigs, active):
         drop_cut(table)

@@ -270,3 +270,12 @@ def test_nearest(spark):
     assert set(got) == set(range(0, 400, 20)) and found / 20 >= 0.9
     assert sorted(r.vec_id for r in ann.nearest(table.filter("vec_id < 3")).collect()) == [1, 2]
     assert ann.nearest(table.limit(0)).count() == 0
+
+
+def test_sketch_bounds_overlap():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 1), (40, 60, 30), (146, 146, 125), (3000, 2500, 2400), (7, 0, 0)):
+        tokens = rng.integers(0, 1 << 52, n + m - both, dtype=np.uint64)
+        a, b = tokens[:n], tokens[n - both :]
+        differ = sum(int(x).bit_count() for x in (ngram_jaccard.sketch(a) ^ ngram_jaccard.sketch(b)).view(np.uint64))
+        assert both <= (n + m - differ) / 2
