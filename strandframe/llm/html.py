@@ -139,29 +139,32 @@ def _hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-PARSED = "page_id long, url string, host string, path string, body array<string>, outside array<long>, places array<int>"
+FRAMES = "k1 long, k2 long, host string, path string, outside array<long>, sizes array<int>"
 
 
-def _parse(batches):
+def _frames(batches):
+    """Of each page its host, path, the hashes of its lines outside the main element and, where they can be deleted, their lengths (else -1)."""
     for batch in batches:
-        ids, urls = batch.column(0), batch.column(1)
-        hosts, paths, bodies, outsides, places = [], [], [], [], []
-        for url, page in zip(urls.to_pylist(), batch.column(2).to_pylist(), strict=True):
-            host, path = split_url(url or "")
-            found, has_main = lines(page or "")
-            body, outside, place = [], [], []
-            for line, main, frame in found:
-                if main:
-                    if not frame:
-                        body.append(line)
-                    continue
-                outside.append(_hash(line))
-                place.append(-1 if has_main or frame else len(body))
-                if not has_main and not frame:
-                    body.append(line)
-            for column, x in zip((hosts, paths, bodies, outsides, places), (host, path, body, outside, place), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([ids, urls, pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(bodies, pa.list_(pa.string())), pa.array(outsides, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], [x.split()[0] for x in PARSED.split(", ")])
+        hosts, paths, outsides, sizes = [], [], [], []
+        for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            host, path = split_url(url)
+            found, has_main = lines(page)
+            rest = [(line, frame) for line, main, frame in found if not main]
+            hosts.append(host)
+            paths.append(path)
+            outsides.append([_hash(line) for line, _ in rest])
+            sizes.append([-1 if has_main or frame else len(line) for line, frame in rest])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(outsides, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], [x.split()[0] for x in FRAMES.split(", ")])
+
+
+def _bodies(batches):
+    """Of each page the lines of its main text, before the alignment's deletions."""
+    for batch in batches:
+        bodies = []
+        for page in batch.column(4).to_pylist():
+            found, has_main = lines(page)
+            bodies.append([line for line, main, frame in found if not frame and (main or not has_main)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(bodies, pa.list_(pa.string()))], ["k1", "k2", "page_id", "url", "body"])
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -172,6 +175,9 @@ def split_url(url: str) -> tuple[str, str]:
     return host, "/" + re.sub(r"(/|\.html?|/index\.html?)$", "", path)
 
 
+PAGE = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
+
+
 def _nearest(batches):
     """Of the paths before and after, in order, that of the same host which shares more of its start."""
     for batch in batches:
@@ -185,53 +191,71 @@ def _nearest(batches):
                     if k > most:
                         best, most = x["rep"], k
             out.append(best)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["host", "path", "near"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, PAGE)], ["host", "path", "near"])
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(host, path, near): for each path of a host the row of its nearest other path. Range-partitioned: a host with a
-    third of all pages is dealt to many tasks, and the partitions' ends (one row each) are joined over."""
-    paths = pages.groupBy("host", "path").agg(F.min("row").alias("rep"))
+    """(host, path, near): for each path of a host the key of the page with most lines outside the main element of its
+    nearest other path. Range-partitioned: a host with a third of all pages is dealt to many tasks, and the partitions'
+    ends (one row each) are joined over."""
+    paths = pages.groupBy("host", "path").agg(F.max(F.struct(F.size("outside").alias("n"), "k1", "k2")).alias("most"))
+    paths = paths.select("host", "path", F.struct("most.k1", "most.k2").alias("rep"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(paths.repartitionByRange(parts, "host", "path").withColumn("part", F.spark_partition_id()))
     ranged = ranged.withColumn("own", F.struct("host", "path", "rep"))
     ends = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.min("own").alias("first"), F.max("own").alias("last")).collect())  # a row a partition
     around = [(p, tuple(ends[k - 1][2]) if k else None, tuple(ends[k + 1][1]) if k + 1 < len(ends) else None) for k, (p, _, _) in enumerate(ends)]
-    one = "struct<host:string,path:string,rep:bigint>"
+    one = "struct<host:string,path:string,rep:struct<k1:bigint,k2:bigint>>"
     around = pages.sparkSession.createDataFrame(around, f"part int, last {one}, next {one}")
     w = Window.partitionBy("part").orderBy("host", "path")
     joined = ranged.join(F.broadcast(around), "part")
     joined = joined.select("host", "path", F.coalesce(F.lag("own").over(w), "last").alias("before"), F.coalesce(F.lead("own").over(w), "next").alias("after"))
-    return joined.mapInArrow(_nearest, "host string, path string, near long")
+    return joined.mapInArrow(_nearest, "host string, path string, near struct<k1:bigint,k2:bigint>")
 
 
-def _subtract(batches):
+def _aligned(batches):
+    """Of each page, which lines of its body the alignment with its neighbour deletes, and how many lines they share."""
     for batch in batches:
-        ids, urls = batch.column(0), batch.column(1)
-        texts, frames = [], []
-        for body, outside, place, other in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-            gone = shared(outside, other) if other else set()
-            drop = {place[k] for k in gone if place[k] >= 0}
-            size = sum(len(x) for x in body)
-            if drop and sum(len(body[k]) for k in drop) >= MIRROR * size:
-                drop = set()
-            texts.append(" ".join(x for k, x in enumerate(body) if k not in drop))
-            frames.append(len(gone))
-        yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(frames, pa.int64())], ["page_id", "url", "text", "n_chars", "n_shared_lines"])
+        drops, counts = [], []
+        for outside, sizes, other in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
+            gone = shared(outside, other)
+            places, size = {}, 0
+            for k, n in enumerate(sizes):
+                if n >= 0:
+                    places[k] = len(places)
+                    size += n
+            drop = sorted(places[k] for k in gone if k in places)
+            if drop and sum(sizes[k] for k in gone if k in places) >= MIRROR * size:
+                drop = []
+            drops.append(drop)
+            counts.append(len(gone))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drops, pa.list_(pa.int32())), pa.array(counts, pa.int64())], ["k1", "k2", "drop", "shared"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_shared_lines of each row.
 
     Null and empty pages have an empty text. A null url is an empty one: such pages are one host with one path. Pages of
-    one path are compared with the next path's first page, never with each other; a host's only path is compared with
-    none. Repeated rows give a row each; null ids stay null. n_shared_lines: lines outside the main element that the
-    neighbour has too.
+    one path are compared with the next path's page of most lines outside the main element (of equal ones, the larger hash), never with each
+    other; a host's only path is compared with none. Repeated rows give a row each; null ids stay null. n_shared_lines:
+    lines outside the main element that the neighbour has too.
+
+    Pages are known by 128 bits of hashes of url and html, so equal pages are aligned once. Pages are parsed twice: for
+    the alignment, which needs hashes and lengths of lines only, and for the texts, which are shuffled once and never
+    written in between.
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = cut(source.mapInArrow(_parse, PARSED).withColumn("row", F.monotonically_increasing_id()))
-    near = neighbours(parsed.select("host", "path", "row"))
-    rows = parsed.select("row", "host", "path").join(near, ["host", "path"], "left").select("row", "near")
-    frames = parsed.select(F.col("row").alias("near"), F.col("outside").alias("other"))
-    others = rows.join(frames, "near").select("row", "other")
-    return parsed.join(others, "row", "left").select("page_id", "url", "body", "outside", "places", "other").mapInArrow(_subtract, "page_id long, url string, text string, n_chars long, n_shared_lines long")
+    named, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    source = source.select(F.xxhash64(named, page).alias("k1"), F.xxhash64(page, named, F.lit(1)).alias("k2"), "page_id", "url", named.alias("named"), page.alias("page"))
+    frames = cut(source.select("k1", "k2", "named", "page").mapInArrow(_frames, FRAMES))
+    near = neighbours(frames)
+    pairs = frames.select("k1", "k2", "host", "path").distinct().join(near.filter("near IS NOT NULL"), ["host", "path"])
+    pairs = pairs.select("k1", "k2", F.col("near.k1").alias("n1"), F.col("near.k2").alias("n2"))
+    once = frames.select("k1", "k2", "outside", "sizes").dropDuplicates(["k1", "k2"])
+    others = once.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("outside").alias("other"))
+    both = pairs.join(once, ["k1", "k2"]).join(others, ["n1", "n2"])
+    drops = both.select("k1", "k2", "outside", "sizes", "other").mapInArrow(_aligned, "k1 long, k2 long, drop array<int>, shared long")
+    bodies = source.select("k1", "k2", "page_id", "url", "page").mapInArrow(_bodies, "k1 long, k2 long, page_id long, url string, body array<string>")
+    gone = F.coalesce("drop", F.array().cast("array<int>"))
+    text = F.array_join(F.filter("body", lambda _, k: ~F.array_contains(gone, k)), " ")
+    return bodies.join(drops, ["k1", "k2"], "left").select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce("shared", F.lit(0)).cast("long").alias("n_shared_lines"))
