@@ -19,10 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm import words
+
 #: Up to so many symbols the minimum is found by a scan.
 SHORT = 96
 #: Encoded words that are kept; then the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Texts that are Python strings at once.
+TEXTS = 256
 #: Fixed value: the white space of the vocabulary's patterns (the Unicode property of this name).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -131,16 +135,21 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def _texts(column: pa.Array):
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): token ids of every whole text. Null and empty texts have none; each row gives a row."""
 
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            ids = pa.array([v.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([v.encode(t or "") for t in _texts(batch.column(1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(words.freeing(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -165,11 +174,12 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         numbers = {i: str(i) for i in v.strings}
         for batch in batches:
             counts, coded, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in _texts(batch.column(1)):
                 ids = v.encode(text or "")
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(v.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        v.seen.clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(words.freeing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

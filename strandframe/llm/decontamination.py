@@ -81,7 +81,7 @@ def _sets(size: int):
 
 def item_sets(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     source = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_sets(size), "id long, tokens array<long>")
+    return source.mapInArrow(words.freeing(_sets(size)), "id long, tokens array<long>")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, percent: int = 75, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -111,7 +111,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "n_item", "n_shared"])
 
-    return source.mapInArrow(run, FOUND)
+    return source.mapInArrow(words.freeing(run), FOUND)
 
 
 def _joined(source: DataFrame, items: DataFrame, size: int, percent: int) -> DataFrame:

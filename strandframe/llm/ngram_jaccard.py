@@ -310,7 +310,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return both.mapInArrow(words.freeing(_verify(percent)), "a long, b long")
 
 
 def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(source.mapInArrow(_rows(size), ROWS))
+    found = cut(source.mapInArrow(words.freeing(_rows(size)), ROWS))
     rows = found.filter("kind = 0").select("doc_id", "n", "node")
     n_rows, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n_rows:
@@ -360,7 +360,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = np.sort(np.array([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
     buckets = 1 << max(4, math.ceil(math.log2(max(1, n_tokens / BUCKET_TOKENS))))
     parts = buckets
-    postings = source.mapInArrow(_postings(size, buckets, parts, spark.sparkContext.broadcast(common)), POSTINGS)
+    postings = source.mapInArrow(words.freeing(_postings(size, buckets, parts, spark.sparkContext.broadcast(common))), POSTINGS)
     shared = postings.groupBy("key").applyInArrow(_answers(buckets, parts), SHARED)
     index = cut(shared.groupBy("part").applyInArrow(_index(percent), INDEX))
     sets = index.filter("sig is null").select("node", "n", "tokens")

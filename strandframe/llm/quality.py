@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             sets = pa.array([s.tobytes() for s in feature_sets(batch.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["id", "y", "features"])
 
-    featured = texts.mapInArrow(run, "id long, y int, features binary")
+    featured = texts.mapInArrow(words.freeing(run), "id long, y int, features binary")
     rows = {}
     total = 0
     for r in featured.toLocalIterator():
@@ -160,7 +160,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = source.mapInArrow(run, "doc_id long, score double")
+    scored = source.mapInArrow(words.freeing(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -173,4 +173,4 @@ def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         for batch, values in inner(batches):
             yield batch.filter(pa.array(values >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(words.freeing(run), docs.schema)

@@ -6,6 +6,9 @@ lower-cased. Null and empty texts have no words. Hashes are 64 bits wide and dep
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,6 +27,22 @@ _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256
 _powers = _inverses = np.zeros(0, dtype=np.uint64)
 
 
+def freeing(run):
+    """A function for mapInArrow that gives freed memory back to the system when its task ends: Python workers are used
+    again and again, and idle ones would keep the most that any task has needed."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> np.uint64(30))
