@@ -3,8 +3,9 @@
 Equal vectors are one node. Nodes meet first in cells of random hyperplanes; then, in rounds of joins, each node's
 neighbours and reverse neighbours are compared with each other (pairs with a fresh member only) and better neighbours
 replace worse ones. Nodes are dealt to blocks by hash; a block receives each vector it refers to once, in half
-precision. A query starts at its own node's neighbours and repeatedly expands the best unexpanded nodes of its beam;
-the best of the beam are scored again in double precision on the original vectors.
+precision. Rounds go on until hardly a neighbour changes. A query starts at its own node's neighbours and repeatedly
+expands the best unexpanded nodes of its beam until none is left; the best of the beam are scored again in double
+precision on the original vectors. Trees, neighbours and beam grow with the logarithm of the number of nodes.
 
 Work and traffic of a round are in proportion to the number of nodes (or queries); nothing is collected.
 """
@@ -21,25 +22,22 @@ from pyspark.sql import functions as F
 
 from strandframe.session import cut, drop_cut
 
-#: Neighbours of a node, and reverse neighbours that take part in a round.
-NEIGHBOURS = 40
-REVERSE = 40
-#: Fresh neighbours of a node, the nearest first, that it brings together with the others in one round.
+#: Neighbours of a node, and as many reverse neighbours that take part in a round: at least, and for each doubling of nodes.
+NEIGHBOURS = (40, 2.5)
+#: Fresh neighbours of a node, the nearest first, that it brings together with the others in one round; the rest stay fresh.
 FRESH = 24
-#: Rounds at most; they end when fewer than this share of all neighbours changes.
-ROUNDS = 3
+#: Rounds end when this share of all neighbours is fresh at most.
 STILL = 0.02
-#: Hyperplane trees of the start, and nodes of a cell.
-TREES = 8
+#: Hyperplane trees of the start (at least, and for each doubling of nodes), and nodes of a cell.
+TREES = (8, 0.5)
 CELL = 250
 #: Better neighbours of a node that one block sends in a round.
 SENT = 24
 BLOCK_NODES = 5000
 BLOCK_QUERIES = 250
-#: Greedy search: nodes expanded in a round, rounds, beam.
+#: Greedy search: nodes expanded in a round, and the beam (at least, and for each doubling of nodes).
 EXPANDED = 40
-SEARCH_ROUNDS = 4
-BEAM = 256
+BEAM = (256, 16)
 #: Best of the beam that are scored again in double precision.
 FINAL = 64
 
@@ -47,6 +45,11 @@ GRAPH = "id long, ids array<long>, sims array<float>, flags array<boolean>, chan
 EDGES = "id long, other long, sim float"
 
 
+def _grown(size: tuple[int, float], count: int) -> int:
+    least, doubling = size
+    return max(least, math.ceil(doubling * math.log2(max(2, count))))
+
+
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows that take part: an id, and a vector of finite components, not all zero, of the commonest length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -69,13 +72,13 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float16).astype(np.float32).reshape(len(values), -1) if values else np.zeros((0, 1), np.float32)
 
 
-def _cells(depth: int):
+def _cells(depth: int, trees: int):
     def run(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
             if not len(x):
                 continue
-            for tree in range(TREES):
+            for tree in range(trees):
                 planes = np.random.default_rng(tree).standard_normal((x.shape[1], max(1, depth))).astype(np.float32)
                 code = ((x @ planes > 0) @ (1 << np.arange(max(1, depth), dtype=np.int64))) if depth else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), batch.column(0), batch.column(1)], ["tree", "code", "id", "vec"])
@@ -87,21 +90,24 @@ def _edges(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "other": pa.array(others, pa.int64()), "sim": pa.array(sims, pa.float32())})
 
 
-def _within_cell(key, table):
-    ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"))
-    n = len(ids)
-    if n < 2:
-        return _edges([], [], [])
-    k = min(NEIGHBOURS // 2, n - 1) if n > NEIGHBOURS + 1 else n - 1
-    owner, other, sim = [], [], []
-    for i in range(0, n, 1024):
-        s = x[i : i + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        owner.append(np.repeat(ids[i : i + 1024], k))
-        other.append(ids[best].ravel())
-        sim.append(np.take_along_axis(s, best, 1).ravel())
-    return _edges(np.concatenate(owner), np.concatenate(other), np.concatenate(sim))
+def _within_cell(most: int):
+    def run(key, table):
+        ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"))
+        n = len(ids)
+        if n < 2:
+            return _edges([], [], [])
+        k = min(most // 2, n - 1) if n > most + 1 else n - 1
+        owner, other, sim = [], [], []
+        for i in range(0, n, 1024):
+            s = x[i : i + 1024] @ x.T
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            owner.append(np.repeat(ids[i : i + 1024], k))
+            other.append(ids[best].ravel())
+            sim.append(np.take_along_axis(s, best, 1).ravel())
+        return _edges(np.concatenate(owner), np.concatenate(other), np.concatenate(sim))
+
+    return run
 
 
 def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, most: int):
@@ -135,20 +141,31 @@ def _flat(table):
     return np.repeat(table.column("id").to_numpy(), counts), flat[0], flat[1], flat[2].astype(bool)
 
 
-def _merge(key, old, new):
-    """The graph of a block with better neighbours put in; those are fresh now."""
-    owner, other, sim, _ = _flat(old)
-    fresh = np.zeros(len(owner), bool)
-    a, b, s = (new.column(c).to_numpy() for c in ("id", "other", "sim"))
-    return _lists(*_best(np.concatenate((owner, a)), np.concatenate((other, b)), np.concatenate((sim, s)), np.concatenate((fresh, np.ones(len(a), bool))), NEIGHBOURS))
+def _merge(most: int):
+    """The lists of a block, whose FRESH first fresh members have been compared, with better neighbours put in; those are
+    fresh now, as are members that are still to be compared."""
 
+    def run(key, old, new):
+        owner, other, sim, fresh = _flat(old)
+        seen = np.cumsum(fresh) - fresh
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+        fresh &= seen - np.repeat(seen[starts], np.diff(np.append(starts, len(owner)))) >= FRESH
+        a, b, s = (new.column(c).to_numpy() for c in ("id", "other", "sim"))
+        return _lists(*_best(np.concatenate((owner, a)), np.concatenate((other, b)), np.concatenate((sim, s)), np.concatenate((fresh, np.ones(len(a), bool))), most))
 
-def _with_reverse(key, graph, reverse):
+    return run
+
+
+def _with_reverse(most: int):
     """Neighbours and the nearest reverse neighbours of each node, the kth nearness being the last of ``sims``."""
-    owner, other, sim, fresh = _flat(graph)
-    a, b, s, f = (reverse.column(c).to_numpy(zero_copy_only=False) for c in ("id", "other", "sim", "fresh"))
-    a, b, s, f = _best(a, b, s, f.astype(bool), REVERSE)
-    return _lists(*_best(np.concatenate((owner, a)), np.concatenate((other, b)), np.concatenate((sim, s)), np.concatenate((fresh, f)), NEIGHBOURS + REVERSE))
+
+    def run(key, graph, reverse):
+        owner, other, sim, fresh = _flat(graph)
+        a, b, s, f = (reverse.column(c).to_numpy(zero_copy_only=False) for c in ("id", "other", "sim", "fresh"))
+        a, b, s, f = _best(a, b, s, f.astype(bool), most)
+        return _lists(*_best(np.concatenate((owner, a)), np.concatenate((other, b)), np.concatenate((sim, s)), np.concatenate((fresh, f)), 2 * most))
+
+    return run
 
 
 def _local_join(key, lists, vectors):
@@ -203,70 +220,74 @@ def _block(column: str, blocks: int):
 
 def neighbour_graph(nodes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """(id, ids, sims, flags, changed) of each node, nearest first, and the same with reverse neighbours. nodes: (id, vec)."""
-    blocks = max(8, count // BLOCK_NODES)
+    blocks, most = max(8, count // BLOCK_NODES), _grown(NEIGHBOURS, count)
     depth = max(0, math.ceil(math.log2(max(1, count / CELL))))
-    cells = nodes.mapInArrow(_cells(depth), "tree int, code long, id long, vec binary")
+    cells = nodes.mapInArrow(_cells(depth, _grown(TREES, count)), "tree int, code long, id long, vec binary")
     full = cells.groupBy("tree", "code").agg(F.count("*").alias("n"))
     # a cell that holds too many nodes is dealt out again by hash
     cells = cells.join(full, ["tree", "code"]).withColumn("sub", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / F.lit(2.0 * CELL)).cast("long")))
-    edges = cells.groupBy("tree", "code", "sub").applyInArrow(_within_cell, EDGES)
+    edges = cells.groupBy("tree", "code", "sub").applyInArrow(_within_cell(most), EDGES)
     empty = nodes.sparkSession.createDataFrame([], GRAPH)
     key = _block("id", blocks)
-    graph = cut(empty.groupBy(key).cogroup(edges.groupBy(key)).applyInArrow(_merge, GRAPH))
-    for _ in range(ROUNDS):
-        lists = _both_ways(graph, key)
+    graph = cut(empty.groupBy(key).cogroup(edges.groupBy(key)).applyInArrow(_merge(most), GRAPH))
+    while True:
+        lists = _both_ways(graph, key, most)
         refs = lists.select(key.alias("at"), F.explode("ids").alias("id")).distinct()
-        floor = graph.select("id", F.when(F.size("ids") < NEIGHBOURS, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1)).cast("float").alias("least"))
+        floor = graph.select("id", F.when(F.size("ids") < most, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1)).cast("float").alias("least"))
         vectors = refs.join(nodes.join(floor, "id"), "id").select("at", "id", "vec", "least")
         better = lists.select(key, "ids", "flags").groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_local_join, EDGES)
-        step = cut(graph.groupBy(key).cogroup(better.groupBy(key)).applyInArrow(_merge, GRAPH))
+        step = cut(lists.groupBy(key).cogroup(better.groupBy(key)).applyInArrow(_merge(most), GRAPH))
         drop_cut(lists)
         drop_cut(graph)
         graph = step
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= STILL * NEIGHBOURS * count:
-            break
-    return graph, _both_ways(graph, key)
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= STILL * most * count:
+            return graph, _both_ways(graph, key, most)
 
 
-def _both_ways(graph: DataFrame, key) -> DataFrame:
+def _both_ways(graph: DataFrame, key, most: int) -> DataFrame:
     each = graph.select(F.col("id").alias("other"), F.explode(F.arrays_zip("ids", "sims", "flags")).alias("e"))
     reverse = each.select(F.col("e.ids").alias("id"), "other", F.col("e.sims").alias("sim"), F.col("e.flags").alias("fresh"))
     # the nearest ones only: cut before they are shuffled to the node's block
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    reverse = reverse.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= REVERSE).drop("k")
-    return cut(graph.groupBy(key).cogroup(reverse.groupBy(key)).applyInArrow(_with_reverse, GRAPH))
+    reverse = reverse.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")
+    return cut(graph.groupBy(key).cogroup(reverse.groupBy(key)).applyInArrow(_with_reverse(most), GRAPH))
 
 
-def _expand(key, states, vectors):
+def _expand(beam: int):
     """New candidates of each query scored and put into its beam."""
-    known, x = vectors.column("id").to_numpy(), _matrix(vectors.column("vec"))
-    order = np.argsort(known)
-    known, x = known[order], x[order]
-    out: list[list] = [[], [], [], []]
-    for row in states.select(["id", "ids", "sims", "flags", "found"]).to_pylist():
-        q = row["id"]
-        ids, sims, done = np.array(row["ids"], np.int64), np.array(row["sims"], np.float32), np.array(row["flags"], bool)
-        rank = np.argsort(-sims, kind="stable")
-        open_ = rank[~done[rank]][:EXPANDED]
-        done[open_] = True
-        new = np.setdiff1d(np.array(row["found"] or [], np.int64), np.append(ids, q))
-        if len(new):
-            own = x[np.searchsorted(known, q)]
-            s = x[np.searchsorted(known, new)] @ own
-            ids, sims, done = np.concatenate((ids, new)), np.concatenate((sims, s)), np.concatenate((done, np.zeros(len(new), bool)))
-            rank = np.argsort(-sims, kind="stable")[:BEAM]
-            ids, sims, done = ids[rank], sims[rank], done[rank]
-        for column, v in zip(out, (q, ids, sims, done), strict=True):
-            column.append(v)
-    return pa.table({"id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "sims": pa.array(out[2], pa.list_(pa.float32())), "flags": pa.array(out[3], pa.list_(pa.bool_()))})
-
-
-def greedy_search(queries: DataFrame, graph: DataFrame, both: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """(id, ids, sims, flags): the beam of each query node after SEARCH_ROUNDS rounds. queries: (id)."""
+
+    def run(key, states, vectors):
+        known, x = vectors.column("id").to_numpy(), _matrix(vectors.column("vec"))
+        order = np.argsort(known)
+        known, x = known[order], x[order]
+        out: list[list] = [[], [], [], []]
+        for row in states.select(["id", "ids", "sims", "flags", "found"]).to_pylist():
+            q = row["id"]
+            ids, sims, done = np.array(row["ids"], np.int64), np.array(row["sims"], np.float32), np.array(row["flags"], bool)
+            rank = np.argsort(-sims, kind="stable")
+            open_ = rank[~done[rank]][:EXPANDED]
+            done[open_] = True
+            new = np.setdiff1d(np.array(row["found"] or [], np.int64), np.append(ids, q))
+            if len(new):
+                own = x[np.searchsorted(known, q)]
+                s = x[np.searchsorted(known, new)] @ own
+                ids, sims, done = np.concatenate((ids, new)), np.concatenate((sims, s)), np.concatenate((done, np.zeros(len(new), bool)))
+                rank = np.argsort(-sims, kind="stable")[:beam]
+                ids, sims, done = ids[rank], sims[rank], done[rank]
+            for column, v in zip(out, (q, ids, sims, done), strict=True):
+                column.append(v)
+        return pa.table({"id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "sims": pa.array(out[2], pa.list_(pa.float32())), "flags": pa.array(out[3], pa.list_(pa.bool_()))})
+
+    return run
+
+
+def greedy_search(queries: DataFrame, graph: DataFrame, both: DataFrame, nodes: DataFrame, count: int, beam: int) -> DataFrame:
+    """(id, ids, sims, flags): the beam of each query node when no member is left to expand. queries: (id)."""
     state = cut(queries.join(graph, "id").select("id", "ids", "sims", "flags").withColumn("flags", F.transform("flags", lambda _: F.lit(False))))
     blocks = max(8, count // BLOCK_QUERIES)
     links = both.select(F.col("id").alias("node"), F.col("ids").alias("next"))
-    for _ in range(SEARCH_ROUNDS):
+    open_ = F.exists("flags", lambda z: ~z)
+    while not state.filter(open_).isEmpty():
         # beams are sorted by nearness
         zipped = F.arrays_zip("ids", "flags")
         front = state.select("id", F.explode(F.slice(F.filter(zipped, lambda z: ~z["flags"]), 1, EXPANDED)).alias("f")).select("id", F.col("f.ids").alias("node"))
@@ -274,7 +295,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, both: DataFrame, nodes:
         asked = cut(state.join(found, "id", "left").withColumn("block", _block("id", blocks)))
         refs = asked.select(F.col("block").alias("at"), F.explode("found").alias("id")).unionByName(asked.select(F.col("block").alias("at"), "id")).distinct()
         vectors = refs.join(nodes, "id").select("at", "id", "vec")
-        step = cut(asked.groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_expand, "id long, ids array<long>, sims array<float>, flags array<boolean>"))
+        step = cut(asked.groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_expand(beam), "id long, ids array<long>, sims array<float>, flags array<boolean>"))
         drop_cut(asked)
         drop_cut(state)
         state = step
@@ -301,7 +322,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     asked = rows.filter(F.col("vec_id") % every == 0).select("h", F.col("vec_id").alias("query_id"))
     queries = asked.select(F.xxhash64("h").alias("id")).distinct()
     graph, both = neighbour_graph(nodes, count)
-    beams = greedy_search(queries, graph, both, nodes, max(1, queries.count()))
+    beams = greedy_search(queries, graph, both, nodes, max(1, queries.count()), _grown(BEAM, count))
     best = beams.select("id", F.explode(F.concat(F.slice("ids", 1, FINAL), F.array("id"))).alias("other"))
     alone = queries.join(beams.select("id"), "id", "left_anti").select("id", F.col("id").alias("other"))
     pairs = best.unionByName(alone)
