@@ -33,8 +33,6 @@ BITS_AN_ENTRY = 10
 PROBES = 4
 #: Bytes of filter in one broadcast.
 GROUP_BYTES = 96 << 20
-#: Pairs seen less often (counted over all of the corpus) back off to single words.
-LEAST_PAIRS = 2
 #: Weight of pairs in the mixture.
 TRUST = 0.15
 #: Tokens of a batch, and the hashes of one counting task on average.
@@ -222,7 +220,7 @@ def _count(buckets: int, parts: int):
         if key >= buckets:
             pair, at = np.unique(np.concatenate(each), return_inverse=True)
             c = np.bincount(at, weights=np.concatenate(repeats), minlength=len(pair)).astype(np.int64)
-            blob, entries = build_segment(pair[c >= LEAST_PAIRS], c[c >= LEAST_PAIRS])
+            blob, entries = build_segment(pair, c)
             out.append((key, -1, b"", b"", b"", blob, entries, len(pair)))
         else:
             hashes = [np.repeat(h, n) for h, n in zip(each, repeats, strict=True)]
@@ -287,7 +285,7 @@ def _probability(s: _Settings, found: np.ndarray, counts: np.ndarray) -> np.ndar
     first = np.cumsum(counts) - counts
     before[first] = s.ends
     p = (one + 1) / (s.total + s.distinct + 1)
-    trust = np.where(before >= 2, TRUST, 0.0)  # a word seen once has no pair in the filter
+    trust = np.where(before > 0, TRUST, 0.0)  # a word never seen has no pairs
     return np.log10(trust * np.minimum(two, before) / np.maximum(before, 1) + (1 - trust) * p)
 
 
