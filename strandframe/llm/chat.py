@@ -24,8 +24,6 @@ from strandframe.session import cut
 #: A pack ends after so many code points or conversations.
 PACK_CHARS = 1 << 16
 PACK_CONVERSATIONS = 2048
-#: Nodes that take part in the order; deeper ones follow by conversation.
-ORDER_NODES = 6
 #: Fixed value: the role that is trained.
 TRAINED = "assistant"
 
@@ -36,7 +34,7 @@ _IN_ROLE = re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ([^:]*): (.*?) </turn>\n", re.DOTALL)
 
-CONVERSATION = "key string, conv_id long, roles array<string>, texts array<string>, nodes array<binary>"
+CONVERSATION = "key binary, conv_id long, roles array<string>, texts array<string>, nodes array<binary>"
 PACK = (
     "pack string, text string, "
     "segments array<struct<start:int,stop:int,position:int,ancestors:array<struct<start:int,stop:int>>,loss_start:int,loss_stop:int>>, "
@@ -63,7 +61,7 @@ def _conversations(batches):
         for role, text in zip(roles, texts, strict=True):
             node = hashlib.sha256(node + hashlib.sha256(role.encode()).digest() + hashlib.sha256(text.encode()).digest()).digest()[:16]
             nodes.append(node)
-        out.append(("".join(n[:8].hex() for n in nodes[:ORDER_NODES]), now, list(roles), list(texts), nodes))
+        out.append((b"".join(n[:8] for n in nodes), now, list(roles), list(texts), nodes))
 
     for batch in batches:
         for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -82,7 +80,7 @@ def _conversations(batches):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.binary())]
+    kinds = [pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "conv_id", "roles", "texts", "nodes"])
 
 
