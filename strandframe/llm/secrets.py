@@ -8,6 +8,7 @@ almost all of their entropy.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -22,11 +23,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Words that make the text after them sensitive.
+#: Words that make the text around them sensitive.
 CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|signature|aws_", re.IGNORECASE | re.ASCII)
 CONTEXT_WORDS = ("passw", "passphrase", "secret", "token", "api", "key", "credential", "bearer", "authorization", "signature", "aws_")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters after a sensitive word in which a candidate may start, and those around it that prime the compressor.
+LEAST = 16
+#: The rest between lines of one block, and the short last line of a key block.
+NEXT_LINE = re.compile(r"[\"',\\+\x20\t]*(?:\r?\n|\\n)[\"'>#*/\x20\t]*")
+TAIL = re.compile(r"[\"'\x20\t]*(?:\r?\n|\\n)[\"'>#*/\x20\t]*([A-Za-z0-9+/_-]{0,15}={1,2}|[A-Za-z0-9+/_]{1,15}(?=[\"'\x20\t]*(?:\r?\n|\\n)[\"'>#*/\x20\t]*-----END))")
+#: Characters between a sensitive word, or a secret, and a candidate on either side; those around it prime the compressor.
 REACH = 64
 AROUND = 400
 #: A candidate that adds so many bits a character is reported.
@@ -81,19 +86,60 @@ def _mixed(word: str) -> bool:
     return 0 in kinds and (1 in kinds or 2 in kinds) and 6 * changes >= len(word)
 
 
+def is_novel(text: str, start: int, end: int) -> bool:
+    return _mixed(text[start:end]) and novelty(text, start, end) >= NOVEL_BITS
+
+
+def _near(text: str, found: list[tuple[int, int]]) -> list[bool]:
+    """Whether a candidate lies within REACH of a sensitive word, before or after it, or holds one."""
+    contexts = [(m.start(), m.end()) for m in CONTEXT.finditer(text)]
+    starts, ends = [c[0] for c in contexts], [c[1] for c in contexts]
+    out = []
+    for start, end in found:
+        # the first word that ends at the candidate's reach or later is the only one to look at: words don't overlap
+        k = bisect.bisect_left(ends, start - REACH)
+        out.append(k < len(ends) and starts[k] <= end + REACH)
+    return out
+
+
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of key characters, cut at the sensitive words in them (``my_api_key=...``)."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        start = m.start()
+        for word in CONTEXT.finditer(text, m.start(), m.end()):
+            out.append((start, word.start()))
+            start = word.end()
+        out.append((start, m.end()))
+    return [(a, b) for a, b in out if b - a >= LEAST]
+
+
 def novel_spans(text: str) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    out, done = [], -1
-    for context in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(context.end(), done), len(text)):
-            if m.start() > context.end() + REACH:
-                break
-            done = m.end()
-            if _mixed(m[0]) and novelty(text, m.start(), m.end()) >= NOVEL_BITS:
-                out.append((m.start(), 3, m.end()))
-    return sorted(set(out))
+    found = _candidates(text)
+    near = _near(text, found)
+    out, looked = set(), [False] * len(found)
+    work = [k for k, x in enumerate(near) if x]
+    while work:
+        k = work.pop()
+        if looked[k]:
+            continue
+        looked[k] = True
+        start, end = found[k]
+        novel = is_novel(text, start, end)
+        if novel:
+            out.add((start, 3, end))
+            if tail := TAIL.match(text, end):
+                out.add((tail.start(1), 3, tail.end(1)))
+        # a secret carries the context on, and so does any line of a block to the next and the one before
+        for other in (k - 1, k + 1):
+            if 0 <= other < len(found) and not looked[other]:
+                gap = text[found[other][1] : start] if other < k else text[end : found[other][0]]
+                if (novel and len(gap) <= REACH) or NEXT_LINE.fullmatch(gap):
+                    work.append(other)
+    return sorted(out)
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
