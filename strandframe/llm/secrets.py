@@ -1,15 +1,17 @@
 """Secrets in whole texts: fixed patterns, and strings that compress badly beside their surroundings.
 
 The method's own spans come from dictionary-primed zstandard: a candidate string near a sensitive word is compressed as
-a frame primed with the text around it and with a dictionary of identifiers. What the candidate adds to the frame, in
-bits for each of its characters, is its novelty: words, identifiers and repeats of nearby text add little, random keys
-almost all of their entropy.
+a frame primed with the text around it and with dictionaries of words and identifiers. What the candidate adds to the
+frame, as a share of what random strings of its length and alphabet add, is its novelty: words, identifiers and repeats
+of nearby text add little, random keys almost all of their entropy. Nothing else decides.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -34,8 +36,10 @@ TAIL = re.compile(r"[\"'\x20\t]*(?:\r?\n|\\n)[\"'>#*/\x20\t]*([A-Za-z0-9+/_-]{0,
 #: Characters between a sensitive word, or a secret, and a candidate on either side; those around it prime the compressor.
 REACH = 64
 AROUND = 400
-#: A candidate that adds so many bits a character is reported.
-NOVEL_BITS = 5.5
+#: A candidate that adds this share of what random strings of its alphabet add is reported.
+NOVEL_SHARE = 0.8
+#: Digits, hexadecimal, letters, base32, base36, and all key characters, in lower case.
+ALPHABETS = ("0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 #: Fixed value: identifiers that fill the dictionary beside the surrounding text.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key credential credentials authorization "
@@ -46,6 +50,23 @@ IDENTIFIERS = (
     "qrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 00000000 ffffffff deadbeef"
 )
 
+#: Fixed value: words and word parts that compound names are made of.
+WORDS = (
+    "about above access account action active address admin after agent alert allow amount analysis android answer apache append array asset async audio audit author auto available average back balance base batch before begin between binary block board boolean border bottom branch browser buffer build bundle business button cache call cancel "
+    "category center certificate chain change channel char check child choice city class clean clear click clock close cloud cluster code collection color column command comment commit common company compile complete component compress condition connect connection console constant contact container content context continue control cookie copy core "
+    "count counter country create current custom customer daily dashboard data database date debug decode deep default define delete delivery deploy description detail device dialog different digest direct directory disable display domain double download draft driver dynamic edit editor element email empty enable encode encrypt decrypt engine "
+    "enter entity entry error event every exception exchange execute exist expire expiration export extension external factory fail failure false fast feature feedback fetch field file filter final find first flag float folder font footer force foreign form format forward found frame free from full future game gateway general generate generator "
+    "global google graph group guard handle handler hash header health height hidden history home host hour icon image implementation increment information initial initialize inner input insert install instance integer integration interface internal international internationalization interval invalid invoice issue item iterator javascript job join kernel keyboard kind label language large last "
+    "latest layer layout left length level library license limit line link list listener load local location lock logger login logout long loop machine mail main manage management manager manifest map mark market master match material maximum measure media member memory menu merge message metadata method metric micro middleware minimum minute mobile mode model modify "
+    "module monitor month mount mouse move multi name native network never next node normal notification number object offset online only open operation operator option order origin output owner padding page panel parameter parent parse partial partner path pattern payment pending people percent performance permission person phone picture pipeline platform play plugin "
+    "point policy pool popup port position post prefix preview previous price primary print priority process processor product profile program progress project property protocol provider proxy publish purchase python quality quantity query queue quick random range rating reader ready real receive recent record recovery redirect reference refresh region register registration "
+    "relation release reload remote remove rename render replace reply report repository require reset resource rest result retry return review right role root round route router rule runtime sample save scale schedule scheduler schema scope score screen script scroll search second section security select selector send sensor sequence serial server service session setting setup shared "
+    "shipping short show sign simple single site size skip small social software sort source space special speed stack standard start state static station status step stop storage store stream street string strong structure style subject submit subscribe subscription success suffix summary support switch symbol sync syntax system tab table target task team template temporary terminal test text theme "
+    "thread threshold thumbnail ticket time timeout timestamp title toggle tool total track traffic transaction transfer transform translate transport tree trigger true type undefined under unique unit universal unknown unlock until update upgrade upload upper usage user utility valid validate validation validator value variable vendor verify verification version vertical video view "
+    "virtual visible visit void wait wallet warning watch weather website week weight welcome widget width window wire with without word work worker workflow workspace world wrapper write writer year zone authenticate authentication authenticator authorize identity identifier credentials encryption decryption certificate signing rotation expiry invalid missing required optional policy provider "
+    "/usr/local/share/lib/bin/etc/opt/var/log/tmp/home/src/main/java/resources/python/site-packages/node_modules/dist/build/docs/assets/images/ -------------------------------- ================================ ________________________________ //////////////////////////////// ation tion ment ness able ible ing ings ers ized izing ization ity ious ful less ally ence ance common word "
+)
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in code points, in order."""
@@ -64,30 +85,36 @@ def _size(text: bytes, primer: bytes) -> int:
     return len(zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text))
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Bits that text[start:end] adds to a frame primed with identifiers and its surroundings, for each character."""
-    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-    primer = (IDENTIFIERS + "\n" + around).encode("utf-8", "surrogatepass")
-    own = text[start:end].encode()
-    # a second copy of the dictionary's tail is the frame without the candidate
-    lead = text[max(0, start - 16) : start].encode("utf-8", "surrogatepass")
-    return 8 * (_size(lead + own, primer) - _size(lead, primer)) / len(own)
+def _added(own: str, lead: str, around: str) -> int:
+    """Bytes that ``own`` adds to a frame primed with the dictionaries and its surroundings."""
+    primer, own, lead = ((x.lower()).encode("utf-8", "surrogatepass") for x in (f"{WORDS} {IDENTIFIERS}\n{around}", own, lead))
+    return _size(lead + own, primer) - _size(lead, primer)
+
 
+def _alphabet(word: str) -> str:
+    """The smallest of ALPHABETS that holds a lower-case word."""
+    return next(a for a in ALPHABETS if set(word) <= set(a))
 
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
+@functools.lru_cache(4096)
+def _random_added(alphabet: str, length: int) -> float:
+    """Bytes that random strings of an alphabet add: the mean of a few."""
+    rng = random.Random(f"{alphabet}:{length}")
+    return sum(_added("".join(rng.choices(alphabet, k=length)), "", "") for _ in range(5)) / 5
 
-def _mixed(word: str) -> bool:
-    """Digits and letters, changing between digits, small and capital letters once in six characters or more: compound
-    names that the dictionaries lack change at their parts only."""
-    kinds = [k for k in map(_kind, word) if k < 3]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    return 0 in kinds and (1 in kinds or 2 in kinds) and 6 * changes >= len(word)
+
+def novelty(text: str, start: int, end: int) -> float:
+    """Bytes that text[start:end] adds to its primed frame, as a share of what random strings of its alphabet add.
+
+    Case is left out on both sides. Copies of the candidate nearby are no surroundings: a key that stands twice is a key.
+    """
+    own = text[start:end]
+    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).replace(own, " ")
+    return _added(own, text[max(0, start - 16) : start], around) / _random_added(_alphabet(own.lower()), len(own))
 
 
 def is_novel(text: str, start: int, end: int) -> bool:
-    return _mixed(text[start:end]) and novelty(text, start, end) >= NOVEL_BITS
+    return novelty(text, start, end) >= NOVEL_SHARE
 
 
 def _near(text: str, found: list[tuple[int, int]]) -> list[bool]:

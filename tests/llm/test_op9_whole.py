@@ -19,3 +19,19 @@ def test_keys_before_the_word_and_after_another():
     assert secrets.redact(f"{one} # api token") == "[SECRET] # api token"
     assert secrets.redact(f"credentials of the machine: {one}, then {two}") == "credentials of the machine: [SECRET], then [SECRET]"
     assert one not in secrets.redact(f"my_api_key={one}")
+
+
+def test_random_keys_of_every_alphabet():
+    rng = random.Random(2)
+    for alphabet in ("0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", BASE64[:52], BASE64[:62], BASE64):
+        for length in (16, 20, 32, 64, 128, 256):
+            for _ in range(10):
+                key = "".join(rng.choices(alphabet, k=length))
+                assert secrets.redact(f"the authorization {key} is old") == "the authorization [SECRET] is old"
+    for name in ("internationalization_settings", "/usr/local/share/python/site-packages", "AuthenticationMiddleware", "customer_subscription_expiry_date2", "=" * 40, "0" * 20):
+        assert secrets.novel_spans(f"the authorization {name} is old") == []
+
+
+def test_a_key_that_stands_twice():
+    key = "269b1ceA0846965f2Dxq"
+    assert secrets.redact(f"token of old {key} and again {key}").count("[SECRET]") == 2
