@@ -11,8 +11,12 @@ from strandframe.session import cut, drop_cut
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for each node of links (a, b): comp is the smallest node that can be reached.
 
+    Links with a null end are left out; repeated links, and links of a node with itself, change nothing. Without links
+    the result is empty.
+
     Each round takes two joins and is written out; labels that point to labels halve the way in each round.
     """
+    links = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"))
     while True:

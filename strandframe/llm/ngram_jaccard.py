@@ -13,11 +13,17 @@ The join is exact. Tokens are 5-word shingles (64-bit hashes), ordered from rare
    other node has come first. For partners of its size or more a set needs only the prefix for an overlap of
    2t / (1 + t) |x|, so the smaller set of a pair is met in that shorter prefix: a set with e + 1 of them has no partner and ends here.
 4. *Verification.* Signatures with the same nodes are one bucket. In a few rounds each node is checked against hubs of its
-   buckets that lie in other components, central ones first; then all pairs of a bucket that still lie in different components
-   are checked, after sketches of their sets have refuted what they can. Pairs inside one component need no check: they could not change it. So no group of near copies is
-   expanded into its pairs, and no component is lost.
+   buckets that lie in other components, central ones first; then the nodes of a bucket that lie outside its largest component
+   meet all others of it, sketches of the sets refute what they can, and the rest is checked. Pairs inside one component need
+   no check: they could not change it. So no group of near copies is expanded into its pairs, and no component is lost.
+   What is listed in the end is (nodes outside the largest component) x (nodes) of a bucket, not its square.
 
-Sizes: nodes are 64-bit set fingerprints (two different sets meet with odds n^2 / 2^65), tokens 52-bit.
+Large buckets are salted: their nodes are dealt to a task for each PIECE of them, and the hubs go to each.
+
+Sizes: nodes are 64-bit set fingerprints (two different sets meet with odds n^2 / 2^65), tokens 52-bit hashes: among N distinct
+tokens a share of N / 2^52 meets another (2e-6 at 10^10, 0.2 % at 10^13); such a pair counts as one token, so an overlap can be
+too large by it. A batch sends each of its buckets only the nodes that have tokens there: what is shuffled is in proportion to
+the tokens, whatever the number of buckets.
 """
 
 from __future__ import annotations
@@ -36,9 +42,13 @@ from strandframe.session import cut, drop_cut
 #: Tokens of one batch of postings.
 BATCH_TOKENS = 1 << 21
 BATCH_ROWS = 60_000
-#: Tokens in over half of this share of a batch's documents are candidates for the broadcast table of common tokens.
+#: Tokens in over half of this share of a batch's sets are candidates for the broadcast table of common tokens, which holds
+#: those in a quarter of it of all sets (and in COMMON_LEAST at least), the most frequent ones if there are too many (8 bytes
+#: each). A batch reports so many candidates at most. The table only deals the work: results don't depend on it.
 COMMON = 0.02
 COMMON_LEAST = 64
+MOST_REPORTED = 1 << 14
+MOST_COMMON = 1 << 20
 #: Postings of one bucket, on average.
 BUCKET_TOKENS = 1 << 21
 #: From this document count on a token is frequent: it is indexed in pairs.
@@ -52,6 +62,8 @@ GROUP_TOKENS = 16
 TOKEN_BITS = np.uint64(12)
 #: 64-bit words of the parity sketch of a set.
 SKETCH = 8
+#: Nodes of a bucket that meet its hubs, or other nodes, in one task.
+PIECE = 1000
 
 ROWS = "kind int, doc_id long, n long, node long"
 POSTINGS = "key int, nodes binary, sizes binary, tokens binary, owners binary"
@@ -102,10 +114,13 @@ def _rows(size: int):
             out = [np.zeros(len(ids), np.int32), pa.array(ids, pa.int64()), np.array([len(s) for s in sets], np.int64), nodes.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), out[1], pa.array(out[2]), pa.array(out[3])], ["kind", "doc_id", "n", "node"])
             _, own = _distinct_sets(sets)
-            if len(own) >= COMMON_LEAST:
+            if len(own) > 1:
                 token, count = np.unique(np.concatenate(own) >> TOKEN_BITS, return_counts=True)
-                common = count >= max(COMMON_LEAST, COMMON / 2 * len(own))
+                common = count >= max(2, COMMON / 2 * len(own))  # few long sets: any token of two of them
                 token, count = token[common], count[common]
+                if len(token) > MOST_REPORTED:
+                    most = np.argsort(-count, kind="stable")[:MOST_REPORTED]
+                    token, count = token[most], count[most]
                 if len(token):
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(count.astype(np.int64)), pa.array(token.view(np.int64))], ["kind", "doc_id", "n", "node"])
 
@@ -126,25 +141,31 @@ def _postings(size: int, buckets: int, parts: int, common):
             if len(common.value):
                 known = common.value[np.minimum(np.searchsorted(common.value, token), len(common.value) - 1)] == token
                 part = (nodes[owner[known]] % np.uint64(parts)).astype(np.int64)
-                for p in np.unique(part):
-                    at = part == p
-                    out.append((buckets + int(p), nodes.tobytes(), sizes.tobytes(), token[known][at].tobytes(), owner[known][at].tobytes()))
+                order = np.argsort(part, kind="stable")
+                part, own, by = part[order], token[known][order], owner[known][order]
+                for i, j in _runs(part):
+                    used, local = np.unique(by[i:j], return_inverse=True)
+                    out.append((buckets + int(part[i]), nodes[used].tobytes(), sizes[used].tobytes(), own[i:j].tobytes(), local.astype("<u2").tobytes()))
                 token, owner = token[~known], owner[~known]
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             bucket = (token >> shift).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in range(buckets):
-                i, j = cuts[b], cuts[b + 1]
-                if i < j:
-                    used, local = np.unique(owner[i:j], return_inverse=True)
-                    out.append((b, nodes[used].tobytes(), sizes[used].tobytes(), words.pack(token[i:j]), local.astype("<u2").tobytes()))
+            for i, j in _runs(bucket):
+                used, local = np.unique(owner[i:j], return_inverse=True)
+                out.append((int(bucket[i]), nodes[used].tobytes(), sizes[used].tobytes(), words.pack(token[i:j]), local.astype("<u2").tobytes()))
             yield from _emit(out, POSTINGS)
             out = []
 
     return run
 
 
+def _runs(values: np.ndarray):
+    """(start, stop) of each run of equal values."""
+    if len(values):
+        bounds = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))).tolist()
+        yield from zip(bounds[:-1], bounds[1:], strict=True)
+
+
 def _emit(rows: list[tuple], schema: str):
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
@@ -186,10 +207,9 @@ def _answers(buckets: int, parts: int):
         order = np.lexsort((token, owner, node[owner] % np.uint64(parts)))
         token, owner, rank = token[order], owner[order], rank[order]
         part = (node[owner] % np.uint64(parts)).astype(np.int64)
-        for p in np.unique(part):
-            i, j = np.searchsorted(part, [p, p + 1])
+        for i, j in _runs(part):
             own, count = np.unique(owner[i:j], return_counts=True)
-            out.append((int(p), node[own].tobytes(), size[own].tobytes(), count.astype(np.uint32).tobytes(), token[i:j].tobytes(), rank[i:j].tobytes()))
+            out.append((int(part[i]), node[own].tobytes(), size[own].tobytes(), count.astype(np.uint32).tobytes(), token[i:j].tobytes(), rank[i:j].tobytes()))
         return pa.Table.from_batches(list(_emit(out, SHARED)), schema=_schema(SHARED))
 
     return run
@@ -313,6 +333,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(words.freeing(_verify(percent)), "a long, b long")
 
 
+def _pieces():
+    return F.ceil(F.col("m") / F.lit(PIECE)).cast("int")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """Nodes of a bucket of m, dealt to its pieces."""
+    return df.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), _pieces()).cast("int"))
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    """A row for each piece of its bucket."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), _pieces() - 1)))
+
+
 def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     """A few candidate pairs for each node: with hubs of its buckets that lie in other components.
 
@@ -320,11 +354,11 @@ def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     mean log frequency of a node's tokens: a copy with few changes of its own is like most others) and more or less
     chance, which changes with ``turn``. A node keeps the first hub of each order: its pairs are as many as the orders.
     """
-    banded = placed.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))))
+    banded = _salted(placed).withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))))
     chance = [F.pmod(F.xxhash64("node", F.lit(turn), F.lit(j)), F.lit(1 << 20)) / F.lit(1 << 20) for j in range(len(HUB_CHANCE))]
     orders = [F.lit(float(much)) * x - F.col("core") for much, x in zip(HUB_CHANCE, chance, strict=True)]
-    hubs = banded.groupBy("sig", "band").agg(*[F.min(F.struct(o.alias("o"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias(f"hub{j}") for j, o in enumerate(orders)])
-    near = banded.join(hubs, ["sig", "band"])
+    hubs = banded.groupBy("sig", "band").agg(F.max("m").alias("m"), *[F.min(F.struct(o.alias("o"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias(f"hub{j}") for j, o in enumerate(orders)])
+    near = banded.join(_copies(hubs).drop("m"), ["sig", "band", "salt"])
 
     def fits(j: int):
         small, large = F.least(f"hub{j}.na", "n"), F.greatest(f"hub{j}.na", "n")
@@ -335,6 +369,12 @@ def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     return first.select("b", F.explode(hubs_of).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _drop(*tables) -> None:
+    for table in tables:
+        if table is not None:
+            drop_cut(table)
+
+
 def _near(percent: int):
     """Sizes that allow the similarity."""
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
@@ -355,8 +395,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_rows, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n_rows:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    # A token of this list is in a hundredth of all rows or more: the list is shorter than 200 times the mean set.
-    common = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).filter(F.col("c") >= F.lit(max(COMMON_LEAST, COMMON / 4 * n_rows))).select("node")
+    common = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).filter(F.col("c") >= F.lit(max(COMMON_LEAST, COMMON / 4 * n_rows))).orderBy(F.desc("c"), "node").limit(MOST_COMMON).select("node")
     common = np.sort(np.array([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
     buckets = 1 << max(4, math.ceil(math.log2(max(1, n_tokens / BUCKET_TOKENS))))
     parts = buckets
@@ -369,25 +408,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # It must be a short-prefix signature of one of them: of the smaller set of a similar pair it is.
     h = F.xxhash64("node", "lead")
     members = sigs.groupBy("sig").agg(F.count("*").alias("m"), F.sum(h.bitwiseAND(0x7FFFFFFFFFFF)).alias("s"), F.bit_xor(h).alias("x"), F.bool_or("lead").alias("led"))
-    sigs = cut(sigs.join(members.filter("m > 1 and led").groupBy("m", "s", "x").agg(F.min("sig").alias("sig")).select("sig"), "sig"))
+    sigs = cut(sigs.join(members.filter("m > 1 and led").groupBy("m", "s", "x").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig"))
 
     links, labels, active = None, None, sigs.withColumn("comp", F.col("node"))
     for turn in range(STAR_ROUNDS):
-        found = _links(_stars(active, turn, percent), sets, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        labels = components(links)
-        placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "core", "lead", F.coalesce("comp", "node").alias("comp"))
-        active = cut(placed.join(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "sig"))
-
-    # Whatever still lies in different components of one bucket.
-    active_sets = active.join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
-    left = active_sets.filter("lead").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("ma"), F.col("sketch").alias("sa"))
-    right = active_sets.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("mb"), F.col("sketch").alias("sb"))
-    apart = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ca") != F.col("cb")) & _near(percent)
-    pairs = left.join(right, (left["sig"] == right["sig"]) & apart & _fits(percent)).select("a", "b").distinct()
-    labels = components(cut(links.unionByName(_links(pairs, sets, percent))))
-    for table in (index, sigs, active):
-        drop_cut(table)
+        more = _links(_stars(active, turn, percent), sets, percent)
+        step = cut(more if links is None else links.unionByName(more))
+        _drop(links, labels)
+        links, labels = step, components(step)
+        placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "core", "lead", "m", F.coalesce("comp", "node").alias("comp"))
+        apart = placed.groupBy("sig").agg(F.max("m").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        fresh = cut(_salted(placed).join(_copies(apart).select("sig", "salt"), ["sig", "salt"]).drop("salt"))
+        _drop(active)
+        active = fresh
+
+    # Whatever still lies in different components of one bucket: nodes outside its largest component against all.
+    largest = active.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("most")).select("sig", F.col("most.comp").alias("largest"))
+    whole = active.join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
+    outer = _copies(active.join(largest, "sig").filter("comp != largest")).join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
+    one = outer.select("sig", "salt", "largest", F.col("lead").alias("la"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("ma"), F.col("sketch").alias("sa"))
+    other = _salted(whole).select("sig", "salt", F.col("lead").alias("lb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("mb"), F.col("sketch").alias("sb"))
+    first = F.struct("na", "a") < F.struct("nb", "b")
+    # the smaller set leads; of two outer nodes the pair is listed once
+    wanted = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | first) & F.when(first, F.col("la")).otherwise(F.col("lb")) & _near(percent)
+    pairs = one.join(other, ["sig", "salt"]).filter(wanted & _fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    last = cut(links.unionByName(_links(pairs, sets, percent)))
+    _drop(links, labels)
+    labels = components(last)
+    _drop(last, index, sigs, active)
 
     named = rows.join(labels, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     full = named.filter("n > 0")
