@@ -2,12 +2,16 @@
 
 Equal vectors are one node. Nodes meet first in cells of random hyperplanes; then, in rounds of joins, each node's
 neighbours and reverse neighbours are compared with each other (pairs with a fresh member only) and better neighbours
-replace worse ones. Nodes are dealt to blocks by hash; a block receives each vector it refers to once, in half
-precision. Rounds go on until hardly a neighbour changes. A query starts at its own node's neighbours and repeatedly
-expands the best unexpanded nodes of its beam until none is left; the best of the beam are scored again in double
-precision on the original vectors. Trees, neighbours and beam grow with the logarithm of the number of nodes.
-
-Work and traffic of a round are in proportion to the number of nodes (or queries); nothing is collected.
+replace worse ones. Nodes are dealt to blocks by hash; a block receives each vector it refers to once: its components in
+half precision as parts of its largest one, and that one in double precision, so vectors of any size keep their order.
+Rounds go on until hardly a neighbour changes. A query starts at its own node's neighbours, and at the nodes of largest
+norm, and repeatedly expands the best unexpanded nodes of its beam until none is left; the best of the beam are scored
+again in double precision on the original vectors. Trees, neighbours and beam grow with the logarithm of the number of
+nodes. The exact way (``exact_candidates``) scores stated queries against all nodes in blocks; it serves every query
+whose beam holds fewer nodes than it should return, and all of them on request.
+
+Work and traffic of a round are in proportion to the number of nodes (or queries); blocks get smaller as vectors get
+longer, so a task's memory does not depend on their length. Nothing is collected but the nodes of largest norm.
 """
 
 from __future__ import annotations
@@ -35,14 +39,21 @@ CELL = 250
 SENT = 24
 BLOCK_NODES = 5000
 BLOCK_QUERIES = 250
+#: Bytes of vectors, as 32-bit floats, that one block holds at most.
+BLOCK_BYTES = 256 << 20
+#: Nodes of largest norm at which every query starts as well (inner products favour them).
+LARGEST = 64
+#: The exact way: nodes of a block (of 64 components; fewer of longer vectors), and queries that meet them in one task.
+EXACT_NODES = 50_000
+EXACT_QUERIES = 2000
 #: Greedy search: nodes expanded in a round, and the beam (at least, and for each doubling of nodes).
 EXPANDED = 40
 BEAM = (256, 16)
 #: Best of the beam that are scored again in double precision.
 FINAL = 64
 
-GRAPH = "id long, ids array<long>, sims array<float>, flags array<boolean>, changed long"
-EDGES = "id long, other long, sim float"
+GRAPH = "id long, ids array<long>, sims array<double>, flags array<boolean>, changed long"
+EDGES = "id long, other long, sim double"
 
 
 def _grown(size: tuple[int, float], count: int) -> int:
@@ -59,23 +70,34 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (length[0] if length else 0))
 
 
-def _half(batches):
-    for batch in batches:
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-        n = len(batch)
-        rows = flat.reshape(n, -1).astype(np.float16) if n else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "vec"])
+def _coded(largest: float):
+    """Vectors as their largest component, as a part of ``largest``, and all components as parts of that in half precision."""
+
+    def run(batches):
+        for batch in batches:
+            n = len(batch)
+            if n:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                size = np.abs(x).max(axis=1)
+                small, size = (x / size[:, None]).astype(np.float16), size / largest
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() + b.tobytes() for a, b in zip(size, small, strict=True)], pa.binary())], ["id", "vec"])
+
+    return run
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and vectors as parts of them: the inner product of two is that of the parts times both sizes."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float16).astype(np.float32).reshape(len(values), -1) if values else np.zeros((0, 1), np.float32)
+    if not values:
+        return np.zeros(0), np.zeros((0, 1), np.float32)
+    raw = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+    return raw[:, :8].copy().view(np.float64).ravel(), raw[:, 8:].copy().view(np.float16).astype(np.float32)
 
 
 def _cells(depth: int, trees: int):
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1))[1]
             if not len(x):
                 continue
             for tree in range(trees):
@@ -87,24 +109,24 @@ def _cells(depth: int, trees: int):
 
 
 def _edges(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pa.Table:
-    return pa.table({"id": pa.array(ids, pa.int64()), "other": pa.array(others, pa.int64()), "sim": pa.array(sims, pa.float32())})
+    return pa.table({"id": pa.array(ids, pa.int64()), "other": pa.array(others, pa.int64()), "sim": pa.array(sims, pa.float64())})
 
 
 def _within_cell(most: int):
     def run(key, table):
-        ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"))
+        ids, (size, x) = table.column("id").to_numpy(), _matrix(table.column("vec"))
         n = len(ids)
         if n < 2:
             return _edges([], [], [])
         k = min(most // 2, n - 1) if n > most + 1 else n - 1
         owner, other, sim = [], [], []
         for i in range(0, n, 1024):
-            s = x[i : i + 1024] @ x.T
+            s = (x[i : i + 1024] @ x.T) * size
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             owner.append(np.repeat(ids[i : i + 1024], k))
             other.append(ids[best].ravel())
-            sim.append(np.take_along_axis(s, best, 1).ravel())
+            sim.append((np.take_along_axis(s, best, 1) * size[i : i + 1024, None]).ravel())
         return _edges(np.concatenate(owner), np.concatenate(other), np.concatenate(sim))
 
     return run
@@ -129,7 +151,7 @@ def _lists(owner, other, sim, fresh):
     """One row for each owner of sorted edges."""
     start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(start, len(owner)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((other, pa.int64()), (sim, pa.float32()), (fresh, pa.bool_()))]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((other, pa.int64()), (sim, pa.float64()), (fresh, pa.bool_()))]
     changed = np.add.reduceat(fresh.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
     return pa.table({"id": pa.array(owner[start], pa.int64()), "ids": lists[0], "sims": lists[1], "flags": lists[2], "changed": pa.array(changed)})
 
@@ -171,9 +193,9 @@ def _with_reverse(most: int):
 def _local_join(key, lists, vectors):
     """Neighbours of a node compared with each other: (id, other, sim) nearer than what id has already."""
     known, least = vectors.column("id").to_numpy(), vectors.column("least").to_numpy()
-    x = _matrix(vectors.column("vec"))
+    size_of, x = _matrix(vectors.column("vec"))
     order = np.argsort(known)
-    known, least, x = known[order], least[order], x[order]
+    known, least, size_of, x = known[order], least[order], size_of[order], x[order]
     ids, flags = lists.column("ids"), lists.column("flags")
     parts, size = [], 0
 
@@ -199,28 +221,37 @@ def _local_join(key, lists, vectors):
         at = np.searchsorted(known, ids[i].values.to_numpy())
         own = at[fresh]
         s = x[own] @ x[at].T
+        product = s * size_of[own][:, None] * size_of[at]
         bound = least[at]
-        for better, flip in ((s > bound[fresh][:, None], False), (s > bound[None, :], True)):
+        for better, flip in ((product > bound[fresh][:, None], False), (product > bound[None, :], True)):
             r, c = np.nonzero(better)
             n, o = own[r], at[c]
             keep = n != o
             n, o, v = n[keep], o[keep], s[r, c][keep]
-            parts.append((o, n, v) if flip else (n, o, v))
+            if flip:
+                n, o = o, n
+            parts.append((n, o, (v * size_of[o]).astype(np.float32)))  # as seen from n: its own size orders nothing
             size += len(n)
         if size > 3_000_000:
             parts = [settle()]
             size = len(parts[0][0])
     a, b, s = settle()
-    return _edges(known[a], known[b], s)
+    return _edges(known[a], known[b], s.astype(np.float64) * size_of[a])
 
 
 def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int").alias("block")
 
 
-def neighbour_graph(nodes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+def block_size(most: int, refers: int, dimension: int) -> int:
+    """Members of a block, each of which refers to so many vectors: ``most``, or as many as BLOCK_BYTES allow."""
+    return max(1, min(most, BLOCK_BYTES // (4 * max(1, refers * dimension))))
+
+
+def neighbour_graph(nodes: DataFrame, count: int, dimension: int = 64) -> tuple[DataFrame, DataFrame]:
     """(id, ids, sims, flags, changed) of each node, nearest first, and the same with reverse neighbours. nodes: (id, vec)."""
-    blocks, most = max(8, count // BLOCK_NODES), _grown(NEIGHBOURS, count)
+    most = _grown(NEIGHBOURS, count)
+    blocks = max(8, count // block_size(BLOCK_NODES, 2 * most, dimension))
     depth = max(0, math.ceil(math.log2(max(1, count / CELL))))
     cells = nodes.mapInArrow(_cells(depth, _grown(TREES, count)), "tree int, code long, id long, vec binary")
     full = cells.groupBy("tree", "code").agg(F.count("*").alias("n"))
@@ -233,7 +264,7 @@ def neighbour_graph(nodes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]
     while True:
         lists = _both_ways(graph, key, most)
         refs = lists.select(key.alias("at"), F.explode("ids").alias("id")).distinct()
-        floor = graph.select("id", F.when(F.size("ids") < most, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1)).cast("float").alias("least"))
+        floor = graph.select("id", F.when(F.size("ids") < most, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1)).cast("double").alias("least"))
         vectors = refs.join(nodes.join(floor, "id"), "id").select("at", "id", "vec", "least")
         better = lists.select(key, "ids", "flags").groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_local_join, EDGES)
         step = cut(lists.groupBy(key).cogroup(better.groupBy(key)).applyInArrow(_merge(most), GRAPH))
@@ -257,34 +288,37 @@ def _expand(beam: int):
     """New candidates of each query scored and put into its beam."""
 
     def run(key, states, vectors):
-        known, x = vectors.column("id").to_numpy(), _matrix(vectors.column("vec"))
+        known, (size, x) = vectors.column("id").to_numpy(), _matrix(vectors.column("vec"))
         order = np.argsort(known)
-        known, x = known[order], x[order]
+        known, size, x = known[order], size[order], x[order]
         out: list[list] = [[], [], [], []]
         for row in states.select(["id", "ids", "sims", "flags", "found"]).to_pylist():
             q = row["id"]
-            ids, sims, done = np.array(row["ids"], np.int64), np.array(row["sims"], np.float32), np.array(row["flags"], bool)
+            ids, sims, done = np.array(row["ids"], np.int64), np.array(row["sims"], np.float64), np.array(row["flags"], bool)
             rank = np.argsort(-sims, kind="stable")
             open_ = rank[~done[rank]][:EXPANDED]
             done[open_] = True
             new = np.setdiff1d(np.array(row["found"] or [], np.int64), np.append(ids, q))
             if len(new):
-                own = x[np.searchsorted(known, q)]
-                s = x[np.searchsorted(known, new)] @ own
+                own, at = np.searchsorted(known, q), np.searchsorted(known, new)
+                s = (x[at] @ x[own]) * size[at] * size[own]
                 ids, sims, done = np.concatenate((ids, new)), np.concatenate((sims, s)), np.concatenate((done, np.zeros(len(new), bool)))
                 rank = np.argsort(-sims, kind="stable")[:beam]
                 ids, sims, done = ids[rank], sims[rank], done[rank]
             for column, v in zip(out, (q, ids, sims, done), strict=True):
                 column.append(v)
-        return pa.table({"id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "sims": pa.array(out[2], pa.list_(pa.float32())), "flags": pa.array(out[3], pa.list_(pa.bool_()))})
+        return pa.table({"id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "sims": pa.array(out[2], pa.list_(pa.float64())), "flags": pa.array(out[3], pa.list_(pa.bool_()))})
 
     return run
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, both: DataFrame, nodes: DataFrame, count: int, beam: int) -> DataFrame:
+def greedy_search(queries: DataFrame, graph: DataFrame, both: DataFrame, nodes: DataFrame, count: int, beam: int, dimension: int = 64, starts: list[int] | None = None) -> DataFrame:
     """(id, ids, sims, flags): the beam of each query node when no member is left to expand. queries: (id)."""
+    none = F.array().cast("array<long>")
+    more = F.array(*(F.lit(x).cast("long") for x in starts)) if starts else none
     state = cut(queries.join(graph, "id").select("id", "ids", "sims", "flags").withColumn("flags", F.transform("flags", lambda _: F.lit(False))))
-    blocks = max(8, count // BLOCK_QUERIES)
+    refers = EXPANDED * 2 * _grown(NEIGHBOURS, 1 << 20)
+    blocks = max(8, count // block_size(BLOCK_QUERIES, refers, dimension))
     links = both.select(F.col("id").alias("node"), F.col("ids").alias("next"))
     open_ = F.exists("flags", lambda z: ~z)
     while not state.filter(open_).isEmpty():
@@ -292,41 +326,91 @@ def greedy_search(queries: DataFrame, graph: DataFrame, both: DataFrame, nodes:
         zipped = F.arrays_zip("ids", "flags")
         front = state.select("id", F.explode(F.slice(F.filter(zipped, lambda z: ~z["flags"]), 1, EXPANDED)).alias("f")).select("id", F.col("f.ids").alias("node"))
         found = front.join(links, "node").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("found"))
-        asked = cut(state.join(found, "id", "left").withColumn("block", _block("id", blocks)))
+        asked = cut(state.join(found, "id", "left").withColumn("found", F.array_union(F.coalesce("found", none), more)).withColumn("block", _block("id", blocks)))
+        more = none
         refs = asked.select(F.col("block").alias("at"), F.explode("found").alias("id")).unionByName(asked.select(F.col("block").alias("at"), "id")).distinct()
         vectors = refs.join(nodes, "id").select("at", "id", "vec")
-        step = cut(asked.groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_expand(beam), "id long, ids array<long>, sims array<float>, flags array<boolean>"))
+        step = cut(asked.groupBy("block").cogroup(vectors.groupBy("at")).applyInArrow(_expand(beam), "id long, ids array<long>, sims array<double>, flags array<boolean>"))
         drop_cut(asked)
         drop_cut(state)
         state = step
     return state
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _scan(most: int):
+    """The ``most`` nearest nodes of each query in one block, by double precision."""
+
+    def run(key, nodes, queries):
+        ids, others = queries.column("id").to_numpy(), nodes.column("other").to_numpy()
+        if not len(ids) or not len(others):
+            return _edges([], [], [])
+        q, x = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for t, c in ((queries, "q"), (nodes, "v")))
+        q, x = q.reshape(len(ids), -1), x.reshape(len(others), -1)
+        k, out = min(most, len(others)), []
+        for i in range(0, len(ids), 200):
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = q[i : i + 200] @ x.T
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            out.append((np.repeat(ids[i : i + 200], k), others[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        return _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+    return run
+
+
+def exact_candidates(queries: DataFrame, vectors: DataFrame, most: int, count: int, dimension: int) -> DataFrame:
+    """(id, other): the ``most`` nearest nodes of each query node, from a comparison with all nodes in blocks.
+
+    queries: (id); vectors: (id, v). Each task compares some of the queries with some of the nodes and keeps ``most`` a query.
+    """
+    n_blocks = max(1, math.ceil(count * max(1, dimension / 64) / EXACT_NODES))
+    q_blocks = max(1, math.ceil(queries.count() / EXACT_QUERIES))
+    spread = lambda blocks, name: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(name)
+    deal = lambda blocks, name: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int").alias(name)
+    nodes = vectors.select(F.col("id").alias("other"), "v", deal(n_blocks, "nb"), spread(q_blocks, "qb"))
+    asked = queries.join(vectors.select("id", F.col("v").alias("q")), "id").select("id", "q", deal(q_blocks, "qb"), spread(n_blocks, "nb"))
+    found = nodes.groupBy("qb", "nb").cogroup(asked.groupBy("qb", "nb")).applyInArrow(_scan(most + 1), EDGES).filter("id != other")
+    w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("id", "other")
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose id is divisible by ``every``.
 
     A row is no candidate of itself; rows with equal vectors are candidates like others. Null, empty and zero vectors,
-    those with null or non-finite components or of another length than most, and null ids take no part. Of rows that
-    share an id and a vector one takes part. With no more than k candidates all are returned; without any, nothing.
+    those with null or non-finite components or of another length than most, and null ids take no part (an inner product
+    needs equal lengths). Of rows that share an id and a vector one takes part. With no more than k candidates all are
+    returned, so each query has min(k, candidates) rows. An empty table gives an empty one. exact: all queries are
+    compared with all rows instead of the graph's search.
     """
     rows = cut(_valid(vectors, id_col, vector_col).withColumn("h", F.sha2(F.to_json(F.struct("v")), 256)).dropDuplicates(["vec_id", "h"]))
     # The node of equal vectors is their smallest id; of its rows the k + 1 smallest can be among anyone's nearest.
     w = Window.partitionBy("h").orderBy("vec_id")
     some = rows.select("h", "vec_id").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1)
     keys = cut(some.groupBy("h").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("members")))
-    firsts = keys.select("h", "node", "members")
-    exact = cut(rows.join(firsts.select("h", F.col("node").alias("vec_id")), ["h", "vec_id"]).select(F.col("h"), "v"))
-    exact = cut(exact.join(firsts, "h").withColumn("id", F.xxhash64("h")).select("id", "h", "v", "members"))
-    nodes = cut(exact.select("id", "v").mapInArrow(_half, "id long, vec binary"))
-    count = nodes.count()
+    kept = rows.join(keys.select("h", F.col("node").alias("vec_id"), "members"), ["h", "vec_id"])
+    whole = cut(kept.select(F.xxhash64("h").alias("id"), "v", "members"))
+    drop_cut(keys)
+    size = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    count, largest, dimension = whole.agg(F.count("*"), F.max(size), F.max(F.size("v"))).first()
     asked = rows.filter(F.col("vec_id") % every == 0).select("h", F.col("vec_id").alias("query_id"))
     queries = asked.select(F.xxhash64("h").alias("id")).distinct()
-    graph, both = neighbour_graph(nodes, count)
-    beams = greedy_search(queries, graph, both, nodes, max(1, queries.count()), _grown(BEAM, count))
-    best = beams.select("id", F.explode(F.concat(F.slice("ids", 1, FINAL), F.array("id"))).alias("other"))
-    alone = queries.join(beams.select("id"), "id", "left_anti").select("id", F.col("id").alias("other"))
-    pairs = best.unionByName(alone)
-    pairs = pairs.join(exact.select("id", F.col("v").alias("q")), "id").join(exact.select(F.col("id").alias("other"), "v", "members"), "other")
+    if count and not exact:
+        nodes = cut(whole.select("id", "v").mapInArrow(_coded(largest), "id long, vec binary"))
+        part = F.transform("v", lambda x: x / F.lit(largest))
+        norm = F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)
+        starts = [r[0] for r in whole.select("id", norm.alias("norm")).orderBy(F.desc("norm"), "id").limit(LARGEST).collect()]
+        graph, both = neighbour_graph(nodes, count, dimension)
+        beams = greedy_search(queries, graph, both, nodes, max(1, queries.count()), _grown(BEAM, count), dimension, starts)
+        for table in (graph, both, nodes):
+            drop_cut(table)
+        pairs = beams.select("id", F.explode(F.slice("ids", 1, FINAL)).alias("other"))
+        short = queries.join(beams.select("id", F.size("ids").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, count - 1)).select("id")
+        if not short.isEmpty():
+            pairs = pairs.unionByName(exact_candidates(short, whole, FINAL, count, dimension)).distinct()
+    else:
+        pairs = exact_candidates(queries, whole, FINAL, count, dimension or 1)
+    pairs = pairs.unionByName(queries.select("id", F.col("id").alias("other")))
+    pairs = pairs.join(whole.select("id", F.col("v").alias("q")), "id").join(whole.select(F.col("id").alias("other"), "v", "members"), "other")
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = pairs.select("id", score.alias("score"), "members")
     # k + 1 of a node's candidates are enough for each of its queries, which leaves itself out

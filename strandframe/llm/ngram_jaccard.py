@@ -423,9 +423,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         active = fresh
 
     # Whatever still lies in different components of one bucket: nodes outside its largest component against all.
-    largest = active.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("most")).select("sig", F.col("most.comp").alias("largest"))
+    largest = active.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.max("m").alias("m")).groupBy("sig").agg(F.max("m").alias("m"), F.max(F.struct("c", "comp")).alias("most")).select("sig", "m", F.col("most.comp").alias("largest"))
     whole = active.join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
-    outer = _copies(active.join(largest, "sig").filter("comp != largest")).join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
+    outer = _salted(active).join(_copies(largest).drop("m"), ["sig", "salt"]).drop("salt").filter("comp != largest")
+    outer = _copies(outer).join(index.filter("sig is null").select("node", "shared", "sketch"), "node")
     one = outer.select("sig", "salt", "largest", F.col("lead").alias("la"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("ma"), F.col("sketch").alias("sa"))
     other = _salted(whole).select("sig", "salt", F.col("lead").alias("lb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("mb"), F.col("sketch").alias("sb"))
     first = F.struct("na", "a") < F.struct("nb", "b")
