@@ -6,12 +6,20 @@ membership probes: level 1, 2, ... until one fails. The filter is partitioned by
 where the counts are, and sent to the workers in groups of at most GROUP_BYTES: with more data there are more groups,
 each a pass over the texts, never a larger broadcast.
 
-Probabilities: p(w | v) = t c(v w) / c(v) + (1 - t) p(w), p(w) = (c(w) + 1) / (N + V + 1), with counts as the filter
-gives them; the end of a text counts as a word, and the first word has the end before it.
+Probabilities are those of interpolated absolute discounting, from the counts q that the filter gives:
 
-Counting. A batch sends its distinct hashes, sorted and difference-coded, dealt by hash; words carry the documents they
-occur in, so the exact base sums need no second look at the words. Words that make up a stated share of a batch are
-counted apart (a short, bounded table), so no word gathers more than that share in one task.
+    p(w | v) = (max(q(v w) - d, 0) + d f(v) p(w)) / T(v),    p(w) = (q(w) + 1) / Z
+
+f(v) is the number of different words after v, also kept in the filter; T(v) is the sum of q(v w) - d over all w seen
+after v, plus d f(v); Z is the sum of q(w) + 1 over all words, plus 1 for all unknown words as one. So probabilities sum to
+1 for every v, but for the filter's false positives. After a v never seen p(w | v) = p(w). T and Z are exact sums of what
+the filter gives: they are made where the counts are. The end of a text counts as a word, and the first word has the end
+before it; so the words before the tokens of a text are its tokens, and the T's part of the score is a sum over them.
+
+Counting. A batch sends its distinct hashes, dealt by hash; words carry the documents they occur in, so the exact base sums
+and those of T need no second look at the words. A pair goes where its first word goes. Words that make up a stated share of
+a batch are counted apart (a short, bounded table), and pairs that begin with them are dealt by the pair, so no word gathers
+more than that share in one task. Pairs are told apart by log2(N) + SPARE_BITS bits of their hash.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm import words
-from strandframe.session import cut
+from strandframe.session import cut, drop_cut
 
 #: Levels of the logarithmic scale: level j stands for counts from BASE^(j-1).
 BASE = 2.0
@@ -33,19 +41,22 @@ BITS_AN_ENTRY = 10
 PROBES = 4
 #: Bytes of filter in one broadcast.
 GROUP_BYTES = 96 << 20
-#: Weight of pairs in the mixture.
-TRUST = 0.15
+#: What is taken from the count of each pair, for pairs not seen.
+DISCOUNT = 0.75
 #: Tokens of a batch, and the hashes of one counting task on average.
 BATCH_TOKENS = 1 << 20
 BATCH_ROWS = 60_000
-BUCKET_HASHES = 1 << 21
+BUCKET_HASHES = 1 << 20
 #: A word that makes up half of this share of a batch's tokens, in a thousandth at least of all, is counted apart.
 COMMON = 0.002
 #: Hashes of pairs are cut to so many bits more than the number of tokens needs.
 SPARE_BITS = 13
 
 END = np.uint64(0x7C0FFEE5EED5EED5)
-SENT = "key int, docs binary, hashes binary, repeats binary, owners binary, counts binary"
+#: What tells pairs and numbers of followers from words in the filter.
+PAIR = np.uint64(0x1D8E4E27C47D124F)
+FANS = np.uint64(0xEB44ACCAB455D165)
+SENT = "key int, docs binary, hashes binary, repeats binary, owners binary, counts binary, contexts binary, fans binary, pairs binary, tallies binary"
 COUNTED = "key int, part int, docs binary, logs binary, known binary, blob binary, entries long, distinct long"
 
 
@@ -84,18 +95,45 @@ def _count_common(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(value.view(np.int64), np.int64(0))), pa.array(np.append(n, rest).astype(np.int64)), pa.array(np.append(np.ones(len(value), np.int32), np.int32(0)))], ["hash", "n", "kind"])
 
 
+def _runs(values: np.ndarray):
+    """(value, start, stop) of each run of equal values."""
+    if len(values):
+        bounds = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))).tolist()
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            yield int(values[i]), i, j
+
+
+def _member(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
+
+
 def _send(buckets: int, bits: int, common):
-    """Postings of words (key < buckets) and hashes of pairs (key from buckets on), of one batch each."""
+    """Of a batch, for each bucket: postings of words, and how often each pair occurs in training."""
 
     def run(batches):
         shift, drop = np.uint64(64 - int(math.log2(buckets))), np.uint64(64 - bits)
+        width = -(-bits // 8)
         apart = common.value
         for keys, flags, hashes, counts in _batches(batches):
             owner = np.repeat(np.arange(len(keys), dtype=np.uint64), counts)
             train = np.repeat(flags, counts)
-            rows: list[tuple] = []
-            pair = np.sort(_pairs(hashes, counts)[train])
-            known = apart[np.minimum(np.searchsorted(apart, hashes), len(apart) - 1)] == hashes if len(apart) else np.zeros(len(hashes), bool)
+            known = _member(apart, hashes)[0]
+            rows: dict[int, list] = {}
+            # pairs, each once, by (bucket, first word)
+            before = np.concatenate(([END], hashes[:-1]))[train]
+            pair, first, tally = np.unique(_pairs(hashes, counts)[train], return_index=True, return_counts=True)
+            before = before[first]
+            bucket = (np.where(_member(apart, before)[0], pair, before) >> shift).astype(np.int64)
+            order = np.lexsort((before, bucket))
+            bucket, before, pair, tally = bucket[order], before[order], pair[order] >> drop, tally[order]
+            for b, i, j in _runs(bucket):
+                contexts, fans = np.unique(before[i:j], return_counts=True)
+                short = np.ascontiguousarray(pair[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+                rows[b] = [b"", b"", b"", b"", b"", words.pack(contexts), _narrowed(fans), short.tobytes(), _narrowed(tally[i:j])]
             value, n = np.unique(hashes[known & train], return_counts=True)
             own, of, is_train = hashes[~known], owner[~known], train[~known]
             # one entry for each word and document: how often; training documents first
@@ -105,29 +143,22 @@ def _send(buckets: int, bits: int, common):
             start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (code[1:] != code[:-1])))) if len(own) else np.zeros(0, np.int64)
             times = np.diff(np.append(start, len(own)))
             own, code = own[start], code[start]
-            cuts = np.searchsorted((own >> shift).astype(np.int64), np.arange(buckets + 1))
-            apart_cuts = np.searchsorted((value >> shift).astype(np.int64), np.arange(buckets + 1))
-            pair_cuts = np.searchsorted((pair >> shift).astype(np.int64), np.arange(buckets + 1))
-            for b in range(buckets):
-                i, j = cuts[b], cuts[b + 1]
-                p, q = apart_cuts[b], apart_cuts[b + 1]
-                if i < j or p < q:
-                    used, local = np.unique((code[i:j] >> np.uint64(1)).astype(np.int64), return_inverse=True)
-                    train_bit = (code[i:j] & np.uint64(1)).astype(np.uint32)
-                    # counts of words counted apart are documents' zeroth: owner 0xFFFFFFFF
-                    owners = np.concatenate(((local.astype(np.uint32) << np.uint32(1)) | train_bit, np.full(q - p, 0xFFFFFFFF, np.uint32)))
-                    whole = np.concatenate((own[i:j], value[p:q]))
-                    tally = np.concatenate((times[i:j], n[p:q])).astype(np.uint32)
-                    order = np.argsort(whole, kind="stable")
-                    narrow = np.uint16 if owners.size == 0 or (len(used) < 32000 and q == p) else np.uint32
-                    each, repeats = np.unique(whole, return_counts=True)
-                    rows.append((b, keys[used].astype("<i8").tobytes(), words.pack(each), _narrowed(repeats), bytes([np.dtype(narrow).itemsize]) + owners[order].astype(narrow).tobytes(), _narrowed(tally[order])))
-                i, j = pair_cuts[b], pair_cuts[b + 1]
-                if i < j:
-                    each, repeats = np.unique(pair[i:j] >> drop, return_counts=True)
-                    rows.append((buckets + b, b"", words.pack(each), _narrowed(repeats), b"", b""))
+            held = {b: (i, j) for b, i, j in _runs((own >> shift).astype(np.int64))}
+            alone = {b: (i, j) for b, i, j in _runs((value >> shift).astype(np.int64))}
+            for b in held.keys() | alone.keys():
+                (i, j), (p, q) = held.get(b, (0, 0)), alone.get(b, (0, 0))
+                used, local = np.unique((code[i:j] >> np.uint64(1)).astype(np.int64), return_inverse=True)
+                train_bit = (code[i:j] & np.uint64(1)).astype(np.uint32)
+                # counts of words counted apart are documents' zeroth: owner 0xFFFFFFFF
+                owners = np.concatenate(((local.astype(np.uint32) << np.uint32(1)) | train_bit, np.full(q - p, 0xFFFFFFFF, np.uint32)))
+                whole = np.concatenate((own[i:j], value[p:q]))
+                often = np.concatenate((times[i:j], n[p:q])).astype(np.uint32)
+                order = np.argsort(whole, kind="stable")
+                narrow = np.uint16 if owners.size == 0 or (len(used) < 32000 and q == p) else np.uint32
+                each, repeats = np.unique(whole, return_counts=True)
+                rows.setdefault(b, [b""] * 9)[:5] = [keys[used].astype("<i8").tobytes(), words.pack(each), _narrowed(repeats), bytes([np.dtype(narrow).itemsize]) + owners[order].astype(narrow).tobytes(), _narrowed(often[order])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], [x.split()[0] for x in SENT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in range(9))], [x.split()[0] for x in SENT.split(", ")])
 
     return run
 
@@ -140,6 +171,8 @@ def _narrowed(values: np.ndarray) -> bytes:
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint8)
     return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32}[blob[0]], offset=1)
 
 
@@ -162,20 +195,19 @@ def _places(hashes: np.ndarray, level: int | np.ndarray, size: int):
         yield ((first + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)
 
 
-def segment_bits(entries: int) -> int:
-    return max(64, -(-BITS_AN_ENTRY * entries // 64) * 64)
+def segment_bits(entries: int, bits_an_entry: int = BITS_AN_ENTRY) -> int:
+    return max(64, -(-bits_an_entry * entries // 64) * 64)
 
 
-def build_segment(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
+def build_segment(hashes: np.ndarray, counts: np.ndarray, bits_an_entry: int = BITS_AN_ENTRY) -> bytes:
     level = levels(counts)
-    entries = int(level.sum())
-    size = segment_bits(entries)
+    size = segment_bits(int(level.sum()), bits_an_entry)
     bits = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         own = hashes[level >= j]
         for place in _places(own, j, size):
             bits[place] = 1
-    return np.packbits(bits, bitorder="little").tobytes(), entries
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 class Filter:
@@ -185,8 +217,8 @@ class Filter:
         self.buckets = buckets
         self.keys = sorted(segments)
         sizes = [len(segments[k]) for k in self.keys]
-        self.start = np.zeros(2 * buckets, np.int64)
-        self.size = np.zeros(2 * buckets, np.uint64)
+        self.start = np.zeros(buckets, np.int64)
+        self.size = np.zeros(buckets, np.uint64)
         for k, at, size in zip(self.keys, np.concatenate(([0], np.cumsum(sizes[:-1]))).tolist() if sizes else [], sizes, strict=True):
             self.start[k], self.size[k] = 8 * at, 8 * size
         self.bytes = np.frombuffer(b"".join(segments[k] for k in self.keys), np.uint8)
@@ -209,48 +241,72 @@ class Filter:
         return out
 
 
-def _count(buckets: int, parts: int):
-    """Exact counts of one bucket of n-grams: its filter segment, and for words each document's sum of log10(c + 1)."""
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """What the filter gives for counts from 1 on."""
+    return level_count(levels(counts))
+
+
+def _count(parts: int, bits: int, common, bits_an_entry: int):
+    """Exact counts of one bucket: its filter segment, sums for Z, each document's sums of log10(c + 1) and of log10 T, and
+    parts of T for words counted apart."""
 
     def run(key, table):
-        key = key[0].as_py()
-        each = [words.unpack(h) for h in table.column("hashes").to_pylist()]
-        repeats = [_unpacked(r).astype(np.int64) for r in table.column("repeats").to_pylist()]
+        key, width = key[0].as_py(), -(-bits // 8)
+        column = lambda name: table.column(name).to_pylist()
+        # pairs: of each first word the sum of q - d, and how many words follow it
+        contexts, pairs, tallies = [], [], []
+        for context, fan, short, tally in zip(*map(column, ("contexts", "fans", "pairs", "tallies")), strict=True):
+            raw = np.frombuffer(short, np.uint8).reshape(-1, width)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :width] = raw
+            contexts.append(np.repeat(words.unpack(context), _unpacked(fan)))
+            pairs.append(wide.reshape(-1).view("<u8"))
+            tallies.append(_unpacked(tally).astype(np.int64))
+        pair, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        pair_count = np.bincount(at, weights=np.concatenate(tallies), minlength=len(pair)).astype(np.int64)
+        before, at = np.unique(np.concatenate(contexts)[first], return_inverse=True)
+        mass = np.bincount(at, weights=quantised(pair_count) - DISCOUNT, minlength=len(before))
+        fans = np.bincount(at, minlength=len(before))
+        del contexts, pairs, tallies
+        held = _member(common.value, before)[0]
         out: list[tuple] = []
-        if key >= buckets:
-            pair, at = np.unique(np.concatenate(each), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate(repeats), minlength=len(pair)).astype(np.int64)
-            blob, entries = build_segment(pair, c)
-            out.append((key, -1, b"", b"", b"", blob, entries, len(pair)))
-        else:
-            hashes = [np.repeat(h, n) for h, n in zip(each, repeats, strict=True)]
-            docs, owners, counts, base = [], [], [], 0
-            for doc, owner, count in zip(*(table.column(c).to_pylist() for c in ("docs", "owners", "counts")), strict=True):
-                doc, owner = np.frombuffer(doc, "<i8"), _unpacked(owner).astype(np.int64)
-                docs.append(doc)
-                apart = owner == 0xFFFFFFFF
-                owners.append(np.where(apart, -1, owner + 2 * base))
-                counts.append(_unpacked(count).astype(np.int64))
-                base += len(doc)
-            doc, owner, count, value = np.concatenate(docs), np.concatenate(owners), np.concatenate(counts), np.concatenate(hashes)
-            distinct, at = np.unique(value, return_inverse=True)
-            learnt = (owner < 0) | (owner & 1 == 1)
-            c = np.bincount(at[learnt], weights=count[learnt], minlength=len(distinct)).astype(np.int64)
-            blob, entries = build_segment(distinct[c > 0], c[c > 0])
-            out.append((key, -1, b"", b"", b"", blob, entries, int((c > 0).sum())))
-            common = np.unique(at[owner < 0])
-            if len(common):  # their counts go to the scoring pass
-                out.append((key, -2, distinct[common].tobytes(), c[common].tobytes(), b"", b"", 0, 0))
-            own = owner >= 0
-            row = owner[own] >> 1
-            logs = np.bincount(row, weights=np.log10(c[at[own]] + 1.0) * count[own], minlength=len(doc))
-            known = np.bincount(row, weights=(c[at[own]] > 0) * count[own], minlength=len(doc)).astype(np.int64)
-            ids, where = np.unique(doc, return_inverse=True)
-            logs, known = np.bincount(where, weights=logs, minlength=len(ids)), np.bincount(where, weights=known, minlength=len(ids)).astype(np.int64)
-            part = ids % parts
-            for p in np.unique(part):
-                own = part == p
-                out.append((key, int(p), ids[own].tobytes(), logs[own].tobytes(), known[own].tobytes(), b"", 0, 0))
+        if held.any():
+            out.append((key, -3, before[held].tobytes(), mass[held].tobytes(), fans[held].tobytes(), b"", 0, 0))
+        before, mass, fans = before[~held], mass[~held], fans[~held]
+        log_t = np.log10(mass + DISCOUNT * quantised(fans))
+        # words
+        hashes = [np.repeat(words.unpack(h), _unpacked(n)) for h, n in zip(column("hashes"), column("repeats"), strict=True)]
+        docs, owners, counts, base = [], [], [], 0
+        for doc, owner, count in zip(*map(column, ("docs", "owners", "counts")), strict=True):
+            doc, owner = np.frombuffer(doc, "<i8"), _unpacked(owner).astype(np.int64)
+            docs.append(doc)
+            owners.append(np.where(owner == 0xFFFFFFFF, -1, owner + 2 * base))
+            counts.append(_unpacked(count).astype(np.int64))
+            base += len(doc)
+        doc, owner, count, value = np.concatenate(docs), np.concatenate(owners), np.concatenate(counts), np.concatenate(hashes)
+        distinct, at = np.unique(value, return_inverse=True)
+        learnt = (owner < 0) | (owner & 1 == 1)
+        c = np.bincount(at[learnt], weights=count[learnt], minlength=len(distinct)).astype(np.int64)
+        seen = c > 0
+        blob = build_segment(np.concatenate((distinct[seen], words.mix(pair + PAIR), words.mix(before + FANS))), np.concatenate((c[seen], pair_count, fans)), bits_an_entry)
+        out.append((key, -1, b"", b"", b"", blob, int(2 * quantised(c[seen]).sum()), int(seen.sum())))  # q is a multiple of a half
+        apart = np.unique(at[owner < 0])
+        if len(apart):  # their counts go to the scoring pass
+            out.append((key, -2, distinct[apart].tobytes(), c[apart].tobytes(), b"", b"", 0, 0))
+        found, place = _member(before, distinct)
+        logs_t = np.where(found, log_t[place], 0.0) if len(before) else np.zeros(len(distinct))
+        own = owner >= 0
+        row = owner[own] >> 1
+        ids, where = np.unique(doc, return_inverse=True)
+        sums = []
+        for each in (np.log10(c + 1.0), seen, logs_t):
+            of_row = np.bincount(row, weights=each[at[own]] * count[own], minlength=len(doc))
+            sums.append(np.bincount(where, weights=of_row, minlength=len(ids)))
+        part = ids % parts
+        order = np.argsort(part, kind="stable")
+        for p, i, j in _runs(part[order]):
+            own = order[i:j]
+            out.append((key, p, ids[own].tobytes(), sums[0][own].tobytes(), sums[1][own].astype(np.int64).tobytes(), sums[2][own].tobytes(), 0, 0))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
 
@@ -258,35 +314,48 @@ def _count(buckets: int, parts: int):
 
 
 def _sums(key, table):
-    docs, logs, known = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("docs", np.int64), ("logs", np.float64), ("known", np.int64)))
+    docs, *sums = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("docs", np.int64), ("logs", np.float64), ("known", np.int64), ("blob", np.float64)))
     ids, at = np.unique(docs, return_inverse=True)
-    return pa.table({"row": ids, "logs": np.bincount(at, weights=logs, minlength=len(ids)), "known": np.bincount(at, weights=known, minlength=len(ids)).astype(np.int64)})
+    logs, known, logs_t = (np.bincount(at, weights=x, minlength=len(ids)) for x in sums)
+    return pa.table({"row": ids, "logs": logs, "known": known.astype(np.int64), "logs_t": logs_t})
+
+
+def _parts_of_t(batches):
+    for batch in batches:
+        hashes, mass, fans = (np.concatenate([np.zeros(0, t), *(np.frombuffer(b, t) for b in batch.column(k).to_pylist())]) for k, t in enumerate((np.int64, np.float64, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(mass), pa.array(fans)], ["hash", "mass", "fans"])
 
 
 class _Settings:
-    """What a scoring pass needs beside the filter; of fixed or bounded size."""
+    """What a scoring pass needs beside the filter: of words counted apart (hashes, sorted) their counts, quantised numbers of
+    followers and log10 T; sums over all words."""
 
-    def __init__(self, buckets, bits, hashes, counts, total, distinct):
-        self.buckets, self.bits, self.hashes, self.counts, self.total, self.distinct = buckets, bits, hashes, counts, total, distinct
+    def __init__(self, buckets: int, bits: int, hashes: np.ndarray, counts: np.ndarray, fans: np.ndarray, log_t: np.ndarray, z: float):
+        self.buckets, self.bits, self.hashes, self.counts, self.fans, self.log_t, self.z = buckets, bits, hashes, counts, fans, log_t, z
 
 
 def _levels_of(model: Filter, s: _Settings, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Levels of each word, of its pair with the word before it, and of its number of followers, as far as this filter tells."""
     shift, drop = np.uint64(64 - int(math.log2(s.buckets))), np.uint64(64 - s.bits)
-    pair = _pairs(hashes, counts)
-    one = model.level((hashes >> shift).astype(np.int64), hashes)
-    two = model.level((pair >> shift).astype(np.int64) + s.buckets, pair >> drop)
-    return np.stack((one, two))
-
-
-def _probability(s: _Settings, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of each word's smoothed probability."""
-    one, two = level_count(found[0].astype(np.int64)), level_count(found[1].astype(np.int64))
-    before = np.concatenate(([0.0], one[:-1]))
-    first = np.cumsum(counts) - counts
-    before[first] = s.ends
-    p = (one + 1) / (s.total + s.distinct + 1)
-    trust = np.where(before > 0, TRUST, 0.0)  # a word never seen has no pairs
-    return np.log10(trust * np.minimum(two, before) / np.maximum(before, 1) + (1 - trust) * p)
+    each, at = np.unique(hashes, return_inverse=True)
+    bucket = (each >> shift).astype(np.int64)
+    one, fans = model.level(bucket, each)[at], model.level(bucket, words.mix(each + FANS))[at]
+    pair, before = _pairs(hashes, counts), np.concatenate(([END], hashes[:-1]))
+    bucket = (np.where(_member(s.hashes, before)[0], pair, before) >> shift).astype(np.int64)
+    return np.stack((one, model.level(bucket, words.mix((pair >> drop) + PAIR)), fans))
+
+
+def _log_terms(s: _Settings, found: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 of p(w | v) T(v) of each word."""
+    one, two, fans = (level_count(x.astype(np.int64)) for x in found)
+    common, at = _member(s.hashes, hashes)
+    if len(s.hashes):
+        fans = np.where(common, s.fans[at], fans)
+    ends = np.cumsum(counts)
+    before = np.concatenate(([0.0], fans[:-1]))
+    before[ends - counts] = fans[ends - 1]  # the end, which is each text's last word
+    p = (one + 1) / s.z
+    return np.log10(np.where(before > 0, np.where(two > 0, two - DISCOUNT, 0.0) + DISCOUNT * before * p, p))
 
 
 def _score(model, settings, carried: bool, last: bool):
@@ -296,39 +365,32 @@ def _score(model, settings, carried: bool, last: bool):
         m, s = model.value, settings.value
         for batch in batches:
             found_before = batch.column(4).to_pylist() if carried else None
-            blobs, scores, tokens, logs, known = [], [], [], [], []
+            blobs, out = [], []
             for first, block, count in words.word_batches(batch.column(3)):
                 stop = np.cumsum(count)
                 hashes, counts = np.insert(block, stop, END), count + 1
                 found = _levels_of(m, s, hashes, counts)
                 ends = np.cumsum(counts)
+                starts = ends - counts
                 if found_before:
-                    for i in range(len(counts)):
-                        own = slice(ends[i] - counts[i], ends[i])
-                        found[:, own] = np.maximum(found[:, own], np.frombuffer(found_before[first + i], np.uint8).reshape(2, -1))
+                    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                        found[:, a:b] = np.maximum(found[:, a:b], np.frombuffer(found_before[first + i], np.uint8).reshape(3, -1))
                 if not last:
-                    blobs += [found[:, e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
+                    blobs += [found[:, a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
                     continue
-                starts = ends - counts
-                scores.append(np.add.reduceat(_probability(s, found, counts), starts))
-                tokens.append(counts)
-                if len(s.hashes):
-                    at = np.minimum(np.searchsorted(s.hashes, hashes), len(s.hashes) - 1)
-                    common = s.hashes[at] == hashes
-                    logs.append(np.add.reduceat(np.where(common, np.log10(s.counts[at] + 1.0), 0.0), starts))
-                    known.append(np.add.reduceat((common & (s.counts[at] > 0)).astype(np.int64), starts))
-                else:
-                    logs.append(np.zeros(len(counts)))
-                    known.append(np.zeros(len(counts), np.int64))
+                common, at = _member(s.hashes, hashes)
+                of_common = lambda x, common=common, at=at, starts=starts: np.add.reduceat(np.where(common, x[at], 0) if len(x) else np.zeros(len(common), x.dtype), starts)
+                score = np.add.reduceat(_log_terms(s, found, hashes, counts), starts) - of_common(s.log_t)
+                out.append((counts, of_common(np.log10(s.counts + 1.0)), of_common((s.counts > 0).astype(np.int64)), score))
             if not last:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blobs, pa.binary())], ["row", "doc_id", "train", "text", "found"])
-            elif scores:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.concatenate(x)) for x in (tokens, logs, known, scores))], ["row", "doc_id", "train", "n_tokens", "c_logs", "c_known", "score"])
+            elif out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], ["row", "doc_id", "train", "n_tokens", "c_logs", "c_known", "score"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bits_an_entry: int = BITS_AN_ENTRY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Null and empty texts have one token, the end. A null id is not held out: it is learnt from. Repeated rows are learnt
@@ -341,7 +403,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     # The key of a row is its id and text; rows that are wholly equal share their sums evenly.
     keyed = keyed.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", "train", "text")
     source = keyed.select("row", "train", "text")
-    seen = cut(source.mapInArrow(_count_common, "hash long, n long, kind int"))
+    seen = cut(source.mapInArrow(words.freeing(_count_common), "hash long, n long, kind int"))
     total = seen.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Each makes up a thousandth of a quarter's share of all tokens at least, so there are 4 / COMMON at most.
     common = [r[0] for r in seen.filter("kind = 1").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(COMMON / 4 * total)).collect()]
@@ -349,22 +411,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     buckets = 1 << max(3, math.ceil(math.log2(max(1, total / BUCKET_HASHES))))
     bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
     parts = buckets
-    sent = source.mapInArrow(_send(buckets, bits, spark.sparkContext.broadcast(common)), SENT)
-    counted = cut(sent.groupBy("key").applyInArrow(_count(buckets, parts), COUNTED))
-    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(_sums, "row long, logs double, known long")
-    apart = counted.filter("part = -2").select("docs", "logs").collect()
-    hashes = np.concatenate([np.frombuffer(r.docs, np.uint64) for r in apart] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r.logs, np.int64) for r in apart] or [np.zeros(0, np.int64)])
-    order = np.argsort(hashes)
-    segments = counted.filter("part = -1").select("key", F.length("blob").alias("size"), "distinct").collect()  # 2 x buckets rows
-    distinct = sum(r.distinct for r in segments if r.key < buckets)
-    settings = _Settings(buckets, bits, hashes[order], counts[order], total, distinct)
-    settings.ends = float(keyed.filter("train").count())
+    drop_cut(seen)
+    apart = spark.sparkContext.broadcast(common)
+    sent = source.mapInArrow(words.freeing(_send(buckets, bits, apart)), SENT)
+    counted = cut(sent.groupBy("key").applyInArrow(_count(parts, bits, apart, bits_an_entry), COUNTED))
+    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(_sums, "row long, logs double, known long, logs_t double")
+    rows = counted.filter("part = -2").select("docs", "logs").collect()  # a row a bucket that has a common word
+    counts = dict(zip(*(np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]).tolist() for k, t in enumerate((np.uint64, np.int64))), strict=True))
+    of_t = counted.filter("part = -3").select("docs", "logs", "known").mapInArrow(_parts_of_t, "hash long, mass double, fans long")
+    of_t = {int(np.int64(r.hash).view(np.uint64)): (r.mass, r.fans) for r in of_t.groupBy("hash").agg(F.sum("mass").alias("mass"), F.sum("fans").alias("fans")).collect()}  # a row a common word
+    fans = np.array([of_t.get(h, (0.0, 0))[1] for h in common.tolist()], np.int64)
+    degree = np.where(fans > 0, quantised(fans), 0.0)
+    mass = np.array([of_t.get(h, (0.0, 0))[0] for h in common.tolist()]) + DISCOUNT * degree
+    segments = counted.filter("part = -1").select("key", F.length("blob").alias("size"), "entries", "distinct").collect()  # a row a bucket
+    distinct = sum(r.distinct for r in segments)
+    z = sum(r.entries for r in segments) / 2 + distinct + 1
+    settings = _Settings(buckets, bits, common, np.array([counts.get(h, 0) for h in common.tolist()], np.int64), degree, np.log10(np.where(mass > 0, mass, 1.0)), z)
     shared = spark.sparkContext.broadcast(settings)
 
     groups: list[list[int]] = [[]]
     size = 0
-    for r in sorted(segments):
+    for r in sorted(segments, key=lambda r: r.key):
         if groups[-1] and size + r.size > group_bytes:
             groups.append([])
             size = 0
@@ -377,11 +444,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
         del blobs
         last = k == len(groups) - 1
         schema = "row long, doc_id long, train boolean, n_tokens long, c_logs double, c_known long, score double" if last else "row long, doc_id long, train boolean, text string, found binary"
-        passed = passed.mapInArrow(_score(model, shared, k > 0, last), schema)
+        step = passed.mapInArrow(words.freeing(_score(model, shared, k > 0, last)), schema)
         if not last:
-            passed = cut(passed)
+            step = cut(step)
+            drop_cut(passed)
+        passed = step
     copies = keyed.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1")
-    sums = sums.join(copies, "row", "left").select("row", *((F.col(c) / F.coalesce("copies", F.lit(1))).alias(c) for c in ("logs", "known")))
+    sums = sums.join(copies, "row", "left").select("row", *((F.col(c) / F.coalesce("copies", F.lit(1))).alias(c) for c in ("logs", "known", "logs_t")))
     scored = passed.join(sums, "row", "left")
     base = F.coalesce("logs", F.lit(0.0)) + F.col("c_logs") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0.0)).cast("long") + F.col("c_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0.0)).cast("long") + F.col("c_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") - F.coalesce("logs_t", F.lit(0.0))).alias("score"))

@@ -192,7 +192,7 @@ def test_language_model(corpus, docs):
 def test_bloom_levels_and_groups(docs):
     hashes = np.random.default_rng(2).integers(1, 1 << 62, 4000).astype(np.uint64)
     counts = np.arange(1, 4001)
-    blob, _ = lm.build_segment(hashes, counts)
+    blob = lm.build_segment(hashes, counts)
     model = lm.Filter({0: blob}, 1)
     found = model.level(np.zeros(4000, np.int64), hashes)
     assert (found >= lm.levels(counts)).all() and (found == lm.levels(counts)).mean() > 0.95

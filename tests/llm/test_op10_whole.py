@@ -1,7 +1,8 @@
-"""Pairs seen once in training count in the score."""
+"""The score is the log-probability of a normalised model, whose brute-force twin is here."""
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -9,24 +10,71 @@ import pytest
 
 from strandframe.llm import lm
 
+HELD = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
 
-def test_score_knows_pairs_seen_once(spark):
-    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
-    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
-    texts = ["red fox jumps over walls", "red hen sits", "old hen jumps"]
-    rows = [*zip(learnt, texts, strict=True), (held, "red fox jumps new fox over walls")]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    one, two = collections.Counter(), collections.Counter()
-    for text in texts:
+
+def q(n):
+    return float(lm.quantised(np.array([n]))[0]) if n else 0.0
+
+
+class Twin:
+    def __init__(self, texts):
+        self.one, self.two = collections.Counter(), collections.Counter()
+        for text in texts:
+            own = [*text.split(), None]
+            self.one.update(own)
+            self.two.update(zip([None, *own[:-1]], own, strict=True))
+        self.after = collections.defaultdict(list)
+        for (v, _), n in self.two.items():
+            self.after[v].append(q(n) - lm.DISCOUNT)
+        self.z = sum(q(n) + 1 for n in self.one.values()) + 1
+
+    def p(self, w, v):
+        alone = (q(self.one[w]) + 1) / self.z
+        if v not in self.after:
+            return alone
+        fans = q(len(self.after[v]))
+        return (max(q(self.two[v, w]) - lm.DISCOUNT, 0) + lm.DISCOUNT * fans * alone) / (sum(self.after[v]) + lm.DISCOUNT * fans)
+
+    def score(self, text):
         own = [*text.split(), None]
-        one.update(own)
-        two.update(zip([None, *own[:-1]], own, strict=True))
-    quantised = lambda n: float(lm.level_count(lm.levels(np.array([n])))[0]) if n else 0.0
-    for i, text in rows:
-        own, want = [*text.split(), None], 0.0
-        for v, w in zip([None, *own[:-1]], own, strict=True):
-            c = float(one[v]) if v is None else quantised(one[v])
-            p = (quantised(one[w]) + 1) / (one.total() + len(one) + 1)
-            trust = lm.TRUST if c else 0.0
-            want += math.log10(trust * min(quantised(two[v, w]), c) / max(c, 1) + (1 - trust) * p)
-        assert got[i] == pytest.approx(want, rel=1e-9)
+        return sum(math.log10(self.p(w, v)) for v, w in zip([None, *own[:-1]], own, strict=True))
+
+
+def corpus(n, words, seed=3):
+    rng = random.Random(seed)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(words)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60)))) for i in range(n)]
+    held = next(i for i in range(1000, 2000) if HELD(i))
+    return [*rows, (held, "never seen w1 words w2 w1 at all"), (held, "never seen w1 words w2 w1 at all"), rows[5]]
+
+
+@pytest.mark.parametrize(("n", "options"), [(30, {}), (400, {}), (400, {"group_bytes": 20_000})])
+def test_score_is_its_twin(spark, n, options):
+    rows = corpus(n, 500)
+    twin = Twin([t for i, t in rows if not HELD(i)])
+    got = lm.score(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double"), bits_an_entry=64, **options).collect()
+    assert len(got) == len(rows)
+    want = collections.defaultdict(set)
+    for i, t in rows:
+        want[i].add(t)
+    wrong = [r for r in got if r.score != pytest.approx(twin.score(next(iter(want[r.doc_id]))), rel=1e-9)]
+    assert len(wrong) <= len(rows) / 100  # a false positive of the filter
+
+
+def test_probabilities_sum_to_one():
+    twin = Twin([t for _, t in corpus(200, 300)])
+    for v in [*list(twin.one)[:40], "never seen"]:
+        assert sum(twin.p(w, v) for w in [*twin.one, "an unknown word"]) == pytest.approx(1, rel=1e-9)
+
+
+def test_texts_seen_twice_stand_apart(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    learnt = [i for i in range(3000) if not HELD(i)]
+    rows = [(i, text()) for i in learnt[:600]]
+    rows += [(learnt[700 + k], rows[k][1]) for k in range(30)]
+    twice = {r[0] for r in rows[:30]} | {r[0] for r in rows[600:]}
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    once = sorted(v for k, v in got.items() if k not in twice)
+    assert min(got[k] for k in twice) > once[int(0.98 * len(once))]
