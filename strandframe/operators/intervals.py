@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-class InvalidCoordinates(ValueError):
-    pass
+from strandframe.errors import InvalidCoordinates
 
 
 def overlaps(start: Column, end: Column, lo, hi) -> Column:

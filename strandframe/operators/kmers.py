@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import operator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequences as S
@@ -42,13 +45,26 @@ def postings(df: DataFrame, id_col: str, k: int, seq_col: str = "seq") -> DataFr
     return each.filter(F.col("i") < CHUNK).select(id_col, (F.col("chunk_start") + F.col("i")).alias("pos"), "kmer")
 
 
+def sites(df: DataFrame, id_col: str, width: int, test, seq_col: str = "seq") -> DataFrame:
+    """(id, pos, kmer) of the windows of ``width`` for which ``test`` holds.
+
+    test: a function of the chunk's column and the window's 1-based place in it. It is asked inside the chunk, before
+    anything is exploded, so only the windows that are wanted become rows.
+    """
+    chunks = chunk(df.select(id_col, F.col(seq_col).alias("seq")), id_col, "seq", CHUNK, width - 1)
+    last = F.least(F.length("seq") - (width - 1), F.lit(CHUNK))
+    wanted = F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), lambda i: test(F.col("seq"), i)))
+    each = chunks.select(id_col, "chunk_start", "seq", F.explode(wanted).alias("i"))
+    return each.select(id_col, (F.col("chunk_start") + F.col("i") - 1).alias("pos"), F.substring(F.col("seq"), F.col("i"), F.lit(width)).alias("kmer"))
+
+
 def query_kmers(query: str, k: int) -> list[str]:
     query = query.upper().replace("U", "T")
     return [query[i : i + k] for i in range(len(query) - k + 1)]
 
 
 def jaccard(index: DataFrame, id_col: str, query: str, k: int) -> DataFrame:
-    """(id, jaccard) of distinct k-mers; 0 for a query shorter than k."""
+    """(id, jaccard) of distinct k-mers, of the ids that have k-mers; 0 for a query shorter than k."""
     own = sorted(set(query_kmers(query, k)))
     if not own:
         return index.select(id_col).distinct().withColumn("jaccard", F.lit(0.0))
@@ -58,6 +74,19 @@ def jaccard(index: DataFrame, id_col: str, query: str, k: int) -> DataFrame:
     return sets.groupBy(id_col).agg((hit / (F.count("*") + len(own) - hit)).alias("jaccard"))
 
 
+def jaccard_whole(index: DataFrame, query: str, k: int) -> DataFrame:
+    """One row (jaccard): the query against all k-mers of the index as one set; 0 where the union is empty."""
+    own = sorted(set(query_kmers(query, k)))
+    hit = F.count(F.when(F.col("kmer").isin(own), 1)) if own else F.lit(0)
+    counts = index.select("kmer").distinct().agg(F.count("*").alias("n"), hit.alias("hit"))
+    return counts.select(F.coalesce(F.try_divide(F.col("hit"), F.col("n") + len(own) - F.col("hit")), F.lit(0.0)).alias("jaccard"))
+
+
+def lookup(index: DataFrame, kmer: str) -> DataFrame:
+    """(id, pos) of one k-mer, in order; U is read as T."""
+    return index.filter(F.col("kmer") == kmer.upper().replace("U", "T")).drop("kmer").orderBy(*[c for c in index.columns if c != "kmer"])
+
+
 def shared_positions(index: DataFrame, id_col: str, query: str, k: int) -> DataFrame:
     """(id, shared): positions of the query whose k-mer the sequence has."""
     own = query_kmers(query, k)
@@ -81,7 +110,70 @@ def locate_exact(df: DataFrame, id_col: str, pattern: str, seq_col: str = "seq")
     if not pattern or set(pattern) - set("ACGT"):
         return text.select(id_col, F.lit(0).cast("long").alias("pos")).limit(0)
     held = text.filter(F.col("seq").contains(pattern))
-    return postings(held, id_col, len(pattern)).filter(F.col("kmer") == pattern).select(id_col, "pos")
+    return sites(held, id_col, len(pattern), lambda seq, i: F.substring(seq, i, F.lit(len(pattern))) == pattern).select(id_col, "pos")
+
+
+def count_exact(df: DataFrame, id_col: str, pattern: str, seq_col: str = "seq") -> DataFrame:
+    """(id, n) of overlapping occurrences, of the ids that have any."""
+    return locate_exact(df, id_col, pattern, seq_col).groupBy(id_col).agg(F.count("*").alias("n"))
+
+
+def suffix_interval(df: DataFrame, id_col: str, pattern: str, seq_col: str = "seq") -> DataFrame:
+    """(id, low, high): where suffixes that begin with the pattern stand among all sorted suffixes, the end mark's first.
+
+    This is what backward search in a full-text index finds; here suffixes below and at the pattern are counted in one
+    scan, by their first symbols. Ids without an occurrence, empty patterns and other symbols than ACGTU give nothing.
+    """
+    text = df.select(id_col, F.regexp_replace(S.dna(F.col(seq_col)), "[^ACGT]", "A").alias("seq"))
+    pattern = pattern.upper().replace("U", "T")
+    if not pattern or set(pattern) - set("ACGT"):
+        return text.select(id_col, F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).limit(0)
+    m = len(pattern)
+    chunks = chunk(text, id_col, "seq", CHUNK, m - 1)
+    head = lambda i: F.substring(F.col("seq"), i, F.lit(m))
+    places = F.when(F.length("seq") > 0, F.sequence(F.lit(1), F.least(F.length("seq"), F.lit(CHUNK)))).otherwise(F.array().cast("array<int>"))
+    count = lambda test: F.sum(F.size(F.filter(places, test)))
+    rows = chunks.groupBy(id_col).agg(count(lambda i: head(i) < pattern).alias("below"), count(lambda i: head(i) == pattern).alias("n"))
+    return rows.filter("n > 0").select(id_col, (F.col("below") + 1).alias("low"), (F.col("below") + 1 + F.col("n")).alias("high"))
+
+
+def _suffix_order(symbols):
+    """Places of the suffixes in order, by doubling the length of the sorted prefixes."""
+    import numpy as np
+
+    rank, n, width = symbols.astype(np.int64), len(symbols), 1
+    while True:
+        second = np.full(n, -1, np.int64)
+        second[: max(n - width, 0)] = rank[width:]
+        order = np.lexsort((second, rank))
+        pair = np.stack((rank[order], second[order]))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum((pair[:, 1:] != pair[:, :-1]).any(axis=0)))) if n else []
+        if n == 0 or rank[order[-1]] == n - 1:
+            return order
+        width *= 2
+
+
+def bwt(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFrame:
+    """(id, bwt): the Burrows-Wheeler text of each sequence with ``$`` as its end mark; symbols outside ACGTU count as A.
+
+    Each sequence is sorted in one task, with about 60 bytes a symbol: for sequences up to a chromosome's arm.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(df.dtypes)[id_col]
+    text = df.select(id_col, F.regexp_replace(S.dna(F.col(seq_col)), "[^ACGT]", "A").alias("seq"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for seq in batch.column(1).to_pylist():
+                symbols = np.frombuffer(f"{seq or ''}$".encode(), np.uint8)
+                out.append(symbols[_suffix_order(symbols) - 1].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [id_col, "bwt"])
+
+    return text.mapInArrow(run, f"`{id_col}` {kind}, bwt string")
 
 
 def hamming(a, pattern: str):
@@ -103,14 +195,14 @@ def locate_approximate(df: DataFrame, id_col: str, pattern: str, mismatches: int
     n = len(pattern)
     if not pattern or set(pattern) - set("ACGT"):
         return text.select(id_col, F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("mismatches")).limit(0)
-    w = postings(text, id_col, n)
     pieces = mismatches + 1
     if n >= 2 * pieces:
         cuts = [round(i * n / pieces) for i in range(pieces + 1)]
-        seeded = F.lit(False)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            seeded = seeded | (F.substring("kmer", a + 1, b - a) == pattern[a:b])
-        w = w.filter(seeded)
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        text = text.filter(functools.reduce(operator.or_, (F.col("seq").contains(pattern[a:b]) for a, b in spans)))
+        w = sites(text, id_col, n, lambda seq, i: functools.reduce(operator.or_, (F.substring(seq, i + a, F.lit(b - a)) == pattern[a:b] for a, b in spans)))
+    else:
+        w = postings(text, id_col, n)
     scored = w.withColumn("mismatches", hamming(F.col("kmer"), pattern).cast("long"))
     return scored.filter(F.col("mismatches") <= mismatches).select(id_col, "pos", "mismatches")
 
@@ -126,12 +218,11 @@ def pam_sites(df: DataFrame, id_col: str, guide: str, mismatches: int, seq_col:
     text = df.select(id_col, S.dna(F.col(seq_col)).alias("f")).filter(F.length("f") >= g + 3)
     # the reverse complement is made below the explode, once a row
     both = text.select(id_col, F.length("f").alias("n"), F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("f").alias("seq")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("f")).alias("seq")))).alias("s")).select(id_col, "n", "s.strand", "s.seq")
-    both = both.withColumn("key", F.struct(id_col, "n", "strand"))
-    w = postings(both.select("key", "seq"), "key", g + 3) if g else None
-    if w is None:
+    if not g:
         raise ValueError("an empty guide")
+    both = both.withColumn("key", F.struct(id_col, "n", "strand"))
+    w = sites(both.select("key", "seq"), "key", g + 3, lambda seq, i: F.substring(seq, i + g + 1, F.lit(2)).isin("GG", "AG"))
     site = w.select("key.*", "pos", F.substring("kmer", 1, g).alias("protospacer"), F.substring("kmer", g + 1, 3).alias("pam"))
-    site = site.filter(F.substring("pam", 2, 2).isin("GG", "AG"))
     site = site.withColumn("mismatches", hamming(F.col("protospacer"), guide).cast("long")).filter(F.col("mismatches") <= mismatches)
     score = 100.0 * F.when(F.substring("pam", 2, 1) == "G", 1.0).otherwise(0.25)
     if weights is not None:
@@ -154,6 +245,21 @@ def offtarget_report(sites: DataFrame, lengths: DataFrame) -> DataFrame:
     return agg.join(F.broadcast(total)).withColumn("specificity", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 10000.0 / (100.0 + F.col("burden")))))
 
 
+def audit_guides(df: DataFrame, id_col: str, guides: list[str], mismatches: int, seq_col: str = "seq") -> DataFrame:
+    """(guide, exact, hits, burden, specificity, offtarget_score) of each guide: ``offtarget_report`` of all of them.
+
+    offtarget_score: 100 - specificity, but 1 at least and 50 at most. A guide without sites has a row too.
+    """
+    spark = df.sparkSession
+    names = spark.createDataFrame([(x,) for x in dict.fromkeys(guides)], "guide string")
+    found = functools.reduce(DataFrame.unionByName, (pam_sites(df, id_col, x, mismatches, seq_col).select(F.lit(x).alias("guide"), "mismatches", "score") for x in dict.fromkeys(guides)))
+    best = F.max(F.when(F.col("mismatches") == 0, F.col("score")))
+    sums = found.groupBy("guide").agg(F.count_if(F.col("mismatches") == 0).alias("exact"), F.count("*").alias("hits"), (F.sum("score") - F.coalesce(best, F.lit(0.0))).alias("burden"))
+    rows = names.join(sums, "guide", "left").select("guide", *(F.coalesce(c, F.lit(z)).alias(c) for c, z in (("exact", 0), ("hits", 0), ("burden", 0.0))))
+    rows = rows.withColumn("specificity", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 10000.0 / (100.0 + F.col("burden")))))
+    return rows.withColumn("offtarget_score", F.least(F.lit(50.0), F.greatest(F.lit(1.0), 100.0 - F.col("specificity"))))
+
+
 def pwm_scan(df: DataFrame, id_col: str, matrix: list[dict[str, float]], threshold: float, seq_col: str = "seq") -> DataFrame:
     """(id, pos, score): windows whose summed log-odds reach ``threshold``; other symbols score 0."""
     score = F.lit(0.0)
@@ -177,3 +283,18 @@ def cpg_islands(df: DataFrame, id_col: str, seq_col: str = "seq", width: int = 2
     w = w.select(id_col, "start", count("C").alias("c"), count("G").alias("g"), count("CG").alias("cg"))
     kept = w.filter(((F.col("c") + F.col("g")) / width >= gc) & (F.col("c") * F.col("g") > 0) & (F.col("cg") * width / (F.col("c") * F.col("g")) >= ratio))
     return merge_islands(kept.select(id_col, "start", (F.col("start") + width).alias("end")), [id_col])
+
+
+def cpg_features(df: DataFrame, id_col: str, assembly: str, seq_col: str = "seq", **limits) -> DataFrame:
+    """Islands as features of a chromosome: (feature_id, assembly_name, chr, start, end, track_type, mark_label, signal_value).
+
+    Islands are numbered from 1 by their start; the signal is the observed / expected CpG of the whole island.
+    """
+    text = df.select(id_col, S.dna(F.col(seq_col)).alias("seq"))
+    found = cpg_islands(text, id_col, "seq", **limits).join(text, id_col).withColumn("w", F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    count = lambda p: F.regexp_count("w", F.lit(p))
+    ratio = F.try_divide(count("CG") * F.length("w"), count("C") * count("G"))
+    rows = found.select(F.col(id_col).cast("string").alias("chr"), "start", "end", F.coalesce(ratio, F.lit(0.0)).alias("signal_value"))
+    number = F.row_number().over(Window.partitionBy("chr").orderBy("start"))
+    rows = rows.withColumn("feature_id", F.concat(F.lit(f"CGI:{assembly}:"), "chr", F.lit(":"), number.cast("string")))
+    return rows.select("feature_id", F.lit(assembly).alias("assembly_name"), "chr", "start", "end", F.lit("CpgIsland").alias("track_type"), F.format_string("CpG_Island_OE_%.2f", "signal_value").alias("mark_label"), "signal_value")

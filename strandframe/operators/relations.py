@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.session import cut
+from strandframe.session import cut, drop_cut
 
 
 def locus_windows(genes: DataFrame, sequences: DataFrame, targets: DataFrame, upstream: int, downstream: int) -> DataFrame:
@@ -26,6 +26,20 @@ def locus_windows(genes: DataFrame, sequences: DataFrame, targets: DataFrame, up
     return out.withColumn("valid", F.coalesce(F.col("fetch_end") > F.col("fetch_start"), F.lit(False)))
 
 
+def locus_sequences(genes: DataFrame, sequences: DataFrame, targets: DataFrame, store, upstream: int, downstream: int) -> DataFrame:
+    """``locus_windows`` with the symbols of each window as ``sequence``, fetched from a store in one join."""
+    windows = locus_windows(genes, sequences, targets, upstream, downstream)
+    asked = windows.withColumns({"seq_id": F.col("chr"), "start": F.col("fetch_start"), "end": F.col("fetch_end")}).withColumnRenamed("valid", "window_valid")
+    out = store.slices(asked)
+    return out.select(*(c for c in windows.columns if c != "valid"), F.when(F.col("window_valid"), F.col("seq")).alias("sequence"), (F.col("window_valid") & F.col("valid")).alias("valid"))
+
+
+def cell_totals(spots: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
+    """(cell_id, total_transcripts): spots of each cell, 0 where it has none."""
+    counts = nearest_cell(spots, cells, radius).groupBy("cell_id").agg(F.count("*").alias("n"))
+    return cells.select("cell_id").join(counts, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).alias("total_transcripts"))
+
+
 def nearest_cell(spots: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
     """(spot_id, cell_id, d2): the nearest cell within ``radius``, ties to the smaller id. Both sides: (id, x, y).
 
@@ -61,7 +75,10 @@ def topological_depth(edges: DataFrame) -> DataFrame:
             raise Cycle("the graph has a cycle")
         now = roots.withColumn("depth", F.lit(depth).cast("long"))
         placed = now if placed is None else placed.unionByName(now)
-        left, depth = cut(left.join(roots, "node", "left_anti")), depth + 1
+        rest = cut(left.join(roots, "node", "left_anti"))
+        drop_cut(left)
+        left, depth = rest, depth + 1
+    drop_cut(left)
     return placed if placed is not None else nodes.withColumn("depth", F.lit(0).cast("long"))
 
 
@@ -75,11 +92,24 @@ def dosing(compounds: DataFrame, dose: float, interval: int, doses: int, hours:
     total = F.lit(0.0)
     for k in range(doses):
         t = F.col("hour") - k * interval
-        one = F.lit(dose) * F.col("absorption") / (F.col("volume") * (F.col("absorption") - ke)) * (F.exp(-ke * t) - F.exp(-F.col("absorption") * t))
-        total = total + F.when(t >= 0, one).otherwise(0.0)
-    return h.select("compound_id", "hour", total.alias("concentration")).join(compounds.select("compound_id", "ec50"), "compound_id").select("compound_id", "hour", "concentration", (F.col("concentration") / (F.col("concentration") + F.col("ec50"))).alias("effect"))
+        apart = F.col("absorption") - ke
+        # equal rates have the limit t exp(-ke t)
+        shape = F.when(F.abs(apart) > 1e-9 * ke, F.try_divide(F.exp(-ke * t) - F.exp(-F.col("absorption") * t), apart)).otherwise(t * F.exp(-ke * t))
+        total = total + F.when(t >= 0, F.lit(dose) * F.col("absorption") / F.col("volume") * shape).otherwise(0.0)
+    return h.select("compound_id", "hour", "ec50", total.alias("concentration")).select("compound_id", "hour", "concentration", (F.col("concentration") / (F.col("concentration") + F.col("ec50"))).alias("effect"))
 
 
-def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key in ``order``."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+def regimen(compounds: DataFrame, dose: float, interval: int, doses: int, hours: int) -> DataFrame:
+    """(compound_id, hour, concentration, effect, within_window) of rows of ``pharma_compounds``.
+
+    Our own textbook model: each dose adds ``dose`` x bioavailability (micromolar) that decays by the half-life; the
+    effect is a Hill curve; within_window: from ec50 to below td50.
+    """
+    each = compounds.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours))))
+    rate, total = F.log(F.lit(2.0)) / F.col("half_life_hours"), F.lit(0.0)
+    for k in range(doses):
+        t = F.col("hour") - k * interval
+        total = total + F.when(t >= 0, F.lit(float(dose)) * F.col("bioavailability") * F.exp(-rate * t)).otherwise(0.0)
+    each = each.withColumn("concentration", total)
+    powers = F.pow("concentration", "hill_coefficient"), F.pow("ec50_um", "hill_coefficient")
+    return each.select("compound_id", "hour", "concentration", (powers[0] / (powers[0] + powers[1])).alias("effect"), ((F.col("concentration") >= F.col("ec50_um")) & (F.col("concentration") < F.col("td50_um"))).alias("within_window"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.errors import EncodingError, NotFound
 from strandframe.sources import formats
+from strandframe.sources.store import UNSAFE, SequenceStore
 
 #: Columns of each table, its key first after the bar's left side.
 TABLES = {
@@ -28,12 +30,12 @@ TABLES = {
     "protein_structures": "structure_id string | gene_symbol string, tax_id int, resolution_angstrom double, residue_count int, pocket_volume_a3 double",
     "dataset_manifests": "manifest_id string | tax_id int, assembly_name string, provider string, source_sha256 string, ingested_at string",
     "regulatory_edges": "edge_id string | tax_id int, tf_symbol string, target_symbol string, interaction string, weight double, evidence_source string",
-    "multiomics_tracks": "tax_id int, assembly_name string, sample_id string, gene_symbol string | rna double, atac double, methylation double, h3k27ac double, contact double, enhancer_distance_bp bigint",
+    "multiomics_tracks": "tax_id int, assembly_name string, sample_id string, gene_symbol string | rna_tpm double, atac_accessibility double, promoter_methylation_beta double, h3k27ac_chip double, h3k27ac_input double, enhancer_distance_bp bigint",
     "spatial_cells": "dataset_id string, cell_id string | x_um double, y_um double",
     "spatial_transcripts": "dataset_id string, spot_id string | gene_symbol string, x_um double, y_um double",
-    "single_cell_atlas": "dataset_id string, cell_id string | cell_type string, expression array<double>",
-    "pharma_compounds": "compound_id string | compound_name string, target_gene string, dose double, clearance double, volume double, absorption double, ec50 double",
-    "synthetic_gametes": "gamete_id string | tax_id int, gamete_type string, follicle_stage string, a double, b double, c double, d double, e double",
+    "single_cell_atlas": "dataset_id string, cell_id string | cell_type string, expression_csv string",
+    "pharma_compounds": "compound_id string | compound_name string, target_gene string, ec50_um double, td50_um double, hill_coefficient double, half_life_hours double, bioavailability double",
+    "synthetic_gametes": "gamete_id string | tax_id int, gamete_type string, follicle_stage string, diameter_um double, mitochondrial_count bigint, imprint_fidelity double, aneuploidy_risk double, overall_score double",
     "longevity_targets": "tax_id int, symbol string | priority int, category string, default_assembly string, notes string",
 }
 #: Columns that an update leaves as they are, and tables where it sets a few only or fills nulls only.
@@ -44,13 +46,9 @@ FILL = ("assemblies",)
 SEED = {1: ("SIRT6", "TERC", "TERT", "TP53"), 2: ("ATM", "CDKN2A", "FOXO3", "KLOTHO", "LMNA", "PARP1")}
 
 
-class NotFound(LookupError):
-    pass
-
-
 def safe(name: str) -> str:
     """A path component, or an error."""
-    if not name or ".." in name or re.search(r"[/\\\0]", name):
+    if re.search(UNSAFE, name):
         raise ValueError(f"unsafe name: {name!r}")
     return name
 
@@ -59,15 +57,11 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], columns: list[s
     """``existing`` with the rows of ``new`` put in by key.
 
     columns: those that an update sets (all by default); fill: a null of ``new`` keeps the old value. Of several new
-    rows with one key the last in ``order`` counts (without it, any one of equal rows).
+    rows with one key the last in ``order`` counts; without an order, the greatest row (a stated one, the same at every run).
     """
     rest = [c for c in existing.columns if c not in keys]
     columns = rest if columns is None else columns
-    if order:
-        w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        new = new.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
-    else:
-        new = new.dropDuplicates(keys)
+    new = last_of(new, keys, order)
     a = existing.select(*keys, *(F.col(c).alias(f"__old_{c}") for c in rest), F.lit(True).alias("__a"))
     b = new.select(*keys, *(F.col(c).alias(f"__new_{c}") for c in rest), F.lit(True).alias("__b"))
     both = a.join(b, keys, "full_outer")
@@ -80,20 +74,29 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], columns: list[s
     return both.select(*((F.col(c) if c in keys else value(c)) for c in existing.columns))
 
 
+def last_of(new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row of each key, by a partial aggregation."""
+    rest = [c for c in new.columns if c not in keys and c != order]
+    if not rest:
+        return new.select(*keys).distinct()
+    whole = F.struct(*([order] if order else []), *rest)
+    return new.groupBy(*keys).agg(F.max(whole).alias("__row")).select(*keys, *(F.col("__row").getField(c).alias(c) for c in rest))
+
+
 def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not there yet are added; nothing is overwritten."""
-    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(existing.columns))
+    return existing.unionByName(last_of(new, keys, None).join(existing.select(*keys), keys, "left_anti").select(existing.columns))
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.versions: dict[str, int] = {}
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            self.versions = json.loads("".join(r[0] for r in spark.read.text(str(path)).collect()))
-        elif not self.versions:
+        self.state, names = 0, self._states()
+        if names:
+            self.state = max(names)
+            self.versions = json.loads("".join(r[0] for r in spark.read.text(f"{self.root}/{self._state_name(self.state)}").collect()))
+        else:
             seed = [(9606, s, p, "longevity", None, None) for p, names in SEED.items() for s in names]
             self.put("longevity_targets", spark.createDataFrame(seed, self.schema("longevity_targets")), missing_only=True)
 
@@ -101,6 +104,38 @@ class Catalog:
     def schema(name: str) -> str:
         return TABLES[name].replace(" | ", ", ").replace("class string", "`class` string")
 
+    @staticmethod
+    def _state_name(number: int) -> str:
+        return f"state-{number:09d}.json"
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _states(self) -> list[int]:
+        path, fs = self._files()
+        if not fs.exists(path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.root))]
+        return [int(m[1]) for n in names if (m := re.fullmatch(r"state-(\d{9})\.json", n))]
+
+    def _commit(self) -> None:
+        """The current versions as a new file that takes its name when it is whole; the last few stay."""
+        path, fs = self._files()
+        part, whole = path(f"{self.root}/_state-{self.state + 1}"), path(f"{self.root}/{self._state_name(self.state + 1)}")
+        stream = fs.create(part, True)
+        stream.write(bytearray(json.dumps(self.versions).encode()))
+        stream.close()
+        if not fs.rename(part, whole):
+            raise OSError(f"another writer made {whole}")
+        self.state += 1
+        for old in self._states():
+            if old <= self.state - 3:
+                fs.delete(path(f"{self.root}/{self._state_name(old)}"), False)
+
+    def columns(self, name: str) -> list[str]:
+        return [x.split()[0].strip("`") for x in self.schema(name).split(", ")]
+
     @staticmethod
     def keys(name: str) -> list[str]:
         return [x.split()[0] for x in TABLES[name].split(" | ")[0].split(", ")]
@@ -112,21 +147,28 @@ class Catalog:
             return self.spark.createDataFrame([], self.schema(name))
         return self.spark.read.schema(self.schema(name)).parquet(f"{self.root}/{name}/v{self.versions[name]}")
 
-    def put(self, name: str, rows: DataFrame, missing_only: bool = False) -> None:
-        """Upsert by the table's own rules, to a new version that becomes current when it is whole."""
+    def put(self, name: str, rows: DataFrame, missing_only: bool = False, columns: list[str] | None = None) -> None:
+        """Upsert by the table's own rules, to a new version that becomes current when it is whole.
+
+        Of rows with one key the last counts: that of the largest ``line``, if there is such a column. columns: those
+        that an update sets, where it is not by the table's rule.
+        """
         old, keys = self.table(name), self.keys(name)
+        order = "line" if "line" in rows.columns else None
         for c, kind in old.dtypes:
             rows = rows.withColumn(c, F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind))
-        rows = rows.select(old.columns)
+        rows = rows.select(*old.columns, *([order] if order else []))
         rest = [c for c in old.columns if c not in keys and c not in KEPT.get(name, ())]
-        out = insert_missing(old, rows, keys) if missing_only else upsert(old, rows, keys, list(SET_ONLY.get(name, rest)), name in FILL)
+        out = insert_missing(old, rows, keys) if missing_only else upsert(old, rows, keys, columns or list(SET_ONLY.get(name, rest)), name in FILL, order)
         version = self.versions.get(name, 0) + 1
         out.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
         self.versions[name] = version
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
-        stream.write(bytearray(json.dumps(self.versions).encode()))
-        stream.close()
+        self._commit()
+
+    def put_features(self, rows: DataFrame) -> None:
+        """Gene features: new ones are protein_coding and named by their symbol; an update leaves the biotype as it is."""
+        rows = rows.withColumn("biotype", F.lit("protein_coding")).withColumn("name", F.col("symbol"))
+        self.put("genes", rows, columns=[c for c in self.columns("genes") if c not in (*self.keys("genes"), "biotype")])
 
     def find(self, name: str, *order: str, limit: int | None = None, **equal) -> DataFrame:
         """Rows with the given values, in a stated order; ties are broken by the key."""
@@ -147,29 +189,55 @@ class Catalog:
         rows = self.table("genes").filter((F.col("tax_id") == tax_id) & (F.col("assembly_name") == assembly) & ((F.col("symbol") == name) | (F.col("gene_id") == name)))
         return rows.orderBy(F.when(F.col("feature_type") == "gene", 0).otherwise(1), "gene_id").limit(1)
 
-    def load(self, package: formats.Package) -> dict[str, int]:
-        """FASTA, GFF and VCF of one assembly into the catalog; counts of what was read."""
-        spark, asm = self.spark, safe(package.assembly)
-        scope = {"tax_id": F.lit(package.tax_id), "assembly_name": F.lit(asm)}
+    def ingest_fasta(self, store: SequenceStore, path: str | list[str], tax_id: int, assembly: str, source_uri: str | None = None) -> DataFrame:
+        """Symbols to the store, then rows of assemblies, sequences and chromosomes; the sequences' rows."""
+        scope = {"tax_id": F.lit(tax_id), "assembly_name": F.lit(safe(assembly))}
+        records = formats.read_fasta(self.spark, path).withColumns(scope)
+        if source_uri:
+            records = records.withColumn("source_uri", F.lit(source_uri))
+        bad = formats.invalid_sequences(records).first()
+        if bad:
+            raise EncodingError(f"{bad.seq_id}: a symbol outside the alphabet at {bad.position}")
+        store.store(records)
+        where = F.concat_ws("/", F.lit(f"{store.root}/tax_id={tax_id}/assembly_name={assembly}"), F.concat(F.lit("seq_id="), F.col("seq_id")))
+        self.put("assemblies", self.spark.createDataFrame([(tax_id, assembly)], "tax_id int, assembly_name string"))
+        self.put("sequences", records.withColumn("path", where))
+        self.put("chromosomes", records.select(F.col("seq_id").alias("name"), "assembly_name", F.col("length_bp").alias("length"), "is_mitochondrial"))
+        written = records.select("seq_id").distinct()
+        return self.table("sequences").filter((F.col("tax_id") == tax_id) & (F.col("assembly_name") == assembly)).join(written, "seq_id", "left_semi")
+
+    def ingest_gff(self, path: str | list[str], tax_id: int, assembly: str) -> Row:
+        """Genes, then transcripts of known genes, then exons of known transcripts; others are skipped, as the report counts."""
+        scope = {"tax_id": F.lit(tax_id), "assembly_name": F.lit(safe(assembly))}
+        features = formats.read_gff(self.spark, path)
+        here = F.col("assembly_name") == assembly
+        known = (self.table("genes").filter(here).select("gene_id"), self.table("transcripts").filter(here).select("transcript_id"))
+        genes, transcripts, exons = formats.gff_tables(features, *known)
+        report = formats.gff_report(features, *known).first()
+        self.put("genes", genes.withColumns(scope).withColumn("name", F.col("symbol")))
+        self.put("transcripts", transcripts.withColumns(scope))
+        self.put("exons", exons.withColumns(scope))
+        return report
+
+    def ingest_vcf(self, path: str | list[str], tax_id: int, assembly: str) -> int:
+        variants = formats.read_vcf(self.spark, path).withColumns({"tax_id": F.lit(tax_id), "assembly_name": F.lit(safe(assembly))})
+        self.put("variant_records", variants)
+        return variants.count()
+
+    def load(self, package: formats.Package, store: SequenceStore | None = None) -> dict[str, int]:
+        """A package in order: organism, genome, FASTA, GFF, VCF; counts of what was read. Every step can be repeated."""
+        store = store or SequenceStore(self.spark, self.root)
+        asm, tax = safe(package.assembly), package.tax_id
         report = {"chromosomes": 0, "bases": 0, "features": 0, "variants": 0}
+        if package.organism:
+            self.put("organisms", self.spark.createDataFrame([(tax, *package.organism.values())], ", ".join(["tax_id int", *(f"`{c}` string" for c in package.organism)])))
+        if package.genome:
+            self.put("reference_genomes", self.spark.createDataFrame([(asm, tax, package.genome.get("status"), package.genome.get("release_year"))], "assembly_name string, tax_id int, status string, release_year int"))
         if package.fasta:
-            records = formats.read_fasta(spark, package.fasta).withColumns(scope).withColumn("path", F.lit(None).cast("string")).cache()
-            if formats.invalid_sequences(records).limit(1).count():
-                raise ValueError("a sequence has symbols outside the alphabet")
-            self.put("assemblies", spark.createDataFrame([(package.tax_id, asm)], "tax_id int, assembly_name string"))
-            self.put("sequences", records)
-            self.put("chromosomes", records.select(F.col("seq_id").alias("name"), "assembly_name", F.col("length_bp").alias("length"), "is_mitochondrial"))
-            r = records.agg(F.count("*"), F.coalesce(F.sum("length_bp"), F.lit(0))).first()
+            r = self.ingest_fasta(store, package.fasta, tax, asm).agg(F.count("*"), F.coalesce(F.sum("length_bp"), F.lit(0))).first()
             report["chromosomes"], report["bases"] = r[0], r[1]
-            records.unpersist()
         if package.gff:
-            features = formats.read_gff(spark, package.gff)
-            self.put("genes", formats.gff_genes(features).withColumns(scope).withColumn("name", F.col("symbol")))
-            self.put("transcripts", formats.gff_transcripts(features).withColumns(scope))
-            self.put("exons", formats.gff_exons(features).withColumns(scope))
-            report["features"] = formats.gff_report(features).first().total
+            report["features"] = self.ingest_gff(package.gff, tax, asm).total
         if package.vcf:
-            variants = formats.read_vcf(spark, package.vcf).withColumns(scope)
-            self.put("variant_records", variants)
-            report["variants"] = variants.count()
+            report["variants"] = self.ingest_vcf(package.vcf, tax, asm)
         return report

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import sequences as S
+from strandframe.sources import formats
 from strandframe.sources.catalog import Catalog
 
 
 def vcf_stream(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.readStream.text(folder).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    f = F.split("value", "\t")
-    rows = raw.select(F.get(f, F.lit(0)).alias("chr"), (F.get(f, F.lit(1)).cast("long") - 1).alias("position"), F.get(f, F.lit(2)).alias("given"), F.get(f, F.lit(3)).alias("reference"), F.explode(F.split(F.get(f, F.lit(4)), ",")).alias("alternate"))
-    return rows.select(S.variant_id(F.col("given"), F.col("chr"), F.col("position"), F.col("reference"), F.col("alternate")).alias("variant_id"), "chr", "position", "reference", "alternate", S.variant_class(F.col("reference"), F.col("alternate")).alias("variant_type"))
+    return formats.vcf_rows(spark.readStream.text(folder))
 
 
 def into_catalog(stream: DataFrame, catalog: Catalog, tax_id: int, assembly: str, checkpoint: str):
