@@ -6,12 +6,17 @@ with ids and symbols, embeddings points, customer slices upsert batches, nation
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.engine import Engine
 from strandframe.functions import sequences as S
 from strandframe.operators import intervals, kmers, relations
-from strandframe.sources import catalog
+from strandframe.session import cut, shared_folder
+from strandframe.sources import catalog, formats
+from strandframe.sources.store import SequenceStore
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,21 +64,145 @@ def shipping(spark: SparkSession, d: str) -> DataFrame:
 SHIP = "(SELECT l_orderkey, l_linenumber, l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+def fresh(spark: SparkSession, kind: str) -> str:
+    """A folder of its own that driver and executors share."""
+    return f"{shared_folder(spark)}/strandframe/{kind}-{uuid.uuid4().hex}"
+
+
+def cat(spark: SparkSession, d: str) -> catalog.Catalog:
+    """A catalog whose genes are parts, and whose organisms are suppliers."""
+    out = catalog.Catalog(spark, fresh(spark, "catalog"))
+    start = F.col("p_size") * 100
+    out.put("genes", t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("gene_id"), F.lit("a").alias("assembly_name"), F.col("p_name").alias("symbol"), F.col("p_brand").alias("chr"), start.alias("start"), (start + 150).alias("end"), F.lit(9606).alias("tax_id"), F.when(F.col("p_partkey") % 3 == 0, "gene").otherwise("CDS").alias("feature_type")))
+    out.put("organisms", t(spark, d, "supplier").select(F.col("s_suppkey").alias("tax_id"), F.col("s_name").alias("scientific_name")))
+    return out
+
+
+@query("SELECT CAST(s_suppkey AS INT) AS tax_id, s_name AS scientific_name FROM supplier WHERE s_suppkey = 7")
 def point_lookup(spark, d):
-    return t(spark, d, "orders").filter("o_orderkey = 42").select("o_orderkey", "o_custkey", "o_totalprice")
+    return cat(spark, d).find("organisms", tax_id=7).select("tax_id", "scientific_name")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name = (SELECT min(p_name) FROM part) OR p_partkey = 7 ORDER BY CASE WHEN p_partkey = 7 THEN 0 ELSE 1 END, p_partkey LIMIT 1")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS gene_id, p_name AS symbol FROM part WHERE p_name = (SELECT p_name FROM part WHERE p_partkey = 11) OR CAST(p_partkey AS VARCHAR) = (SELECT p_name FROM part WHERE p_partkey = 11) ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, CAST(p_partkey AS VARCHAR) LIMIT 1")
 def lookup_symbol_or_id_first(spark, d):
-    part = t(spark, d, "part")
-    name = part.agg(F.min("p_name").alias("name"))
-    return part.join(F.broadcast(name), (F.col("p_name") == F.col("name")) | (F.col("p_partkey") == 7)).orderBy(F.when(F.col("p_partkey") == 7, 0).otherwise(1), "p_partkey").limit(1).select("p_partkey", "p_name")
+    name = t(spark, d, "part").filter("p_partkey = 11").first().p_name
+    return cat(spark, d).gene_feature(9606, "a", name).select("gene_id", "symbol")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS gene_id, CAST(p_size * 100 AS BIGINT) AS \"start\" FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
 def list_scoped_sorted(spark, d):
-    return t(spark, d, "supplier").filter("s_nationkey = 3").select("s_suppkey", "s_name").orderBy("s_suppkey")
+    brand = t(spark, d, "part").agg(F.min("p_brand")).first()[0]
+    return cat(spark, d).find("genes", "start", assembly_name="a", chr=brand).select("gene_id", "start")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT min(ts) FROM events) AND ts < (SELECT min(ts) FROM events) + INTERVAL 1 DAY")
+def point_in_range(spark, d):
+    events = t(spark, d, "events")
+    lo = events.agg(F.min("ts")).first()[0]  # one value: it reaches the scan as a literal
+    return intervals.points_in(events, F.lit(lo).cast("timestamp_ntz"), F.lit(lo).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"), "ts").select("event_id", "user_id")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size * 100 < 2000 AND p_size * 100 + 150 > 1000")
+def genes_in_region(spark, d):
+    engine = Engine(spark, cat(spark, d).root)
+    brand = t(spark, d, "part").agg(F.min("p_brand")).first()[0]
+    return engine.genes_in_region(9606, "a", brand, 1000, 2000).select("gene_id")
+
+
+def stored(spark: SparkSession, d: str) -> SequenceStore:
+    """All documents, laid end to end in sixteen sequences of a store: (9606, a, c0) to (9606, a, c15)."""
+    store = SequenceStore(spark, fresh(spark, "store"), 5000)
+    rows = docs(spark, d).groupBy((F.col("doc_id") % 16).alias("g")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    store.store(rows.select(F.lit(9606).alias("tax_id"), F.lit("a").alias("assembly_name"), F.concat(F.lit("c"), F.col("g").cast("string")).alias("seq_id"), "seq"))
+    return store
+
+
+_STORED = f"(SELECT 'c' || (doc_id % 16) AS seq_id, string_agg(s, '' ORDER BY doc_id) AS s FROM (SELECT doc_id, {SEQ} AS s FROM documents) GROUP BY ALL)"
+
+
+@query(f"SELECT seq_id, i * 6000 AS \"start\", i * 6000 + 6000 AS \"end\", i * 6000 + 6000 <= length(s) AS valid, CASE WHEN i * 6000 + 6000 <= length(s) THEN sha256(substring(s, CAST(i * 6000 + 1 AS BIGINT), 6000)) END AS sha FROM (SELECT seq_id, s, unnest(range(0, length(s) // 6000 + 1)) AS i FROM {_STORED})")
+def store_fetch(spark, d):
+    """Every sequence in slices; the last one reaches beyond its end."""
+    store = stored(spark, d)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length_bp"), F.lit(6000).cast("long")))
+    regions = store.lengths().select("tax_id", "assembly_name", "seq_id", starts.alias("start")).withColumn("end", F.col("start") + 6000)
+    return store.slices(regions).select("seq_id", "start", "end", "valid", F.sha2("seq", 256).alias("sha"))
+
+
+@query(f"SELECT seq_id, CAST(length(s) AS BIGINT) AS length_bp, seq_id <> 'c3' AS intact FROM {_STORED}")
+def store_verify(spark, d):
+    """Digests of what was stored, one of them wrong."""
+    store = stored(spark, d)
+    told = store.whole().select("tax_id", "assembly_name", "seq_id", F.length("seq").cast("long").alias("length_bp"), F.when(F.col("seq_id") == "c3", F.lit("0")).otherwise(F.sha2("seq", 256)).alias("sha256"))
+    return store.verified(told).join(store.lengths().select("seq_id", "length_bp"), "seq_id").select("seq_id", "length_bp", "intact")
+
+
+@query(f"""
+WITH g AS (SELECT p_partkey, p_name, 'c' || (p_partkey % 16) AS seq_id, p_size * 200 AS gs, p_size * 200 + 300 AS ge FROM part),
+w AS (SELECT p_partkey, s, CASE WHEN length(s) >= ge THEN greatest(gs - 50, 0) WHEN length(s) > 0 AND gs >= length(s) THEN 0 END AS lo, CASE WHEN length(s) >= ge THEN least(ge + 30, length(s)) WHEN length(s) > 0 AND gs >= length(s) THEN length(s) END AS hi FROM g JOIN {_STORED} USING (seq_id))
+SELECT CAST(p_partkey AS VARCHAR) AS symbol, coalesce(hi > lo, false) AS valid, CASE WHEN hi > lo THEN sha256(substring(s, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT))) END AS sha FROM w""")
+def locus_sequence(spark, d):
+    store = stored(spark, d)
+    start = (F.col("p_size") * 200).cast("long")
+    genes = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.lit(9606).alias("tax_id"), F.lit("a").alias("assembly_name"), F.concat(F.lit("c"), (F.col("p_partkey") % 16).cast("string")).alias("chr"), start.alias("start"), (start + 300).alias("end"))
+    sequences = store.lengths().withColumn("sha256", F.lit(""))
+    targets = spark.createDataFrame([], "tax_id int, symbol string, priority int")
+    out = relations.locus_sequences(genes, sequences, targets, store, 50, 30)
+    return out.select("symbol", "valid", F.sha2("sequence", 256).alias("sha"))
+
+
+def written(rows: DataFrame, kind: str) -> str:
+    """A column of lines as text files."""
+    path = fresh(rows.sparkSession, kind)
+    rows.write.text(path)
+    return path
+
+
+@query(f"SELECT 'd' || doc_id AS seq_id, 'd' || doc_id || ' of > ' || source AS header, CAST(length({SEQ}) AS BIGINT) AS length_bp, sha256({SEQ}) AS sha256 FROM documents")
+def import_fasta(spark, d):
+    source = t(spark, d, "documents").select("doc_id", "source")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    text = F.concat(F.lit(">"), name, F.lit(" of > "), "source", F.lit("\n"), F.lower(F.regexp_replace("seq", "(.{60})", "$1\n")))
+    path = written(docs(spark, d).join(source, "doc_id").select(text.alias("value")), "fasta")
+    return formats.read_fasta(spark, path).select("seq_id", "header", "length_bp", "sha256")
+
+
+@query("""
+WITH v AS (SELECT p_partkey, 'chr' || p_size AS chr, p_partkey * 3 AS position, substring(p_brand, 1, 1) AS reference, CASE WHEN p_partkey % 4 = 0 THEN ['T', 'GG'] ELSE ['T'] END AS alts, CASE WHEN p_partkey % 2 = 0 THEN 'rs' || p_partkey ELSE '.' END AS given FROM part),
+e AS (SELECT *, unnest(alts) AS alternate, generate_subscripts(alts, 1) AS k FROM v)
+SELECT CASE WHEN given = '.' THEN chr || ':' || position || ':' || reference || '>' || alternate WHEN k = 1 THEN given ELSE given || ':' || alternate END AS variant_id, chr, position, reference, alternate, CASE WHEN length(alternate) = 1 THEN 'SNP' ELSE 'Insertion' END AS variant_type FROM e""")
+def import_vcf(spark, d):
+    key = F.col("p_partkey")
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("p_size").cast("string")), (key * 3 + 1).cast("string"), F.when(key % 2 == 0, F.concat(F.lit("rs"), key.cast("string"))).otherwise("."), F.substring("p_brand", 1, 1), F.when(key % 4 == 0, "T,GG").otherwise("T"), F.lit("9"), F.lit("PASS"), F.lit("."))
+    path = written(t(spark, d, "part").select(line.alias("value")), "vcf")
+    out = catalog.Catalog(spark, fresh(spark, "catalog"))
+    out.ingest_vcf(path, 9606, "a")
+    return out.table("variant_records").select("variant_id", "chr", "position", "reference", "alternate", "variant_type")
+
+
+def annotation(spark: SparkSession, d: str) -> DataFrame:
+    """GFF lines: customers are genes, orders their transcripts (of every fifth customer no gene), order lines exons."""
+    line = lambda kind, *attributes: F.concat(F.lit(f"chr1\tx\t{kind}\t11\t20\t.\t+\t.\t"), *attributes).alias("value")
+    text = lambda c: F.col(c).cast("string")
+    genes = t(spark, d, "customer").filter("c_custkey % 5 > 0").select(line("gene", F.lit("ID=gene:"), text("c_custkey"), F.lit(";Name="), "c_name"))
+    orders = t(spark, d, "orders").select(line("mRNA", F.lit("ID=transcript:"), text("o_orderkey"), F.lit(";Parent=gene:"), text("o_custkey")))
+    exons = t(spark, d, "lineitem").select(line("exon", F.lit("ID=exon:"), text("l_orderkey"), F.lit("."), text("l_linenumber"), F.lit(";Parent=transcript:"), text("l_orderkey"), F.lit(";exon_number="), text("l_linenumber")))
+    return genes.unionByName(orders).unionByName(exons)
+
+
+def features_of(spark: SparkSession, d: str) -> DataFrame:
+    """The lines, read back and parsed once."""
+    return cut(formats.read_gff(spark, written(annotation(spark, d), "gff")))
+
+
+_KEPT = "(SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 5 > 0)"
+
+
+@query(f"""
+WITH n AS (SELECT (SELECT count(*) FROM customer WHERE c_custkey % 5 > 0) AS genes, (SELECT count(*) FROM {_KEPT}) AS transcripts, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM {_KEPT})) AS exons, (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM lineitem) AS l)
+SELECT genes, transcripts, exons, o - transcripts + l - exons AS skipped, genes + transcripts + exons AS total FROM n""")
+def import_gff(spark, d):
+    return formats.gff_report(features_of(spark, d))
 
 
 @query(f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, s AS \"start\", e AS \"end\" FROM {SHIP} WHERE s < 10100 AND e > 10000")
@@ -236,15 +365,30 @@ def cpg_islands(spark, d):
     return kmers.cpg_islands(docs(spark, d), "doc_id", gc=0.08, ratio=0.3)
 
 
-@query("SELECT o_orderkey, coalesce(n, 1) AS exon_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS transcript_id, CAST(coalesce(n, 1) AS INT) AS exon_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def exon_count(spark, d):
-    n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return t(spark, d, "orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(1)).alias("exon_count"))
+    return formats.gff_transcripts(features_of(spark, d)).select("transcript_id", "exon_count")
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) || '.' || l_linenumber AS exon_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {_KEPT})")
 def orphan_antijoin(spark, d):
-    return t(spark, d, "orders").select("o_orderkey").join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    """Exons that an import leaves out: their transcript, or its gene, is not there."""
+    features = features_of(spark, d)
+    return formats.gff_exons(features).select("exon_id").join(formats.gff_tables(features)[2].select("exon_id"), "exon_id", "left_anti")
+
+
+@query(f"SELECT doc_id, pos + 1 AS low, pos + 1 + n AS high FROM (SELECT doc_id, count(*) FILTER (k < 'ATT') AS pos, count(*) FILTER (k = 'ATT') AS n FROM (SELECT doc_id, substring(s, pos + 1, 3) AS k FROM {FMS.format(1)}) GROUP BY doc_id) WHERE n > 0")
+def suffix_interval(spark, d):
+    return kmers.suffix_interval(docs(spark, d), "doc_id", "ATT")
+
+
+@query("""
+WITH c AS (SELECT p_partkey, 4.0 + p_size AS half, 0.5 AS bio, 2.0 AS ec, 9.0 AS td, 2.0 AS h FROM part), t AS (SELECT *, unnest(range(0, 25)) AS hour FROM c),
+x AS (SELECT p_partkey, hour, ec, td, h, 10 * bio * exp(-ln(2) / half * hour) + CASE WHEN hour >= 12 THEN 10 * bio * exp(-ln(2) / half * (hour - 12)) ELSE 0 END AS y FROM t)
+SELECT CAST(p_partkey AS VARCHAR) AS compound_id, hour, round(y, 6) AS concentration, round(pow(y, h) / (pow(y, h) + pow(ec, h)), 6) AS effect, round(y, 6) >= ec AND round(y, 6) < td AS within_window FROM x""")
+def regimen(spark, d):
+    c = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("compound_id"), F.lit(2.0).alias("ec50_um"), F.lit(9.0).alias("td50_um"), F.lit(2.0).alias("hill_coefficient"), (4.0 + F.col("p_size")).alias("half_life_hours"), F.lit(0.5).alias("bioavailability"))
+    return relations.regimen(c, 10.0, 12, 2, 24).select("compound_id", F.col("hour").cast("long").alias("hour"), F.round("concentration", 6).alias("concentration"), F.round("effect", 6).alias("effect"), "within_window")
 
 
 @query(f"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -70,7 +69,3 @@ def drop_cut(df: DataFrame) -> None:
         jvm = spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def local_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.errors import EncodingError, NotFound
+from strandframe.session import cut, drop_cut
 from strandframe.sources import formats
 from strandframe.sources.store import UNSAFE, SequenceStore
 
@@ -209,7 +210,7 @@ class Catalog:
     def ingest_gff(self, path: str | list[str], tax_id: int, assembly: str) -> Row:
         """Genes, then transcripts of known genes, then exons of known transcripts; others are skipped, as the report counts."""
         scope = {"tax_id": F.lit(tax_id), "assembly_name": F.lit(safe(assembly))}
-        features = formats.read_gff(self.spark, path)
+        features = cut(formats.read_gff(self.spark, path))  # parsed once
         here = F.col("assembly_name") == assembly
         known = (self.table("genes").filter(here).select("gene_id"), self.table("transcripts").filter(here).select("transcript_id"))
         genes, transcripts, exons = formats.gff_tables(features, *known)
@@ -217,6 +218,7 @@ class Catalog:
         self.put("genes", genes.withColumns(scope).withColumn("name", F.col("symbol")))
         self.put("transcripts", transcripts.withColumns(scope))
         self.put("exons", exons.withColumns(scope))
+        drop_cut(features)
         return report
 
     def ingest_vcf(self, path: str | list[str], tax_id: int, assembly: str) -> int:

@@ -74,3 +74,15 @@ def test_stream(spark, package, tmp_path):
     c = catalog.Catalog(spark, f"file://{tmp_path}/cat2")
     ingest.into_catalog(ingest.vcf_stream(spark, str(folder)), c, 9606, "asm1", str(tmp_path / "cp")).awaitTermination()
     assert c.table("variant_records").count() == 3
+
+
+def test_checksums_of_whole_sequences(spark, tmp_path):
+    import re
+    import zlib
+
+    from strandframe.plans import registry
+
+    texts = ["ACGT", "", "xACGTNx tgc", "GATTACA" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: zlib.crc32(re.sub(registry.LETTERS, "", t).upper().encode()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.crc for r in registry.seq_crc32(spark, str(tmp_path)).collect()} == want
