@@ -12,6 +12,7 @@ a backslash is two, ``###`` is ``\\h``, ``</turn>`` is ``\\t``; in roles a colon
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -65,7 +66,7 @@ def _conversations(batches):
 
     for batch in batches:
         for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if seen and conv_id != now:
+            if seen and (conv_id != now or conv_id is None):
                 close()
                 roles, texts = [], []
             now, seen = conv_id, True
@@ -143,23 +144,25 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     """Packs (pack, text, segments, conversations) of all conversations; see the module for their meaning.
 
     Rows of one id are one conversation, in order of turn (null first), then role and text: equal turns, and repeated
-    rows, are turns each. Null roles and texts are empty; a null id is a conversation of its own. An empty table gives
-    no packs. A conversation is never split, so a pack can be longer than ``pack_chars`` by one conversation.
+    rows, are turns each. Null roles and texts are empty; each row without an id is a conversation of its own. An empty
+    table gives no packs. A conversation is never split, so a pack can be longer than ``pack_chars`` by one conversation.
     """
     spark = conversations.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    # rows without an id are dealt out by what they hold
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.monotonically_increasing_id()))
+    ordered = rows.repartition(parts, "conv_id", spread).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     whole = cut(ordered.mapInArrow(_conversations, CONVERSATION))
     return whole.repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_packs(pack_chars), PACK)
 
 
-def _read(text: str, segments: list[dict], leaf: int) -> tuple[str, list[str]]:
-    """The tokens that a leaf can attend to, in order of position, and the trained texts among them."""
+def _read(text: str, segments: list[dict], starts: list[int], leaf: int) -> tuple[str, list[str]]:
+    """The tokens that a leaf can attend to, in order of position, and the trained texts among them. starts: of the segments."""
     own = segments[leaf]
     spans = [*((a["start"], a["stop"]) for a in own["ancestors"]), (own["start"], own["stop"])]
-    losses = sorted((s["loss_start"], s["loss_stop"]) for s in segments if s["loss_stop"] and any(i <= s["start"] < j for i, j in spans))
-    return "".join(text[i:j] for i, j in spans), [text[i:j] for i, j in losses]
+    seen = (segments[k] for i, j in spans for k in range(bisect.bisect_left(starts, i), bisect.bisect_left(starts, j)))
+    return "".join(text[i:j] for i, j in spans), [text[s["loss_start"] : s["loss_stop"]] for s in seen if s["loss_stop"]]
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -169,8 +172,9 @@ def _read_back(batches):
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
         for text, segments, conversations in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+            starts = [s["start"] for s in segments]
             for c in conversations:
-                whole, losses = _read(text, segments, c["segment"])
+                whole, losses = _read(text, segments, starts, c["segment"])
                 turns = [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(whole)]
                 loss = "".join(unescape(x) for x in losses)
                 said = "".join(f"{role}\n{said}\n" for role, said in turns)

@@ -19,7 +19,8 @@ before it; so the words before the tokens of a text are its tokens, and the T's
 Counting. A batch sends its distinct hashes, dealt by hash; words carry the documents they occur in, so the exact base sums
 and those of T need no second look at the words. A pair goes where its first word goes. Words that make up a stated share of
 a batch are counted apart (a short, bounded table), and pairs that begin with them are dealt by the pair, so no word gathers
-more than that share in one task. Pairs are told apart by log2(N) + SPARE_BITS bits of their hash.
+more than that share in one task. Pairs are told apart by log2(N) + SPARE_BITS bits of their hash. Documents go by their
+number in the batch (a byte or two in each bucket); the numbers' keys are sent once a batch, to where its sums meet.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ DISCOUNT = 0.75
 #: Tokens of a batch, and the hashes of one counting task on average.
 BATCH_TOKENS = 1 << 20
 BATCH_ROWS = 60_000
-BUCKET_HASHES = 1 << 20
+BUCKET_HASHES = 1 << 21
 #: A word that makes up half of this share of a batch's tokens, in a thousandth at least of all, is counted apart.
 COMMON = 0.002
 #: Hashes of pairs are cut to so many bits more than the number of tokens needs.
@@ -112,7 +114,8 @@ def _member(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _send(buckets: int, bits: int, common):
-    """Of a batch, for each bucket: postings of words, and how often each pair occurs in training."""
+    """Of a batch, for each bucket: postings of words, and how often each pair occurs in training; and, with a key from
+    ``buckets`` on, the keys of its documents. docs: the batch's name, then numbers of documents (or all keys)."""
 
     def run(batches):
         shift, drop = np.uint64(64 - int(math.log2(buckets))), np.uint64(64 - bits)
@@ -122,7 +125,8 @@ def _send(buckets: int, bits: int, common):
             owner = np.repeat(np.arange(len(keys), dtype=np.uint64), counts)
             train = np.repeat(flags, counts)
             known = _member(apart, hashes)[0]
-            rows: dict[int, list] = {}
+            name = xxhash.xxh3_64_digest(keys.tobytes() + flags.tobytes())
+            rows: dict[int, list] = {buckets + int.from_bytes(name, "little") % buckets: [name + keys.astype("<i8").tobytes(), *[b""] * 8]}
             # pairs, each once, by (bucket, first word)
             before = np.concatenate(([END], hashes[:-1]))[train]
             pair, first, tally = np.unique(_pairs(hashes, counts)[train], return_index=True, return_counts=True)
@@ -156,7 +160,7 @@ def _send(buckets: int, bits: int, common):
                 order = np.argsort(whole, kind="stable")
                 narrow = np.uint16 if owners.size == 0 or (len(used) < 32000 and q == p) else np.uint32
                 each, repeats = np.unique(whole, return_counts=True)
-                rows.setdefault(b, [b""] * 9)[:5] = [keys[used].astype("<i8").tobytes(), words.pack(each), _narrowed(repeats), bytes([np.dtype(narrow).itemsize]) + owners[order].astype(narrow).tobytes(), _narrowed(often[order])]
+                rows.setdefault(b, [b""] * 9)[:5] = [name + words.pack(used.astype(np.uint64)), words.pack(each), _narrowed(repeats), bytes([np.dtype(narrow).itemsize]) + owners[order].astype(narrow).tobytes(), _narrowed(often[order])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in range(9))], [x.split()[0] for x in SENT.split(", ")])
 
@@ -253,6 +257,10 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
     def run(key, table):
         key, width = key[0].as_py(), -(-bits // 8)
         column = lambda name: table.column(name).to_pylist()
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        rows = lambda out: pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
+        if key >= parts:
+            return rows([(key, key - parts, x, b"", b"", b"", 0, 0) for x in dict.fromkeys(column("docs"))])
         # pairs: of each first word the sum of q - d, and how many words follow it
         contexts, pairs, tallies = [], [], []
         for context, fan, short, tally in zip(*map(column, ("contexts", "fans", "pairs", "tallies")), strict=True):
@@ -276,14 +284,14 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
         log_t = np.log10(mass + DISCOUNT * quantised(fans))
         # words
         hashes = [np.repeat(words.unpack(h), _unpacked(n)) for h, n in zip(column("hashes"), column("repeats"), strict=True)]
-        docs, owners, counts, base = [], [], [], 0
-        for doc, owner, count in zip(*map(column, ("docs", "owners", "counts")), strict=True):
-            doc, owner = np.frombuffer(doc, "<i8"), _unpacked(owner).astype(np.int64)
-            docs.append(doc)
-            owners.append(np.where(owner == 0xFFFFFFFF, -1, owner + 2 * base))
+        docs, starts, owners, counts = column("docs"), [0], [], []
+        for doc, owner, count in zip(docs, *map(column, ("owners", "counts")), strict=True):
+            owner = _unpacked(owner).astype(np.int64)
+            owners.append(np.where(owner == 0xFFFFFFFF, -1, owner + 2 * starts[-1]))
             counts.append(_unpacked(count).astype(np.int64))
-            base += len(doc)
-        doc, owner, count, value = np.concatenate(docs), np.concatenate(owners), np.concatenate(counts), np.concatenate(hashes)
+            starts.append(starts[-1] + len(words.unpack(doc[8:])))
+        owner, count, value = np.concatenate(owners), np.concatenate(counts), np.concatenate(hashes)
+        del owners, counts, hashes
         distinct, at = np.unique(value, return_inverse=True)
         learnt = (owner < 0) | (owner & 1 == 1)
         c = np.bincount(at[learnt], weights=count[learnt], minlength=len(distinct)).astype(np.int64)
@@ -296,28 +304,35 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
         found, place = _member(before, distinct)
         logs_t = np.where(found, log_t[place], 0.0) if len(before) else np.zeros(len(distinct))
         own = owner >= 0
-        row = owner[own] >> 1
-        ids, where = np.unique(doc, return_inverse=True)
-        sums = []
-        for each in (np.log10(c + 1.0), seen, logs_t):
-            of_row = np.bincount(row, weights=each[at[own]] * count[own], minlength=len(doc))
-            sums.append(np.bincount(where, weights=of_row, minlength=len(ids)))
-        part = ids % parts
-        order = np.argsort(part, kind="stable")
-        for p, i, j in _runs(part[order]):
-            own = order[i:j]
-            out.append((key, p, ids[own].tobytes(), sums[0][own].tobytes(), sums[1][own].astype(np.int64).tobytes(), sums[2][own].tobytes(), 0, 0))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
+        row, at, count = owner[own] >> 1, at[own], count[own]
+        logs, known, logs_t = (np.bincount(row, weights=each[at] * count, minlength=starts[-1]) for each in (np.log10(c + 1.0), seen, logs_t))
+        for doc, i, j in zip(docs, starts[:-1], starts[1:], strict=True):
+            if i < j:
+                out.append((key, int.from_bytes(doc[:8], "little") % parts, doc, logs[i:j].tobytes(), _narrowed(known[i:j].astype(np.int64)), logs_t[i:j].tobytes(), 0, 0))
+        return rows(out)
 
     return run
 
 
-def _sums(key, table):
-    docs, *sums = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("docs", np.int64), ("logs", np.float64), ("known", np.int64), ("blob", np.float64)))
-    ids, at = np.unique(docs, return_inverse=True)
-    logs, known, logs_t = (np.bincount(at, weights=x, minlength=len(ids)) for x in sums)
-    return pa.table({"row": ids, "logs": logs, "known": known.astype(np.int64), "logs_t": logs_t})
+def _sums(parts: int):
+    """Of each batch of one part its documents' keys and sums."""
+
+    def run(key, table):
+        keys, sums = {}, {}
+        for of, doc in zip(table.column("key").to_pylist(), table.column("docs").to_pylist(), strict=True):
+            if of >= parts:
+                keys[doc[:8]] = np.frombuffer(doc, "<i8", offset=8)
+                sums[doc[:8]] = np.zeros((3, len(keys[doc[:8]])))
+        for of, doc, *blobs in zip(*(table.column(c).to_pylist() for c in ("key", "docs", "logs", "known", "blob")), strict=True):
+            if of < parts:
+                at = words.unpack(doc[8:]).astype(np.int64)
+                for total, own in zip(sums[doc[:8]], (np.frombuffer(blobs[0]), _unpacked(blobs[1]), np.frombuffer(blobs[2])), strict=True):
+                    total[at] += own
+        row = np.concatenate([np.zeros(0, np.int64), *keys.values()])
+        logs, known, logs_t = np.concatenate([np.zeros((3, 0)), *sums.values()], axis=1)
+        return pa.table({"row": row, "logs": logs, "known": known.astype(np.int64), "logs_t": logs_t})
+
+    return run
 
 
 def _parts_of_t(batches):
@@ -415,7 +430,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     apart = spark.sparkContext.broadcast(common)
     sent = source.mapInArrow(words.freeing(_send(buckets, bits, apart)), SENT)
     counted = cut(sent.groupBy("key").applyInArrow(_count(parts, bits, apart, bits_an_entry), COUNTED))
-    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(_sums, "row long, logs double, known long, logs_t double")
+    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(_sums(parts), "row long, logs double, known long, logs_t double")
+    sums = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("logs", "known", "logs_t")))
     rows = counted.filter("part = -2").select("docs", "logs").collect()  # a row a bucket that has a common word
     counts = dict(zip(*(np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]).tolist() for k, t in enumerate((np.uint64, np.int64))), strict=True))
     of_t = counted.filter("part = -3").select("docs", "logs", "known").mapInArrow(_parts_of_t, "hash long, mass double, fans long")

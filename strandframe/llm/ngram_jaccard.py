@@ -65,7 +65,7 @@ SKETCH = 8
 #: Nodes of a bucket that meet its hubs, or other nodes, in one task.
 PIECE = 1000
 
-ROWS = "kind int, doc_id long, n long, node long"
+ROWS = "kind int, doc_id long, n long, node long, key long"
 POSTINGS = "key int, nodes binary, sizes binary, tokens binary, owners binary"
 SHARED = "part int, nodes binary, sizes binary, counts binary, tokens binary, ranks binary"
 INDEX = "sig long, node long, n long, core int, lead boolean, tokens binary, shared int, sketch array<long>"
@@ -82,12 +82,12 @@ def _fingerprint(tokens: np.ndarray) -> int:
 
 
 def _batches(batches, size: int):
-    """Lists of (doc_id, set), each of about BATCH_TOKENS tokens."""
+    """Lists of ((doc_id, key), set), each of about BATCH_TOKENS tokens."""
     ids, sets, total = [], [], 0
     for batch in batches:
-        keys = batch.column(0).to_pylist()
+        names, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for row, tokens in words.shingle_sets(batch.column(1), size):
-            ids.append(keys[row])
+            ids.append((names[row], keys[row]))
             sets.append(tokens)
             total += len(tokens)
             if total >= BATCH_TOKENS or len(ids) >= BATCH_ROWS:
@@ -111,8 +111,8 @@ def _rows(size: int):
     def run(batches):
         for ids, sets in _batches(batches, size):
             nodes = _nodes_of(sets)
-            out = [np.zeros(len(ids), np.int32), pa.array(ids, pa.int64()), np.array([len(s) for s in sets], np.int64), nodes.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), out[1], pa.array(out[2]), pa.array(out[3])], ["kind", "doc_id", "n", "node"])
+            names, keys = (pa.array(x, pa.int64()) for x in zip(*ids, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), names, pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(nodes.view(np.int64)), keys], ["kind", "doc_id", "n", "node", "key"])
             _, own = _distinct_sets(sets)
             if len(own) > 1:
                 token, count = np.unique(np.concatenate(own) >> TOKEN_BITS, return_counts=True)
@@ -122,7 +122,7 @@ def _rows(size: int):
                     most = np.argsort(-count, kind="stable")[:MOST_REPORTED]
                     token, count = token[most], count[most]
                 if len(token):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(count.astype(np.int64)), pa.array(token.view(np.int64))], ["kind", "doc_id", "n", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.int64())], ["kind", "doc_id", "n", "node", "key"])
 
     return run
 
@@ -381,20 +381,22 @@ def _near(percent: int):
     return small * 100 >= large * percent
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``; other columns are not looked at.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, key_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``; other columns are not looked at. key_col: a long column
+    that is returned as ``key``, with a number for each component as ``group`` (null without words).
 
     Null, empty and blank texts: 0 shingles, linked with nothing, component_id is the row's own id. Texts of fewer than
     ``size`` words are one shingle. Rows with equal sets are linked, repeated rows too, and each is returned. A null id
     never is a component's id unless all ids of the component are null. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key"))
     found = cut(source.mapInArrow(words.freeing(_rows(size)), ROWS))
-    rows = found.filter("kind = 0").select("doc_id", "n", "node")
+    rows = found.filter("kind = 0").select("doc_id", "n", "node", *(["key"] if key_col else []))
+    more = lambda group: ["key", group.cast("long").alias("group")] if key_col else []
     n_rows, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n_rows:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more(F.lit(None)))
     common = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).filter(F.col("c") >= F.lit(max(COMMON_LEAST, COMMON / 4 * n_rows))).orderBy(F.desc("c"), "node").limit(MOST_COMMON).select("node")
     common = np.sort(np.array([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
     buckets = 1 << max(4, math.ceil(math.log2(max(1, n_tokens / BUCKET_TOKENS))))
@@ -412,8 +414,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links, labels, active = None, None, sigs.withColumn("comp", F.col("node"))
     for turn in range(STAR_ROUNDS):
-        more = _links(_stars(active, turn, percent), sets, percent)
-        step = cut(more if links is None else links.unionByName(more))
+        linked = _links(_stars(active, turn, percent), sets, percent)
+        step = cut(linked if links is None else links.unionByName(linked))
         _drop(links, labels)
         links, labels = step, components(step)
         placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "core", "lead", "m", F.coalesce("comp", "node").alias("comp"))
@@ -438,9 +440,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(last)
     _drop(last, index, sigs, active)
 
-    named = rows.join(labels, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     full = named.filter("n > 0")
     smallest = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    full = full.join(smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = full.join(smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more(F.col("comp")))
+    empty = named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more(F.lit(None)))
     return full.unionByName(empty)

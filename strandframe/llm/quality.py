@@ -4,8 +4,9 @@ Features are indicators of hashed n-grams: word unigrams and bigrams (lower-case
 is scaled by its class log-count ratio r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|) of the labelled rows, and a
 text's vector is brought to length 1. A linear hinge-loss model is fitted by dual coordinate descent.
 
-The model is fitted on a sample of at most MAX_ROWS labelled rows (half of each class at most) with MAX_FEATURES
-features in all, the same at every run. Weights are one array of 2^BITS numbers, so what is broadcast has a fixed size.
+The model is fitted on a sample of labelled rows, in the order of their ids' hashes: MAX_ROWS at most (half of each class
+at most), and only so many that they have MAX_FEATURES features in all. So it depends on ids and texts alone, not on how
+files lie. The fit runs on the driver. Weights are one array of 2^BITS numbers, so what is broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -110,8 +111,8 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Fitted on labelled rows that aren't held out. A row labelled more than once counts once, by its larger label;
-    labels other than 0 and 1, null ids and rows without a text are not learnt from."""
+    """Fitted on labelled rows that aren't held out. A row labelled more than once counts once, by its larger label; of
+    several texts of one id the one whose features come first counts; labels other than 0 and 1, null ids and rows without a text are not learnt from."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     sample = None
@@ -127,12 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["id", "y", "features"])
 
     featured = texts.mapInArrow(words.freeing(run), "id long, y int, features binary")
-    rows = {}
-    total = 0
-    for r in featured.toLocalIterator():
-        if r.id not in rows and total + len(r.features) // 4 <= MAX_FEATURES:
-            rows[r.id] = (r.y, np.frombuffer(r.features, np.uint32))
-            total += len(r.features) // 4
+    rows, total = {}, 0
+    for r in featured.orderBy(F.xxhash64("id"), "id", "features").toLocalIterator():
+        if r.id in rows:
+            continue
+        total += len(r.features) // 4
+        if total > MAX_FEATURES:
+            break
+        rows[r.id] = (r.y, np.frombuffer(r.features, np.uint32))
     order = sorted(rows)
     return fit([rows[k][1] for k in order], [rows[k][0] for k in order])
 

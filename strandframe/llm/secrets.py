@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -174,8 +175,9 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not text:
         return [], []
     base = base_spans(text)
-    more = [x for x in novel_spans(text) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
-    return base, sorted(base + more)
+    starts, ends = [b[0] for b in base], list(itertools.accumulate((b[2] for b in base), max))
+    inside = lambda x: (k := bisect.bisect_right(starts, x[0])) > 0 and ends[k - 1] >= x[2]
+    return base, sorted(base + [x for x in novel_spans(text) if not inside(x)])
 
 
 def written(found: list[tuple[int, int, int]]) -> str:

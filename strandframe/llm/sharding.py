@@ -3,8 +3,9 @@
 The order of records is (hash of the text, doc_id), so equal texts lie together. Splitters are size-weighted quantiles
 of a sample of at most SAMPLES keys; the records are range-partitioned by them. A range that holds over twice its share
 (a large group of equal texts) is subdivided at quantiles of its own records' ids. Exact sums of the ranges (one small
-row each) then place every record exactly: its shard is the eighth of all bytes in which it starts. The sample decides
-only how evenly the work is dealt, never where a record goes.
+row each) then place every record exactly: its shard is the eighth of all bytes in which it starts, or, in a group of
+equal texts of at most TOGETHER of a shard, in which the group starts. The sample decides only how evenly the work is
+dealt, and which large groups are subdivided.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ SAMPLES = 100_000
 #: Records of a range on average, and the most ranges.
 RANGE_ROWS = 50_000
 MOST_RANGES = 4096
+#: A group of equal texts stays in one shard if it is not larger than this part of a shard.
+TOGETHER = 0.01
 
 
 def _range_of(splits):
@@ -31,9 +34,15 @@ def _range_of(splits):
             h = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
             i = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int64)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            out = low.copy()
-            for k in np.flatnonzero(high > low):  # a splitter has this very hash: the ids decide
-                out[k] = low[k] + np.searchsorted(ids[low[k] : high[k]], i[k], "left")
+            out, tied = low.copy(), np.flatnonzero(high > low)
+            if len(tied):  # a splitter has this very hash: the ids decide
+                both = np.concatenate((np.stack((hashes, ids)), np.stack((h[tied], i[tied]))), axis=1)
+                # splitters behind equal records: a splitter is below a record only if it is smaller
+                order = np.lexsort((np.arange(both.shape[1]) < len(hashes), both[1], both[0]))
+                below = np.cumsum(order < len(hashes))
+                place = np.empty(len(order), np.int64)
+                place[order] = below
+                out[tied] = place[len(hashes) :]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.astype(np.int32))], [*batch.schema.names, "part"])
 
     return run
@@ -43,9 +52,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row, under the law `bytes`.
 
     ``size`` is the UTF-8 length plus 1; a null text has size 1 and the CRC of nothing. Rows that are wholly equal, and
-    null ids (first in order), are placed like others; equal texts share a shard unless a boundary falls among them.
-    Shard k takes the rows that start in the k-th part of all bytes, so sizes differ by less than two records. slot
-    counts from 0 within the shard in key order. An empty table gives an empty one.
+    null ids (first in order), are placed like others; equal texts share a shard if they make up TOGETHER of one at most.
+    Shard k takes the rows or small groups that start in the k-th part of all bytes, so sizes differ by less than two
+    records or 2 x TOGETHER of a shard. slot counts from 0 within the shard in key order. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -83,8 +92,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     starts = F.broadcast(spark.createDataFrame(starts, "part int, n0 long, b0 long"))
     w = Window.partitionBy("part").orderBy("h", "i", "size", "text_crc32")
     placed = parted.withColumn("row", F.row_number().over(w) - 1).withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.join(starts, "part").select("doc_id", "size", "text_crc32", (F.col("row") + F.col("n0")).alias("row"), F.least(F.lit(shards - 1), F.floor((F.col("before") + F.col("b0")) * shards / F.lit(float(total)))).cast("int").alias("shard"))
+    group = Window.partitionBy("part", "h")
+    held = F.sum("size").over(group) <= F.lit(TOGETHER * total / shards)
+    placed = placed.withColumn("at", F.when(held, F.min("before").over(group)).otherwise(F.col("before")))
+    placed = placed.join(starts, "part").select("doc_id", "size", "text_crc32", (F.col("row") + F.col("n0")).alias("row"), F.least(F.lit(shards - 1), F.floor((F.col("at") + F.col("b0")) * shards / F.lit(float(total)))).cast("int").alias("shard"))
     placed = cut(placed)
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # one row a shard
     return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("row") - F.col("first")).select(*out_columns)
-

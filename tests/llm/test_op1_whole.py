@@ -19,7 +19,7 @@ def _batch(sets, common_words, seed):
     rng = random.Random(seed)
     shared = " ".join(f"common{k}" for k in range(common_words))
     texts = [f"{shared} " + " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(20)) for _ in range(sets)]
-    return pa.RecordBatch.from_arrays([pa.array(range(sets), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(range(sets), pa.int64()), pa.array(texts), pa.nulls(sets, pa.int64())], ["doc_id", "text", "key"])
 
 
 def test_bytes_of_a_batch_stay_flat():
