@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; each reads what the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of ``documents``. Null texts and ids, repeated rows and empty tables are
-treated as the operators define it; a stage never fails on them.
+one's docs. All but the last return the columns of ``documents``, extra ones too. Null texts and ids, repeated rows and
+empty tables are treated as the operators define it; a stage never fails on them.
 """
 
 from __future__ import annotations
@@ -21,14 +21,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays.
-
-    Documents without words are in no group and all stay, as do rows without an id. Rows that share one id stay or go
-    together.
+    """Of each group of near duplicates one row stays: that of the smallest id (null last), and of the smallest hash of id
+    and text among rows of one id; of wholly equal rows one. Rows without words are in no group and all stay.
     """
-    found = ngram_jaccard.jaccard_components(docs)
-    gone = found.filter(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = cut(ngram_jaccard.jaccard_components(docs.select("doc_id", "text", key.alias("__key")), key_col="__key").filter("n_shingles > 0"))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    gone = found.join(first, "group").filter("key != first.key").select(F.col("key").alias("__gone")).distinct()
+    again = cut(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__again")))
+    kept = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    if not again.isEmpty():  # rows that are repeated: only those are shuffled
+        several = kept.join(again, F.col("__key") == F.col("__again"), "left_semi").dropDuplicates(["__key"])
+        kept = kept.join(again, F.col("__key") == F.col("__again"), "left_anti").unionByName(several)
+    return kept.select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
