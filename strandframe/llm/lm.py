@@ -275,7 +275,7 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
         before, at = np.unique(np.concatenate(contexts)[first], return_inverse=True)
         mass = np.bincount(at, weights=quantised(pair_count) - DISCOUNT, minlength=len(before))
         fans = np.bincount(at, minlength=len(before))
-        del contexts, pairs, tallies
+        del contexts, pairs, tallies, first, at, context, fan, short, tally, raw, wide
         held = _member(common.value, before)[0]
         out: list[tuple] = []
         if held.any():
@@ -429,8 +429,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     drop_cut(seen)
     apart = spark.sparkContext.broadcast(common)
     sent = source.mapInArrow(words.freeing(_send(buckets, bits, apart)), SENT)
-    counted = cut(sent.groupBy("key").applyInArrow(_count(parts, bits, apart, bits_an_entry), COUNTED))
-    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(_sums(parts), "row long, logs double, known long, logs_t double")
+    counted = cut(sent.groupBy("key").applyInArrow(words.freeing_groups(_count(parts, bits, apart, bits_an_entry)), COUNTED))
+    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(words.freeing_groups(_sums(parts)), "row long, logs double, known long, logs_t double")
     sums = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("logs", "known", "logs_t")))
     rows = counted.filter("part = -2").select("docs", "logs").collect()  # a row a bucket that has a common word
     counts = dict(zip(*(np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]).tolist() for k, t in enumerate((np.uint64, np.int64))), strict=True))

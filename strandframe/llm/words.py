@@ -36,13 +36,30 @@ def freeing(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
-                trim(0)
+            _give_back()
 
     return task
 
 
+def freeing_groups(run):
+    """The same for applyInArrow, after each group."""
+
+    @functools.wraps(run)
+    def group(key, table):
+        try:
+            return run(key, table)
+        finally:
+            _give_back()
+
+    return group
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> np.uint64(30))
