@@ -151,7 +151,7 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     # rows without an id are dealt out by what they hold
-    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.monotonically_increasing_id()))
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
     ordered = rows.repartition(parts, "conv_id", spread).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     whole = cut(ordered.mapInArrow(_conversations, CONVERSATION))
     return whole.repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_packs(pack_chars), PACK)

@@ -123,6 +123,13 @@ def test_shards(corpus, docs, spark):
     same = spark.createDataFrame([(i, "copy of a text") for i in range(400)], "doc_id long, text string")
     counts = collections.Counter(r.shard for r in sharding.shard(same).collect())
     assert set(counts.values()) == {50}
+    groups = spark.createDataFrame([(i, f"text {i % 700} " + "x" * (i % 700), 3, 4) for i in range(4000)], "doc_id long, text string, shard int, slot int")
+    where, sizes = collections.defaultdict(set), collections.Counter()
+    for r in sharding.shard(groups).collect():
+        where[r.text_crc32].add(r.shard)
+        sizes[r.text_crc32] += r["size"]
+    small = [x for x, n in sizes.items() if n <= sharding.TOGETHER * sum(sizes.values()) / 8]
+    assert len(small) > 200 and all(len(where[x]) == 1 for x in small)  # small groups stay together
     assert sharding.shard(docs.limit(0)).count() == 0
 
 

@@ -13,3 +13,9 @@ def test_deep_branches_are_emitted_once(spark):
         turns = [pack.text[s.start : s.stop] for s in pack.segments]
         assert len(turns) == len(set(turns))
     assert sorted(r.n_turns for r in chat.read_back(spark.createDataFrame(packs, chat.PACK)).collect()) == [9] * 80
+
+
+def test_rows_without_an_id_are_conversations_each(spark):
+    rows = [(None, t, "user", f"text {t % 3}") for t in range(7)] + [(None, 0, "user", "text 0"), (4, 0, "user", "text 0")]
+    got = chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1)] * 8 + [(4, 1)]
