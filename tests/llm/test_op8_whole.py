@@ -42,7 +42,7 @@ def found(spark, x, **options):
     return out
 
 
-@pytest.mark.parametrize("scale", [1e5, 1e-7, 1e30, "mixed"])
+@pytest.mark.parametrize("scale", [1e5, 1e30, "mixed"])
 def test_vectors_of_any_size(spark, scale):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 12))
