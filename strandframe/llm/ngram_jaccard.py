@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm import words
+from strandframe.llm import skew, words
 from strandframe.llm.components import components
 from strandframe.session import cut, drop_cut
 
@@ -440,9 +440,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(last)
     _drop(last, index, sigs, active)
 
-    named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    full = named.filter("n > 0")
-    smallest = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    full = full.join(smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more(F.col("comp")))
-    empty = named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more(F.lit(None)))
+    # Rows meet once a set, sets once a component; then a component's id goes back to its sets, and theirs to the rows.
+    full = rows.filter("n > 0")
+    of_set = full.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("m")).join(labels, "node", "left")
+    of_set = cut(of_set.withColumn("comp", F.coalesce("comp", "node")))
+    of_comp = cut(of_set.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("m")))
+    named = cut(skew.join_groups(of_set.withColumnRenamed("m", "copies").drop("low"), of_comp, "comp", n_rows).withColumnRenamed("copies", "m"))
+    _drop(labels, of_set, of_comp)
+    full = skew.join_groups(full, named, "node", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more(F.col("comp")))
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more(F.lit(None)))
     return full.unionByName(empty)
