@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, decontamination, ngram_jaccard, quality, secrets
+from strandframe.llm import bpe, decontamination, ngram_jaccard, quality, secrets, skew
 from strandframe.llm.queries import vocabulary_path
 from strandframe.session import cut
 
@@ -26,8 +26,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = cut(ngram_jaccard.jaccard_components(docs.select("doc_id", "text", key.alias("__key")), key_col="__key").filter("n_shingles > 0"))
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    gone = found.join(first, "group").filter("key != first.key").select(F.col("key").alias("__gone")).distinct()
+    first = cut(found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("m")))
+    gone = skew.join_groups(found, first, "group", found.count()).filter("key != first.key").select(F.col("key").alias("__gone")).distinct()
     again = cut(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__again")))
     kept = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
     if not again.isEmpty():  # rows that are repeated: only those are shuffled
