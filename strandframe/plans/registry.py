@@ -32,6 +32,16 @@ DNA = f"replace({SEQ}, 'U', 'T')"
 FM = f"regexp_replace({DNA}, '[^ACGT]', 'A', 'g')"
 
 
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text in UTF-8: one step a byte, through the table that the polynomial makes."""
+    rule = lambda n: (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+    entries = range(256)
+    for _ in range(8):
+        entries = [rule(n) for n in entries]
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, (CAST({list(entries)} AS BIGINT[]))[xor(c & 255, b) + 1])))"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -210,13 +220,6 @@ def region_overlap(spark, d):
     return intervals.in_region(shipping(spark, d), 10000, 10100, checked=True).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "start", "end")
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT min(ts) FROM events) AND ts < (SELECT min(ts) FROM events) + INTERVAL 1 DAY")
-def point_in_range(spark, d):
-    events = t(spark, d, "events")
-    lo = events.agg(F.min("ts").alias("lo"))
-    return events.join(F.broadcast(lo)).filter((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("lo") + F.expr("INTERVAL 1 DAY"))).select("event_id", "user_id")
-
-
 @query(f"""
 WITH a AS {SHIP}, o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS os, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 60 AS oe FROM orders)
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, s AS "start", e AS "end", os AS o_start FROM a JOIN o ON l_orderkey = o_orderkey AND s < oe AND e > os AND s < e""")
@@ -264,7 +267,7 @@ def seq_sha256(spark, d):
     return docs(spark, d).select("doc_id", F.length("seq").cast("long").alias("length_bp"), F.sha2("seq", 256).alias("sha256"))
 
 
-@query()
+@query(f"SELECT doc_id, {crc32_sql(SEQ)} AS crc FROM documents")
 def seq_crc32(spark, d):
     return docs(spark, d).select("doc_id", F.crc32(F.col("seq").cast("binary")).alias("crc"))
 
