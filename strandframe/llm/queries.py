@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import ann, bpe, chat, decontamination, html, lm, ngram_jaccard, quality, secrets, sharding
+from strandframe.plans.registry import crc32_sql
 
 
 def vocabulary_path() -> str:
@@ -86,6 +87,27 @@ links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
 SELECT r.doc_id, CAST(n AS BIGINT) AS n_shingles, min(other) AS component_id FROM reach r JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id, n
+""",
+    "op5_sharding": f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+keyed AS (SELECT doc_id, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS h, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc32_sql("t")} AS text_crc32 FROM texts),
+placed AS (
+  SELECT *, row_number() OVER whole - 1 AS place, sum(size) OVER (whole ROWS UNBOUNDED PRECEDING) - size AS before, CAST(sum(size) OVER () AS DOUBLE) AS total, sum(size) OVER (PARTITION BY h) AS together
+  FROM keyed WINDOW whole AS (ORDER BY h, doc_id NULLS FIRST, size, text_crc32)),
+starts AS (SELECT *, CASE WHEN together <= CAST(0.01 AS DOUBLE) * total / 8 THEN min(before) OVER (PARTITION BY h) ELSE before END AS starts_at FROM placed),
+dealt AS (SELECT *, CAST(least(7, floor(CAST(starts_at * 8 AS DOUBLE) / total)) AS INT) AS shard FROM starts)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM dealt
+""",
+    "op6_chat_formatting": r"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, coalesce(role, '') AS r, coalesce(text, '') AS t FROM said),
+marked AS (SELECT *, replace(replace(replace(t, '\', '\\'), '###', '\h'), '</turn>', '\t') AS et, replace(replace(replace(replace(r, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS er FROM turns),
+ordered AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said,
+    coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '') AS loss, sum(length('### ' || er || ': ' || et || ' </turn>' || chr(10))) AS n
+  FROM marked GROUP BY conv_id, alone)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM ordered
 """,
     "op7_benchmark_decontamination": f"""
 WITH words AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),

@@ -1,6 +1,6 @@
 """Shards of near-equal size by sampled splitters.
 
-The order of records is (hash of the text, doc_id), so equal texts lie together. Splitters are size-weighted quantiles
+The order of records is (first 60 bits of the text's MD5, doc_id), so equal texts lie together. Splitters are size-weighted quantiles
 of a sample of at most SAMPLES keys; the records are range-partitioned by them. A range that holds over twice its share
 (a large group of equal texts) is subdivided at quantiles of its own records' ids. Exact sums of the ranges (one small
 row each) then place every record exactly: its shard is the eighth of all bytes in which it starts, or, in a group of
@@ -59,7 +59,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i"),
+        F.col(id_col).cast("long").alias("doc_id"), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i"),
         (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     keyed = cut(keyed)
