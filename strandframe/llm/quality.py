@@ -5,7 +5,8 @@ is scaled by its class log-count ratio r = log((p + 1) / |p + 1|) - log((q + 1)
 text's vector is brought to length 1. A linear hinge-loss model is fitted by dual coordinate descent.
 
 The model is fitted on a sample of labelled rows, in the order of their ids' hashes: MAX_ROWS at most (half of each class
-at most), and only so many that they have MAX_FEATURES features in all. So it depends on ids and texts alone, not on how
+at most), and only so many that they have MAX_FEATURES features in all (4 bytes each on the driver); both are parameters
+of ``train``. So it depends on ids and texts alone, not on how
 files lie. The fit runs on the driver. Weights are one array of 2^BITS numbers, so what is broadcast has a fixed size.
 """
 
@@ -110,7 +111,7 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Fitted on labelled rows that aren't held out. A row labelled more than once counts once, by its larger label; of
     several texts of one id the one whose features come first counts; labels other than 0 and 1, null ids and rows without a text are not learnt from."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if r.id in rows:
             continue
         total += len(r.features) // 4
-        if total > MAX_FEATURES:
+        if total > max_features:
             break
         rows[r.id] = (r.y, np.frombuffer(r.features, np.uint32))
     order = sorted(rows)
