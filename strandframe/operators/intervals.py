@@ -23,10 +23,21 @@ def points_in(df: DataFrame, lo, hi, point: str = "position") -> DataFrame:
     return df.filter((F.col(point) >= lo) & (F.col(point) < hi)).orderBy(point)
 
 
-def running_max_end(df: DataFrame, keys: list[str], order: list[str], end: str = "end") -> DataFrame:
-    """The interval index as a table: each row with the largest end so far of its key, in (start, end) order."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("max_end", F.max(end).over(w))
+def running_max_end(df: DataFrame, keys: list[str], order: list[str], end: str = "end", width: int = 1 << 20) -> DataFrame:
+    """The interval index as a table: each row with the largest end so far of its key, in the given order.
+
+    In two levels, so that no task holds a whole key: the rows of a key are dealt to bins of ``width`` of their first
+    order column (a number; null comes first), and a bin starts with the largest end of the key's bins before it.
+    """
+    place = F.coalesce(F.floor(F.col(order[0]) / width).cast("long"), F.lit(-(1 << 63)))
+    binned = df.withColumn("__bin", place)
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    most = binned.groupBy(*keys, "__bin").agg(F.max(end).alias(end)).withColumn(end, F.max(end).over(earlier))
+    # what a bin starts with is a row before its others: the rows themselves are shuffled once and joined with nothing
+    carried = most.filter(F.col(end).isNotNull()).withColumn("__row", F.lit(0))
+    w = Window.partitionBy(*keys, "__bin").orderBy("__row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = binned.withColumn("__row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    return both.withColumn("max_end", F.max(end).over(w)).filter("__row = 1").drop("__row", "__bin")
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, left_on: tuple[str, str] = ("start", "end"), right_on: tuple[str, str] = ("start", "end")) -> DataFrame:

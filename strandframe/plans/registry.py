@@ -242,7 +242,7 @@ def interval_self_join(spark, d):
 
 @query(f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS max_end FROM {SHIP}")
 def prefix_max_end(spark, d):
-    return intervals.running_max_end(shipping(spark, d), ["l_suppkey"], ["start", "end", "l_orderkey", "l_linenumber"]).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "max_end")
+    return intervals.running_max_end(shipping(spark, d), ["l_suppkey"], ["start", "end", "l_orderkey", "l_linenumber"], width=256).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "max_end")
 
 
 @query("SELECT doc_id, regexp_full_match(upper(text), '[ACGTUNRYSWKMBDHV]*') AS valid FROM documents")

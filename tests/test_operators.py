@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 
@@ -98,3 +99,19 @@ def test_locus_windows(spark):
     assert (got["A"].fetch_start, got["A"].fetch_end, got["A"].priority) == (0, 250, 3)
     assert (got["B"].fetch_start, got["B"].fetch_end, got["B"].window_start, got["B"].window_end) == (0, 800, 5000, 5800)
     assert not got["C"].valid
+
+
+def test_running_max_crosses_bins(spark):
+    rows = [("a", 0, 900), ("a", 5, 7), ("a", 130, 140), ("a", 250, 260), ("a", 990, 1000), ("b", 40, 41), ("b", None, 3), (None, 10, 20), (None, 500, 600), (None, 700, 701), ("c", 1, None), ("c", 300, 310), ("a", 130, 140)]
+    df = spark.createDataFrame(rows, "k string, start long, end long")
+    for width in (1, 100, 1 << 20):
+        out = intervals.running_max_end(df, ["k"], ["start", "end"], width=width)
+        assert out.columns == ["k", "start", "end", "max_end"]
+        want = []
+        for key in ("a", "b", "c", None):
+            most = None
+            for start, end in sorted(((s, e) for k, s, e in rows if k == key), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or 0)):
+                most = max((x for x in (most, end) if x is not None), default=None)
+                want.append((key, start, end, most))
+        assert collections.Counter(tuple(r) for r in out.collect()) == collections.Counter(want), width
+    assert intervals.running_max_end(df.limit(0), ["k"], ["start", "end"]).count() == 0
