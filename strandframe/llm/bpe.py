@@ -30,6 +30,36 @@ TEXTS = 256
 #: Fixed value: the white space of the vocabulary's patterns (the Unicode property of this name).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+# Where the library's Unicode tables are older or newer than those of Python. Code points in hexadecimal.
+#: Letters and digits of other tables that are neither in the library's.
+NO_LETTERS = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 "
+    "16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 "
+    "1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+#: Marks that the library's NFC neither moves nor composes.
+NO_MARKS = (
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 11930 11938 1193d-1193e 11943 119e0 11a34 11a47 "
+    "11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+#: Capital letters, or ranges of them, and the first one's small letter.
+CAPITALS = "1c89:1c8a a7cb:264 a7cc:a7cd a7ce:a7cf a7d2:a7d3 a7d4:a7d5 a7da:a7db a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+
+
+def _ranges(stated: str) -> list[tuple[int, int]]:
+    bounds = [[int(x, 16) for x in one.split("-")] for one in stated.split()]
+    return [(b[0], b[-1]) for b in bounds]
+
+
+def _class(stated: str) -> str:
+    """The inside of a character class."""
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges(stated))
+
+
+def _small_letters() -> dict[int, int]:
+    pairs = [one.split(":") for one in CAPITALS.split()]
+    return {c: int(small, 16) + c - a for stated, small in pairs for a, b in _ranges(stated) for c in range(a, b + 1)}
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where it prints, else the next free one from 256."""
@@ -53,7 +83,15 @@ class Vocabulary:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.space = regex.compile(f"[{SPACE}]+")
         split = next(x for x in whole["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
-        self.words = regex.compile(split.replace("\\s", SPACE))
+        split = split.replace("\\s", SPACE)
+        self.words = regex.compile(split)
+        # where Unicode tables differ: the classes without what the library doesn't know, or with it
+        known, other = f"[{SPACE}\\p{{L}}\\p{{N}}]", f"[{_class(NO_LETTERS)}]"
+        careful = split.replace(f"[^{SPACE}\\p{{L}}\\p{{N}}]+", f"(?:{other}|(?!{known}).)+")
+        self.careful = regex.compile(careful.replace("[\\p{L}]+", f"(?:(?!{other})\\p{{L}})+").replace("[\\p{N}]", f"(?!{other})\\p{{N}}"), regex.DOTALL)
+        self.small = _small_letters()
+        self.marks = regex.compile(f"([{_class(NO_MARKS)}]+)")
+        self.differs = regex.compile(f"[{_class(NO_LETTERS + ' ' + NO_MARKS)}{''.join(map(chr, self.small))}]")
         self.alphabet = byte_alphabet()
         self.seen: dict[str, tuple[int, ...]] = {}
 
@@ -113,10 +151,18 @@ class Vocabulary:
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
+            pattern = self.words
             if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+                if self.differs.search(piece):
+                    pattern = self.careful
+                    parts = self.marks.split(piece)  # marks are the odd ones
+                    parts[::2] = [unicodedata.normalize("NFC", x) for x in parts[::2]]
+                    piece = "".join(parts).translate(self.small)
+                else:
+                    piece = unicodedata.normalize("NFC", piece)
+                piece = piece.replace("Σ", "σ")
             piece = self.space.sub(" ", piece).lower()
-            for word in self.words.findall(piece):
+            for word in pattern.findall(piece):
                 out += self.seen.get(word) or self.word(word)
         return out
 
