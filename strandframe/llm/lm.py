@@ -3,8 +3,10 @@
 Training n-grams (words, and pairs of words) are counted exactly, their counts quantised on a logarithmic scale, and an
 n-gram of level j is entered into a Bloom filter with each of the levels 1 to j. A count is read back by repeated
 membership probes: level 1, 2, ... until one fails. The filter is partitioned by n-gram hash into SEGMENTS that are built
-where the counts are, and sent to the workers in groups of at most GROUP_BYTES: with more data there are more groups,
-each a pass over the texts, never a larger broadcast.
+where the counts are, and sent to the workers in groups of at most GROUP_BYTES, each a pass over the texts, never a larger
+broadcast. A filter of over MOST_GROUPS groups is not broadcast: each batch of texts sends its distinct probes, dealt by
+segment, to where the segments are, and their levels come back by batch. So the passes over the texts are bounded, and what
+is shuffled is in proportion to the texts.
 
 Probabilities are those of interpolated absolute discounting, from the counts q that the filter gives:
 
@@ -26,6 +28,7 @@ number in the batch (a byte or two in each bucket); the numbers' keys are sent o
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,10 @@ BITS_AN_ENTRY = 10
 PROBES = 4
 #: Bytes of filter in one broadcast.
 GROUP_BYTES = 96 << 20
+#: So many groups are broadcast one after the other; with more the probes go to the segments.
+MOST_GROUPS = 4
+#: Bytes of probes that one task answers; a segment that is asked more goes to several.
+ASKED_BYTES = 64 << 20
 #: What is taken from the count of each pair, for pairs not seen.
 DISCOUNT = 0.75
 #: Tokens of a batch, and the hashes of one counting task on average.
@@ -62,11 +69,15 @@ SENT = "key int, docs binary, hashes binary, repeats binary, owners binary, coun
 COUNTED = "key int, part int, docs binary, logs binary, known binary, blob binary, entries long, distinct long"
 
 
-def _batches(batches):
+def _keys(batch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def _batches(batches, keys_of=_keys):
     """(row keys, training flags, words, counts) of about BATCH_TOKENS tokens; the end of each text is its last word."""
     keys, flags, hashes, counts, total = [], [], [], [], 0
     for batch in batches:
-        key, flag = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        key, flag = keys_of(batch), batch.column(1).to_numpy(zero_copy_only=False)
         for first, block, count in words.word_batches(batch.column(2)):
             stop = np.cumsum(count)
             hashes.append(np.insert(block, stop, END))
@@ -349,15 +360,27 @@ class _Settings:
         self.buckets, self.bits, self.hashes, self.counts, self.fans, self.log_t, self.z = buckets, bits, hashes, counts, fans, log_t, z
 
 
-def _levels_of(model: Filter, s: _Settings, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Levels of each word, of its pair with the word before it, and of its number of followers, as far as this filter tells."""
+def _probes(s: _Settings, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is to be asked of the filter, each once: segments and n-grams, in order of both; and for each word the places of
+    the word, of its pair with the word before it and of its number of followers."""
     shift, drop = np.uint64(64 - int(math.log2(s.buckets))), np.uint64(64 - s.bits)
     each, at = np.unique(hashes, return_inverse=True)
-    bucket = (each >> shift).astype(np.int64)
-    one, fans = model.level(bucket, each)[at], model.level(bucket, words.mix(each + FANS))[at]
-    pair, before = _pairs(hashes, counts), np.concatenate(([END], hashes[:-1]))
-    bucket = (np.where(_member(s.hashes, before)[0], pair, before) >> shift).astype(np.int64)
-    return np.stack((one, model.level(bucket, words.mix((pair >> drop) + PAIR)), fans))
+    before = np.concatenate(([END], hashes[:-1]))
+    pair, first, of = np.unique(_pairs(hashes, counts), return_index=True, return_inverse=True)
+    before = before[first]
+    dealt = np.where(_member(s.hashes, before)[0], pair, before)
+    bucket = (np.concatenate((each, each, dealt)) >> shift).astype(np.int64)
+    value = np.concatenate((each, words.mix(each + FANS), words.mix((pair >> drop) + PAIR)))
+    order = np.lexsort((value, bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return bucket[order], value[order], np.stack((place[at], place[2 * len(each) + of], place[len(each) + at]))
+
+
+def _levels_of(model: Filter, s: _Settings, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Levels of each word, of its pair with the word before it, and of its number of followers, as far as this filter tells."""
+    bucket, value, place = _probes(s, hashes, counts)
+    return model.level(bucket, value)[place]
 
 
 def _log_terms(s: _Settings, found: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -373,6 +396,15 @@ def _log_terms(s: _Settings, found: np.ndarray, hashes: np.ndarray, counts: np.n
     return np.log10(np.where(before > 0, np.where(two > 0, two - DISCOUNT, 0.0) + DISCOUNT * before * p, p))
 
 
+def _sums_of_texts(s: _Settings, found: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple:
+    """Of each text its number of tokens, the sums over words counted apart, and its score without the part of T."""
+    starts = np.cumsum(counts) - counts
+    common, at = _member(s.hashes, hashes)
+    of_common = lambda x: np.add.reduceat(np.where(common, x[at], 0) if len(x) else np.zeros(len(common), x.dtype), starts)
+    score = np.add.reduceat(_log_terms(s, found, hashes, counts), starts) - of_common(s.log_t)
+    return counts, of_common(np.log10(s.counts + 1.0)), of_common((s.counts > 0).astype(np.int64)), score
+
+
 def _score(model, settings, carried: bool, last: bool):
     """A pass over the texts with one group of the filter. Levels found so far are carried along as bytes."""
 
@@ -393,10 +425,7 @@ def _score(model, settings, carried: bool, last: bool):
                 if not last:
                     blobs += [found[:, a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
                     continue
-                common, at = _member(s.hashes, hashes)
-                of_common = lambda x, common=common, at=at, starts=starts: np.add.reduceat(np.where(common, x[at], 0) if len(x) else np.zeros(len(common), x.dtype), starts)
-                score = np.add.reduceat(_log_terms(s, found, hashes, counts), starts) - of_common(s.log_t)
-                out.append((counts, of_common(np.log10(s.counts + 1.0)), of_common((s.counts > 0).astype(np.int64)), score))
+                out.append(_sums_of_texts(s, found, hashes, counts))
             if not last:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blobs, pa.binary())], ["row", "doc_id", "train", "text", "found"])
             elif out:
@@ -405,7 +434,72 @@ def _score(model, settings, carried: bool, last: bool):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bits_an_entry: int = BITS_AN_ENTRY) -> DataFrame:
+HELD = "batch long, rows binary, hashes binary, counts binary"
+ASKED = "batch long, bucket int, probes binary"
+SCORED = "row long, doc_id long, train boolean, n_tokens long, c_logs double, c_known long, score double"
+
+
+def _hold(batches):
+    """A row for each batch of texts: a name that no other has, (row, id, null id, training) of its rows, its words."""
+    own = lambda b: np.stack((_keys(b), b.column(3).fill_null(0).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)), axis=1).astype("<i8")
+    for keys, flags, hashes, counts in _batches(batches, own):
+        name = int.from_bytes(os.urandom(8), "little", signed=True)
+        rows = np.concatenate((keys, flags.astype("<i8")[:, None]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows, hashes.astype("<u8"), counts.astype("<i8")))], [x.split()[0] for x in HELD.split(", ")])
+
+
+def _ask(settings):
+    def run(batches):
+        for batch in batches:
+            for name, hashes, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                bucket, value, _ = _probes(settings.value, np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8"))
+                rows = [(b, words.pack(value[i:j])) for b, i, j in _runs(bucket)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], [x.split()[0] for x in ASKED.split(", ")])
+
+    return run
+
+
+def _answer(asked, segments):
+    """Levels of one segment's probes, in their order; zeros, if it is not there."""
+    own = Filter(dict(enumerate(segments.column("blob").to_pylist()[:1])), 1)
+    names, keys, probes = (asked.column(c).to_pylist() for c in ("batch", "bucket", "probes"))
+    values = map(words.unpack, probes)
+    levels = [own.level(np.zeros(len(value), np.int64), value).tobytes() for value in values]
+    return pa.table([pa.array(names, pa.int64()), pa.array(keys, pa.int32()), pa.array(levels, pa.binary())], names=["batch", "bucket", "levels"])
+
+
+def _score_held(settings):
+    def run(held, answers):
+        s, out = settings.value, []
+        levels = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
+        for rows, hashes, counts in zip(*(held.column(c).to_pylist() for c in ("rows", "hashes", "counts")), strict=True):
+            rows = np.frombuffer(rows, "<i8").reshape(-1, 4)
+            hashes, counts = np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8")
+            found = np.frombuffer(b"".join(levels[b] for b in sorted(levels)), np.uint8)[_probes(s, hashes, counts)[2]]
+            ids = pa.array(rows[:, 1], mask=rows[:, 2] > 0)
+            out.append(pa.table([pa.array(rows[:, 0]), ids, pa.array(rows[:, 3] > 0), *map(pa.array, _sums_of_texts(s, found, hashes, counts))], names=[x.split()[0] for x in SCORED.split(", ")]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _score_by_segments(keyed: DataFrame, segments: DataFrame, settings) -> DataFrame:
+    """The scores of all texts without a broadcast of the filter. segments: (key, blob)."""
+    held = cut(keyed.select("row", "train", "text", "doc_id").mapInArrow(words.freeing(_hold), HELD))
+    asked = cut(held.select("batch", "hashes", "counts").mapInArrow(words.freeing(_ask(settings)), ASKED))
+    # A word of all batches is asked by each: what one segment is asked goes to as many tasks as it takes.
+    tasks = asked.groupBy("bucket").agg(F.ceil(F.sum(F.length("probes")) / F.lit(ASKED_BYTES)).cast("int").alias("tasks"))
+    dealt = asked.join(tasks, "bucket").withColumn("task", F.pmod("batch", F.col("tasks")).cast("int"))
+    own = segments.select(F.col("key").alias("bucket"), "blob").join(tasks, "bucket").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    met = dealt.select("bucket", "task", "batch", "probes").groupBy("bucket", "task").cogroup(own.select("bucket", "task", "blob").groupBy("bucket", "task"))
+    levels = met.applyInArrow(words.freeing_cogroups(_answer), "batch long, bucket int, levels binary")
+    out = cut(held.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(words.freeing_cogroups(_score_held(settings)), SCORED))
+    for done in (held, asked):
+        drop_cut(done)
+    return out
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bits_an_entry: int = BITS_AN_ENTRY, most_groups: int = MOST_GROUPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Null and empty texts have one token, the end. A null id is not held out: it is learnt from. Repeated rows are learnt
@@ -439,27 +533,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     fans = np.array([of_t.get(h, (0.0, 0))[1] for h in common.tolist()], np.int64)
     degree = np.where(fans > 0, quantised(fans), 0.0)
     mass = np.array([of_t.get(h, (0.0, 0))[0] for h in common.tolist()]) + DISCOUNT * degree
-    segments = counted.filter("part = -1").select("key", F.length("blob").alias("size"), "entries", "distinct").collect()  # a row a bucket
-    distinct = sum(r.distinct for r in segments)
-    z = sum(r.entries for r in segments) / 2 + distinct + 1
+    segments = counted.filter("part = -1")
+    held_bytes, entries, distinct = segments.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.length("blob"), F.col("entries"), F.col("distinct")))).first()
+    z = entries / 2 + distinct + 1
     settings = _Settings(buckets, bits, common, np.array([counts.get(h, 0) for h in common.tolist()], np.int64), degree, np.log10(np.where(mass > 0, mass, 1.0)), z)
     shared = spark.sparkContext.broadcast(settings)
 
-    groups: list[list[int]] = [[]]
-    size = 0
-    for r in sorted(segments, key=lambda r: r.key):
-        if groups[-1] and size + r.size > group_bytes:
-            groups.append([])
-            size = 0
-        groups[-1].append(r.key)
-        size += r.size
-    passed = keyed
+    passed, groups = keyed, [[]]
+    if held_bytes > most_groups * group_bytes:
+        passed, groups = _score_by_segments(keyed, segments.select("key", "blob"), shared), []
+    else:
+        size = 0
+        for r in segments.select("key", F.length("blob").alias("size")).orderBy("key").collect():  # bounded as the bytes are
+            if groups[-1] and size + r.size > group_bytes:
+                groups.append([])
+                size = 0
+            groups[-1].append(r.key)
+            size += r.size
     for k, group in enumerate(groups):
-        blobs = {r.key: bytes(r.blob) for r in counted.filter((F.col("part") == -1) & F.col("key").isin(group)).select("key", "blob").toLocalIterator()}
+        blobs = {r.key: bytes(r.blob) for r in segments.filter(F.col("key").isin(group)).select("key", "blob").toLocalIterator()}
         model = spark.sparkContext.broadcast(Filter(blobs, buckets))
         del blobs
         last = k == len(groups) - 1
-        schema = "row long, doc_id long, train boolean, n_tokens long, c_logs double, c_known long, score double" if last else "row long, doc_id long, train boolean, text string, found binary"
+        schema = SCORED if last else "row long, doc_id long, train boolean, text string, found binary"
         step = passed.mapInArrow(words.freeing(_score(model, shared, k > 0, last)), schema)
         if not last:
             step = cut(step)

@@ -54,6 +54,19 @@ def freeing_groups(run):
     return group
 
 
+def freeing_cogroups(run):
+    """The same for applyInArrow on two sides."""
+
+    @functools.wraps(run)
+    def pair(left, right):
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    return pair
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only

@@ -49,7 +49,7 @@ def corpus(n, words, seed=3):
     return [*rows, (held, "never seen w1 words w2 w1 at all"), (held, "never seen w1 words w2 w1 at all"), rows[5]]
 
 
-@pytest.mark.parametrize(("n", "options"), [(30, {}), (400, {}), (400, {"group_bytes": 20_000})])
+@pytest.mark.parametrize(("n", "options"), [(30, {}), (400, {}), (400, {"group_bytes": 20_000, "most_groups": 1000}), (400, {"group_bytes": 20_000}), (30, {"most_groups": 0})])
 def test_score_is_its_twin(spark, n, options):
     rows = corpus(n, 500)
     twin = Twin([t for i, t in rows if not HELD(i)])
@@ -78,3 +78,13 @@ def test_texts_seen_twice_stand_apart(spark):
     got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     once = sorted(v for k, v in got.items() if k not in twice)
     assert min(got[k] for k in twice) > once[int(0.98 * len(once))]
+
+
+def test_probes_that_go_to_the_segments_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ASKED_BYTES", 2000)
+    texts = [*corpus(300, 300), (None, "w1 w2 never seen"), (None, None), (7, None), (7, ""), (8, "w1 " * 3000), (8, "w1 " * 3000)]
+    docs = spark.createDataFrame([(*r, "x") for r in texts], "doc_id long, text string, batch string")
+    rows = lambda n: sorted((tuple(r) for r in lm.score(docs, most_groups=n).collect()), key=repr)
+    assert rows(0) == rows(1)
+    assert len(rows(0)) == len(texts)
+    assert lm.score(docs.limit(0), most_groups=0).count() == 0
