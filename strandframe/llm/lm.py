@@ -50,14 +50,19 @@ GROUP_BYTES = 96 << 20
 MOST_GROUPS = 4
 #: Bytes of probes that one task answers; a segment that is asked more goes to several.
 ASKED_BYTES = 64 << 20
+#: Entries that are put into a segment at once.
+STEP = 1 << 18
 #: What is taken from the count of each pair, for pairs not seen.
 DISCOUNT = 0.75
 #: Tokens of a batch, and the hashes of one counting task on average.
 BATCH_TOKENS = 1 << 20
 BATCH_ROWS = 60_000
 BUCKET_HASHES = 1 << 21
-#: A word that makes up half of this share of a batch's tokens, in a thousandth at least of all, is counted apart.
+#: A word with a quarter of this share of all tokens, or with over APART of them, is counted apart: no bucket grows with the
+#: input by it. A batch reports words with REPORTED of its tokens (twice at least).
 COMMON = 0.002
+APART = BUCKET_HASHES // 16
+REPORTED = 16 / BATCH_TOKENS
 #: Hashes of pairs are cut to so many bits more than the number of tokens needs.
 SPARE_BITS = 13
 
@@ -102,7 +107,7 @@ def _count_common(batches):
     for keys, flags, hashes, counts in _batches(batches):
         train = np.repeat(flags, counts)
         value, n = np.unique(hashes[train], return_counts=True)
-        yield_at = n >= COMMON / 2 * max(1, len(hashes))
+        yield_at = n >= min(COMMON / 2 * len(hashes), max(2, REPORTED * len(hashes)))
         value, n = value[yield_at], n[yield_at]
         rest = int(train.sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.append(value.view(np.int64), np.int64(0))), pa.array(np.append(n, rest).astype(np.int64)), pa.array(np.append(np.ones(len(value), np.int32), np.int32(0)))], ["hash", "n", "kind"])
@@ -215,13 +220,15 @@ def segment_bits(entries: int, bits_an_entry: int = BITS_AN_ENTRY) -> int:
 
 
 def build_segment(hashes: np.ndarray, counts: np.ndarray, bits_an_entry: int = BITS_AN_ENTRY) -> bytes:
-    level = levels(counts)
-    size = segment_bits(int(level.sum()), bits_an_entry)
+    steps = [slice(i, i + STEP) for i in range(0, len(hashes), STEP)]
+    level = np.concatenate([np.zeros(0, np.uint8), *(levels(counts[step]).astype(np.uint8) for step in steps)])
+    size = segment_bits(int(level.sum(dtype=np.int64)), bits_an_entry)
     bits = np.zeros(size, np.uint8)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        own = hashes[level >= j]
-        for place in _places(own, j, size):
-            bits[place] = 1
+    for step in steps:
+        for j in range(1, int(level[step].max()) + 1):
+            own = hashes[step][level[step] >= j]
+            for place in _places(own, j, size):
+                bits[place] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -261,32 +268,45 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return level_count(levels(counts))
 
 
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each value once, in order; the order of all values, equal ones as they came; where each value's run starts in it."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[start], order, start
+
+
+def _added(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the runs that start there."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    return np.add.reduceat(values, start, dtype=kind) if len(start) else np.zeros(0, kind)
+
+
 def _count(parts: int, bits: int, common, bits_an_entry: int):
     """Exact counts of one bucket: its filter segment, sums for Z, each document's sums of log10(c + 1) and of log10 T, and
     parts of T for words counted apart."""
 
     def run(key, table):
         key, width = key[0].as_py(), -(-bits // 8)
-        column = lambda name: table.column(name).to_pylist()
+        column = lambda name: (memoryview(x.as_buffer()) for x in table.column(name))  # noqa: E731  no copy
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         rows = lambda out: pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
         if key >= parts:
-            return rows([(key, key - parts, x, b"", b"", b"", 0, 0) for x in dict.fromkeys(column("docs"))])
+            return rows([(key, key - parts, x, b"", b"", b"", 0, 0) for x in dict.fromkeys(map(bytes, column("docs")))])
         # pairs: of each first word the sum of q - d, and how many words follow it
-        contexts, pairs, tallies = [], [], []
-        for context, fan, short, tally in zip(*map(column, ("contexts", "fans", "pairs", "tallies")), strict=True):
-            raw = np.frombuffer(short, np.uint8).reshape(-1, width)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :width] = raw
-            contexts.append(np.repeat(words.unpack(context), _unpacked(fan)))
-            pairs.append(wide.reshape(-1).view("<u8"))
-            tallies.append(_unpacked(tally).astype(np.int64))
-        pair, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
-        pair_count = np.bincount(at, weights=np.concatenate(tallies), minlength=len(pair)).astype(np.int64)
-        before, at = np.unique(np.concatenate(contexts)[first], return_inverse=True)
-        mass = np.bincount(at, weights=quantised(pair_count) - DISCOUNT, minlength=len(before))
-        fans = np.bincount(at, minlength=len(before))
-        del contexts, pairs, tallies, first, at, context, fan, short, tally, raw, wide
+        size = sum(map(len, column("pairs"))) // width
+        context, pair, tally, i = np.empty(size, np.uint64), np.zeros((size, 8), np.uint8), np.empty(size, np.uint32), 0
+        for words_of, fan, short, tallies in zip(*map(column, ("contexts", "fans", "pairs", "tallies")), strict=True):
+            j = i + len(short) // width
+            context[i:j] = np.repeat(words.unpack(words_of), _unpacked(fan))
+            pair[i:j, :width] = np.frombuffer(short, np.uint8).reshape(-1, width)
+            tally[i:j] = _unpacked(tallies)
+            i = j
+        pair, order, start = _grouped(pair.reshape(-1).view("<u8"))
+        pair_count = _added(tally[order], start)
+        before, order, start = _grouped(context[order[start]])
+        del context, tally
+        mass, fans = _added(quantised(pair_count)[order] - DISCOUNT, start), np.diff(np.append(start, len(order)))
         held = _member(common.value, before)[0]
         out: list[tuple] = []
         if held.any():
@@ -294,20 +314,25 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
         before, mass, fans = before[~held], mass[~held], fans[~held]
         log_t = np.log10(mass + DISCOUNT * quantised(fans))
         # words
-        hashes = [np.repeat(words.unpack(h), _unpacked(n)) for h, n in zip(column("hashes"), column("repeats"), strict=True)]
-        docs, starts, owners, counts = column("docs"), [0], [], []
-        for doc, owner, count in zip(docs, *map(column, ("owners", "counts")), strict=True):
-            owner = _unpacked(owner).astype(np.int64)
-            owners.append(np.where(owner == 0xFFFFFFFF, -1, owner + 2 * starts[-1]))
-            counts.append(_unpacked(count).astype(np.int64))
+        docs, starts = [bytes(x) for x in column("docs")], [0]
+        sizes = [int(_unpacked(x).sum(dtype=np.int64)) for x in column("repeats")]
+        value, owner, count, i = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.uint32), 0
+        for doc, n, each, repeats, own, often in zip(docs, sizes, *map(column, ("hashes", "repeats", "owners", "counts")), strict=True):
+            value[i : i + n] = np.repeat(words.unpack(each), _unpacked(repeats))
+            own = _unpacked(own).astype(np.int64)
+            owner[i : i + n] = np.where(own == 0xFFFFFFFF, -1, own + 2 * starts[-1])
+            count[i : i + n] = _unpacked(often)
             starts.append(starts[-1] + len(words.unpack(doc[8:])))
-        owner, count, value = np.concatenate(owners), np.concatenate(counts), np.concatenate(hashes)
-        del owners, counts, hashes
-        distinct, at = np.unique(value, return_inverse=True)
-        learnt = (owner < 0) | (owner & 1 == 1)
-        c = np.bincount(at[learnt], weights=count[learnt], minlength=len(distinct)).astype(np.int64)
+            i += n
+        distinct, order, start = _grouped(value)
+        del value
+        owner, count = owner[order], count[order]
+        at = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(start, len(order))))
+        del order
+        c = _added(np.where((owner < 0) | (owner & 1 == 1), count, 0), start)
         seen = c > 0
         blob = build_segment(np.concatenate((distinct[seen], words.mix(pair + PAIR), words.mix(before + FANS))), np.concatenate((c[seen], pair_count, fans)), bits_an_entry)
+        del pair, pair_count
         out.append((key, -1, b"", b"", b"", blob, int(2 * quantised(c[seen]).sum()), int(seen.sum())))  # q is a multiple of a half
         apart = np.unique(at[owner < 0])
         if len(apart):  # their counts go to the scoring pass
@@ -316,6 +341,7 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
         logs_t = np.where(found, log_t[place], 0.0) if len(before) else np.zeros(len(distinct))
         own = owner >= 0
         row, at, count = owner[own] >> 1, at[own], count[own]
+        del owner, own
         logs, known, logs_t = (np.bincount(row, weights=each[at] * count, minlength=starts[-1]) for each in (np.log10(c + 1.0), seen, logs_t))
         for doc, i, j in zip(docs, starts[:-1], starts[1:], strict=True):
             if i < j:
@@ -326,7 +352,7 @@ def _count(parts: int, bits: int, common, bits_an_entry: int):
 
 
 def _sums(parts: int):
-    """Of each batch of one part its documents' keys and sums."""
+    """Of each batch of a group its documents' keys and sums."""
 
     def run(key, table):
         keys, sums = {}, {}
@@ -439,27 +465,25 @@ def _score(model, settings, carried: bool, last: bool):
     return run
 
 
-HELD = "batch long, rows binary, hashes binary, counts binary"
-ASKED = "batch long, bucket int, probes binary"
+HELD = "batch long, bucket int, probes binary, rows binary, hashes binary, counts binary"
 SCORED = "row long, doc_id long, train boolean, n_tokens long, c_logs double, c_known long, score double"
 
 
-def _hold(batches):
-    """A row for each batch of texts: a name that no other has, (row, id, null id, training) of its rows, its words."""
+def _hold(settings):
+    """A row for each batch of texts: a name that no other has, (row, id, null id, training) of its rows, its words; and one
+    for each segment that it asks. Both in one pass, so no worker reads the words of several batches again."""
     own = lambda b: np.stack((_keys(b), b.column(3).fill_null(0).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)), axis=1).astype("<i8")
-    for keys, flags, hashes, counts in _batches(batches, own):
-        name = int.from_bytes(os.urandom(8), "little", signed=True)
-        rows = np.concatenate((keys, flags.astype("<i8")[:, None]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows, hashes.astype("<u8"), counts.astype("<i8")))], [x.split()[0] for x in HELD.split(", ")])
-
+    binary = lambda values: pa.array(values, pa.binary())
 
-def _ask(settings):
     def run(batches):
-        for batch in batches:
-            for name, hashes, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                bucket, value, _ = _probes(settings.value, np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8"))
-                rows = [(b, words.pack(value[i:j])) for b, i, j in _runs(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], [x.split()[0] for x in ASKED.split(", ")])
+        for keys, flags, hashes, counts in _batches(batches, own):
+            name = int.from_bytes(os.urandom(8), "little", signed=True)
+            rows = np.concatenate((keys, flags.astype("<i8")[:, None]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(binary([x.tobytes()]) for x in (rows, hashes.astype("<u8"), counts.astype("<i8")))], [x.split()[0] for x in HELD.split(", ")])
+            bucket, value, _ = _probes(settings.value, hashes, counts)
+            asked = [(b, words.pack(value[i:j])) for b, i, j in _runs(bucket)]
+            del bucket, value
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(asked), pa.int64()), pa.array([b for b, _ in asked], pa.int32()), binary([x for _, x in asked]), *(pa.nulls(len(asked), pa.binary()) for _ in range(3))], [x.split()[0] for x in HELD.split(", ")])
 
     return run
 
@@ -490,8 +514,9 @@ def _score_held(settings):
 
 def _score_by_segments(keyed: DataFrame, segments: DataFrame, settings) -> DataFrame:
     """The scores of all texts without a broadcast of the filter. segments: (key, blob)."""
-    held = cut(keyed.select("row", "train", "text", "doc_id").mapInArrow(words.freeing(_hold), HELD))
-    asked = cut(held.select("batch", "hashes", "counts").mapInArrow(words.freeing(_ask(settings)), ASKED))
+    both = cut(keyed.select("row", "train", "text", "doc_id").mapInArrow(words.freeing(_hold(settings)), HELD))
+    held = both.filter("bucket is null").select("batch", "rows", "hashes", "counts")
+    asked = both.filter("bucket is not null").select("batch", "bucket", "probes")
     # A word of all batches is asked by each: what one segment is asked goes to as many tasks as it takes.
     tasks = asked.groupBy("bucket").agg(F.ceil(F.sum(F.length("probes")) / F.lit(ASKED_BYTES)).cast("int").alias("tasks"))
     dealt = asked.join(tasks, "bucket").withColumn("task", F.pmod("batch", F.col("tasks")).cast("int"))
@@ -499,8 +524,7 @@ def _score_by_segments(keyed: DataFrame, segments: DataFrame, settings) -> DataF
     met = dealt.select("bucket", "task", "batch", "probes").groupBy("bucket", "task").cogroup(own.select("bucket", "task", "blob").groupBy("bucket", "task"))
     levels = met.applyInArrow(words.freeing_cogroups(_answer), "batch long, bucket int, levels binary")
     out = cut(held.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(words.freeing_cogroups(_score_held(settings)), SCORED))
-    for done in (held, asked):
-        drop_cut(done)
+    drop_cut(both)
     return out
 
 
@@ -519,8 +543,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     source = keyed.select("row", "train", "text")
     seen = cut(source.mapInArrow(words.freeing(_count_common), "hash long, n long, kind int"))
     total = seen.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # Each makes up a thousandth of a quarter's share of all tokens at least, so there are 4 / COMMON at most.
-    common = [r[0] for r in seen.filter("kind = 1").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(COMMON / 4 * total)).collect()]
+    # There are 4 / COMMON at most, or one for each APART tokens.
+    common = [r[0] for r in seen.filter("kind = 1").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(min(COMMON / 4 * total, float(APART)))).collect()]
     common = np.sort(np.array(common, np.int64).view(np.uint64))
     buckets = 1 << max(3, math.ceil(math.log2(max(1, total / BUCKET_HASHES))))
     bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
@@ -529,7 +553,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     apart = spark.sparkContext.broadcast(common)
     sent = source.mapInArrow(words.freeing(_send(buckets, bits, apart)), SENT)
     counted = cut(sent.groupBy("key").applyInArrow(words.freeing_groups(_count(parts, bits, apart, bits_an_entry)), COUNTED))
-    sums = counted.filter("part >= 0").groupBy("part").applyInArrow(words.freeing_groups(_sums(parts)), "row long, logs double, known long, logs_t double")
+    # A group is one batch, by its name: parts of several would differ in size.
+    sums = counted.filter("part >= 0").groupBy(F.substring("docs", 1, 8)).applyInArrow(words.freeing_groups(_sums(parts)), "row long, logs double, known long, logs_t double")
     sums = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("logs", "known", "logs_t")))
     rows = counted.filter("part = -2").select("docs", "logs").collect()  # a row a bucket that has a common word
     counts = dict(zip(*(np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]).tolist() for k, t in enumerate((np.uint64, np.int64))), strict=True))

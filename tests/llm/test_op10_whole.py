@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandframe.llm import lm
@@ -88,3 +89,19 @@ def test_probes_that_go_to_the_segments_give_the_same(spark, monkeypatch):
     assert rows(0) == rows(1)
     assert len(rows(0)) == len(texts)
     assert lm.score(docs.limit(0), most_groups=0).count() == 0
+
+
+def test_words_counted_apart_do_not_depend_on_the_share():
+    batch = np.arange(1 << 20, dtype=np.uint64) + np.uint64(1 << 40)
+    batch[:100] = 7  # a ten-thousandth: of 10^9 tokens 10^5
+    common = lm._count_common(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([True]), pa.array([" ".join(f"{x:x}" for x in batch.tolist())])], ["row", "train", "text"])]))
+    assert [100] == [n for r in common for n, kind in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True) if kind]
+
+
+def test_many_words_counted_apart_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(200, 300), "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, lm.score(docs, bits_an_entry=64).collect()))
+    want = rows()
+    monkeypatch.setattr(lm, "APART", 3)
+    for a, b in zip(rows(), want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
