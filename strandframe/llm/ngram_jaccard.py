@@ -32,12 +32,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import skew, words
 from strandframe.llm.components import components
-from strandframe.session import cut, drop_cut
+from strandframe.session import collect_garbage, cut, drop_cut
 
 #: Tokens of one batch of postings.
 BATCH_TOKENS = 1 << 21
@@ -369,10 +369,11 @@ def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     return first.select("b", F.explode(hubs_of).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _drop(*tables) -> None:
+def _drop(spark: SparkSession, *tables) -> None:
     for table in tables:
         if table is not None:
             drop_cut(table)
+    collect_garbage(spark)
 
 
 def _near(percent: int):
@@ -416,12 +417,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for turn in range(STAR_ROUNDS):
         linked = _links(_stars(active, turn, percent), sets, percent)
         step = cut(linked if links is None else links.unionByName(linked))
-        _drop(links, labels)
+        _drop(spark, links, labels)
         links, labels = step, components(step)
         placed = sigs.join(labels, "node", "left").select("sig", "node", "n", "core", "lead", "m", F.coalesce("comp", "node").alias("comp"))
         apart = placed.groupBy("sig").agg(F.max("m").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
         fresh = cut(_salted(placed).join(_copies(apart).select("sig", "salt"), ["sig", "salt"]).drop("salt"))
-        _drop(active)
+        _drop(spark, active)
         active = fresh
 
     # Whatever still lies in different components of one bucket: nodes outside its largest component against all.
@@ -436,9 +437,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | first) & F.when(first, F.col("la")).otherwise(F.col("lb")) & _near(percent)
     pairs = one.join(other, ["sig", "salt"]).filter(wanted & _fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = cut(links.unionByName(_links(pairs, sets, percent)))
-    _drop(links, labels)
+    _drop(spark, links, labels)
     labels = components(last)
-    _drop(last, index, sigs, active)
+    _drop(spark, last, index, sigs, active)
 
     # Rows meet once a set, sets once a component; then a component's id goes back to its sets, and theirs to the rows.
     full = rows.filter("n > 0")
@@ -446,7 +447,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_set = cut(of_set.withColumn("comp", F.coalesce("comp", "node")))
     of_comp = cut(of_set.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("m")))
     named = cut(skew.join_groups(of_set.withColumnRenamed("m", "copies").drop("low"), of_comp, "comp", n_rows).withColumnRenamed("copies", "m"))
-    _drop(labels, of_set, of_comp)
+    _drop(spark, labels, of_set, of_comp)
     full = skew.join_groups(full, named, "node", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more(F.col("comp")))
     empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more(F.lit(None)))
     return full.unionByName(empty)

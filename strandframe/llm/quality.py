@@ -81,18 +81,16 @@ def fit(sets: list[np.ndarray], labels: list[int]) -> Model:
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     if len(y) == 0 or (y == y[0]).all():
         return Model(np.zeros(size), ratios, float(y[0]) if len(y) else 0.0)
-    rows = []
-    for s in sets:
-        x = ratios[s]
-        length = np.sqrt(np.dot(x, x))
-        rows.append(x / length if length else x)
+    # Vectors are made anew when they are needed: kept, they would take twice the sample's bytes.
+    lengths = [float(np.sqrt(np.dot(ratios[s], ratios[s]))) or 1.0 for s in sets]
+    row = lambda i: ratios[sets[i]] / lengths[i]
     w, bias = np.zeros(size), 0.0
     alpha, rng = np.zeros(len(y)), np.random.default_rng(0)
-    norms = np.array([np.dot(x, x) for x in rows]) + 1
+    norms = np.array([np.dot(x, x) for x in map(row, range(len(sets)))]) + 1
     for _ in range(PASSES):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            s, x = sets[i], rows[i]
+            s, x = sets[i], row(i)
             gradient = y[i] * (np.dot(w[s], x) + bias) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), COST)
             step = (new - alpha[i]) * y[i]
@@ -113,7 +111,16 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """Fitted on labelled rows that aren't held out. A row labelled more than once counts once, by its larger label; of
-    several texts of one id the one whose features come first counts; labels other than 0 and 1, null ids and rows without a text are not learnt from."""
+    several texts of one id the one whose features come first counts; labels other than 0 and 1, null ids and rows without a text are not learnt from.
+
+    What the fit took is given back to the system: the driver does not keep its most for the rest of the session."""
+    try:
+        return _trained(docs, labels, id_col, text_col, label_col, max_rows, max_features)
+    finally:
+        words.give_back()
+
+
+def _trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_features: int) -> Model:
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     sample = None

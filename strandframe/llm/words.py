@@ -36,7 +36,7 @@ def freeing(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return task
 
@@ -49,7 +49,7 @@ def freeing_groups(run):
         try:
             return run(key, table)
         finally:
-            _give_back()
+            give_back()
 
     return group
 
@@ -62,12 +62,12 @@ def freeing_cogroups(run):
         try:
             return run(left, right)
         finally:
-            _give_back()
+            give_back()
 
     return pair
 
 
-def _give_back() -> None:
+def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
         trim(0)

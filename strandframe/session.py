@@ -61,6 +61,12 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then Spark deletes the shuffles and broadcasts of plans that are over, and
+    only then a heap that has grown by many small jobs shrinks again."""
+    spark._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table of ``cut`` that nothing reads any more."""
     path = getattr(df, "_cut_path", None)

@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandframe.llm import quality, secrets
+from strandframe.llm import ngram_jaccard, quality, secrets
 from test_bpe import library
 from test_llm_operators import components_of, shingles
 
@@ -94,3 +96,21 @@ def test_empty_tables(spark, corpus):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, f"file://{folder}")
         assert out.count() == 0
+
+
+def test_fit_takes_less_than_its_sample():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << quality.BITS, 10_000)).astype(np.uint32) for _ in range(800)]
+    tracemalloc.start()
+    quality.fit(sets, [k % 2 for k in range(800)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(s.nbytes for s in sets)
+
+
+def test_the_join_lets_the_driver_collect_its_garbage(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(ngram_jaccard, "collect_garbage", calls.append, raising=False)
+    docs = spark.createDataFrame([(k, "one two three four five six seven") for k in range(3)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_jaccard.jaccard_components(docs).collect()} == {0}
+    assert len(calls) >= ngram_jaccard.STAR_ROUNDS
