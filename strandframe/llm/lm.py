@@ -58,6 +58,9 @@ DISCOUNT = 0.75
 BATCH_TOKENS = 1 << 20
 BATCH_ROWS = 60_000
 BUCKET_HASHES = 1 << 21
+#: A batch is sorted and sent in so many parts, by the first bits of the hash. There are as many buckets at least.
+SEND_PARTS = 8
+PART_SHIFT = np.uint64(64 - int(math.log2(SEND_PARTS)))
 #: A word with a quarter of this share of all tokens, or with over APART of them, is counted apart: no bucket grows with the
 #: input by it. A batch reports words with REPORTED of its tokens (twice at least).
 COMMON = 0.002
@@ -91,16 +94,29 @@ def _batches(batches, keys_of=_keys):
             flags.append(flag[first : first + len(count)])
             total += len(hashes[-1])
             if total >= BATCH_TOKENS or sum(map(len, keys)) >= BATCH_ROWS - 5000:
-                yield tuple(map(np.concatenate, (keys, flags, hashes, counts)))
-                keys, flags, hashes, counts, total = [], [], [], [], 0
+                yield _joined(keys, flags, hashes, counts)
+                total = 0
     if keys:
-        yield tuple(map(np.concatenate, (keys, flags, hashes, counts)))
+        yield _joined(keys, flags, hashes, counts)
+
+
+def _joined(*lists) -> tuple:
+    """Each list's arrays as one; the lists are emptied, so nothing holds the blocks beside the whole."""
+    out = []
+    for own in lists:
+        out.append(np.concatenate(own))
+        own.clear()
+    return tuple(out)
+
+
+def _pair(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hash of each word and the one before it."""
+    return words.mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
 
 
 def _pairs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The hash of each word and the one before it; the first has the end before it."""
-    before = np.concatenate(([END], hashes[:-1]))
-    return words.mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    return _pair(np.concatenate(([END], hashes[:-1])), hashes)
 
 
 def _count_common(batches):
@@ -137,48 +153,64 @@ def _send(buckets: int, bits: int, common):
         shift, drop = np.uint64(64 - int(math.log2(buckets))), np.uint64(64 - bits)
         width = -(-bits // 8)
         apart = common.value
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in range(9))], [x.split()[0] for x in SENT.split(", ")])
         for keys, flags, hashes, counts in _batches(batches):
-            owner = np.repeat(np.arange(len(keys), dtype=np.uint64), counts)
+            owner = np.repeat(np.arange(len(keys), dtype=np.uint32), counts)
             train = np.repeat(flags, counts)
-            known = _member(apart, hashes)[0]
             name = xxhash.xxh3_64_digest(keys.tobytes() + flags.tobytes())
-            rows: dict[int, list] = {buckets + int.from_bytes(name, "little") % buckets: [name + keys.astype("<i8").tobytes(), *[b""] * 8]}
-            # pairs, each once, by (bucket, first word)
-            before = np.concatenate(([END], hashes[:-1]))[train]
-            pair, first, tally = np.unique(_pairs(hashes, counts)[train], return_index=True, return_counts=True)
-            before = before[first]
-            bucket = (np.where(_member(apart, before)[0], pair, before) >> shift).astype(np.int64)
-            order = np.lexsort((before, bucket))
-            bucket, before, pair, tally = bucket[order], before[order], pair[order] >> drop, tally[order]
-            for b, i, j in _runs(bucket):
-                contexts, fans = np.unique(before[i:j], return_counts=True)
-                short = np.ascontiguousarray(pair[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-                rows[b] = [b"", b"", b"", b"", b"", words.pack(contexts), _narrowed(fans), short.tobytes(), _narrowed(tally[i:j])]
-            value, n = np.unique(hashes[known & train], return_counts=True)
-            own, of, is_train = hashes[~known], owner[~known], train[~known]
-            # one entry for each word and document: how often; training documents first
-            code = (of << np.uint64(1)) | is_train.astype(np.uint64)
-            order = np.lexsort((code, own))
-            own, code = own[order], code[order]
-            start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (code[1:] != code[:-1])))) if len(own) else np.zeros(0, np.int64)
-            times = np.diff(np.append(start, len(own)))
-            own, code = own[start], code[start]
-            held = {b: (i, j) for b, i, j in _runs((own >> shift).astype(np.int64))}
-            alone = {b: (i, j) for b, i, j in _runs((value >> shift).astype(np.int64))}
-            for b in held.keys() | alone.keys():
-                (i, j), (p, q) = held.get(b, (0, 0)), alone.get(b, (0, 0))
-                used, local = np.unique((code[i:j] >> np.uint64(1)).astype(np.int64), return_inverse=True)
-                train_bit = (code[i:j] & np.uint64(1)).astype(np.uint32)
-                # counts of words counted apart are documents' zeroth: owner 0xFFFFFFFF
-                owners = np.concatenate(((local.astype(np.uint32) << np.uint32(1)) | train_bit, np.full(q - p, 0xFFFFFFFF, np.uint32)))
-                whole = np.concatenate((own[i:j], value[p:q]))
-                often = np.concatenate((times[i:j], n[p:q])).astype(np.uint32)
-                order = np.argsort(whole, kind="stable")
-                narrow = np.uint16 if owners.size == 0 or (len(used) < 32000 and q == p) else np.uint32
-                each, repeats = np.unique(whole, return_counts=True)
-                rows.setdefault(b, [b""] * 9)[:5] = [name + words.pack(used.astype(np.uint64)), words.pack(each), _narrowed(repeats), bytes([np.dtype(narrow).itemsize]) + owners[order].astype(narrow).tobytes(), _narrowed(often[order])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in range(9))], [x.split()[0] for x in SENT.split(", ")])
+            yield table({buckets + int.from_bytes(name, "little") % buckets: [name + keys.astype("<i8").tobytes(), *[b""] * 8]})
+            # Buckets go by the first bits: an eighth of them at a time, as sorting takes several times what it sorts.
+            before = np.concatenate(([END], hashes))
+            hashes, before = before[1:], before[:-1]
+            pair, known, part, pair_part = np.empty_like(hashes), np.empty(len(hashes) + 1, bool), np.empty(len(hashes), np.uint8), np.empty(len(hashes), np.uint8)
+            known[0] = _member(apart, before[:1])[0][0]
+            known, after_known = known[1:], known[:-1]
+            for i in range(0, len(hashes), STEP):
+                step = slice(i, i + STEP)
+                pair[step] = _pair(before[step], hashes[step])
+                known[step] = _member(apart, hashes[step])[0]
+                part[step] = hashes[step] >> PART_SHIFT
+                pair_part[step] = np.where(after_known[step], pair[step], before[step]) >> PART_SHIFT
+            for k in range(SEND_PARTS):
+                rows: dict[int, list] = {}
+                # pairs, each once, by (bucket, first word)
+                at = np.flatnonzero(train & (pair_part == k))
+                each, first, tally = np.unique(pair[at], return_index=True, return_counts=True)
+                at = at[first]
+                context = before[at]
+                bucket = (np.where(after_known[at], each, context) >> shift).astype(np.int64)
+                order = np.lexsort((context, bucket))
+                bucket, context, each, tally = bucket[order], context[order], each[order] >> drop, tally[order]
+                for b, i, j in _runs(bucket):
+                    contexts, fans = np.unique(context[i:j], return_counts=True)
+                    short = np.ascontiguousarray(each[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+                    rows[b] = [b"", b"", b"", b"", b"", words.pack(contexts), _narrowed(fans), short.tobytes(), _narrowed(tally[i:j])]
+                mine = part == k
+                value, n = np.unique(hashes[mine & known & train], return_counts=True)
+                at = np.flatnonzero(mine & ~known)
+                # one entry for each word and document: how often; training documents first
+                own, code = hashes[at], (owner[at] << np.uint32(1)) | train[at]
+                order = np.lexsort((code, own))
+                own, code = own[order], code[order]
+                start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (code[1:] != code[:-1])))) if len(own) else np.zeros(0, np.int64)
+                times = np.diff(np.append(start, len(own)))
+                own, code = own[start], code[start]
+                held = {b: (i, j) for b, i, j in _runs((own >> shift).astype(np.int64))}
+                alone = {b: (i, j) for b, i, j in _runs((value >> shift).astype(np.int64))}
+                for b in held.keys() | alone.keys():
+                    (i, j), (p, q) = held.get(b, (0, 0)), alone.get(b, (0, 0))
+                    used, local = np.unique((code[i:j] >> np.uint32(1)).astype(np.int64), return_inverse=True)
+                    train_bit = code[i:j] & np.uint32(1)
+                    # counts of words counted apart are documents' zeroth: owner 0xFFFFFFFF
+                    owners = np.concatenate(((local.astype(np.uint32) << np.uint32(1)) | train_bit, np.full(q - p, 0xFFFFFFFF, np.uint32)))
+                    whole = np.concatenate((own[i:j], value[p:q]))
+                    often = np.concatenate((times[i:j], n[p:q])).astype(np.uint32)
+                    order = np.argsort(whole, kind="stable")
+                    narrow = np.uint16 if owners.size == 0 or (len(used) < 32000 and q == p) else np.uint32
+                    each, repeats = np.unique(whole, return_counts=True)
+                    rows.setdefault(b, [b""] * 9)[:5] = [name + words.pack(used.astype(np.uint64)), words.pack(each), _narrowed(repeats), bytes([np.dtype(narrow).itemsize]) + owners[order].astype(narrow).tobytes(), _narrowed(often[order])]
+                if rows:
+                    yield table(rows)
 
     return run
 
@@ -546,7 +578,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     # There are 4 / COMMON at most, or one for each APART tokens.
     common = [r[0] for r in seen.filter("kind = 1").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(min(COMMON / 4 * total, float(APART)))).collect()]
     common = np.sort(np.array(common, np.int64).view(np.uint64))
-    buckets = 1 << max(3, math.ceil(math.log2(max(1, total / BUCKET_HASHES))))
+    buckets = max(SEND_PARTS, 1 << math.ceil(math.log2(max(1, total / BUCKET_HASHES))))
     bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
     parts = buckets
     drop_cut(seen)

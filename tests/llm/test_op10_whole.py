@@ -3,6 +3,8 @@
 import collections
 import math
 import random
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -105,3 +107,38 @@ def test_many_words_counted_apart_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(lm, "APART", 3)
     for a, b in zip(rows(), want, strict=True):
         assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_a_batch_is_sent_in_little_memory():
+    rng = np.random.Generator(np.random.PCG64(5))
+    tokens = rng.zipf(1.2, (2000, 525)) % 10**7
+    texts = [" ".join(map(str, row)) for row in tokens.tolist()]  # one batch, of just over BATCH_TOKENS
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([i % 7 != 2 for i in range(2000)]), pa.array(texts)], ["row", "train", "text"])
+    common = types.SimpleNamespace(value=np.zeros(0, np.uint64))
+    list(lm._send(16, 40, common)(iter([batch.slice(0, 10)])))  # tables of powers are made once
+    tracemalloc.start()
+    try:
+        size = sum(x.nbytes for x in lm._send(16, 40, common)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 5e6
+    assert most < 75 * lm.BATCH_TOKENS
+
+
+@pytest.mark.parametrize("buckets", [8, 64])
+def test_parts_of_a_batch_hold_every_word_and_pair(buckets):
+    rows = [(i, t) for i, t in corpus(300, 400) if t]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([not HELD(i) for i, _ in rows]), pa.array([t for _, t in rows])], ["row", "train", "text"])
+    hashes = np.concatenate([np.append(h, lm.END) for _, t in rows for _, h, _ in lm.words.word_batches(pa.array([t]))])
+    common = types.SimpleNamespace(value=np.unique(hashes)[::5])
+    sent = [r for b in lm._send(buckets, 64, common)(iter([batch])) for r in b.to_pylist()]
+    assert len({r["key"] for r in sent}) == len(sent)  # a bucket has one row of a batch
+    twin = Twin([t for i, t in rows if not HELD(i)])
+    pairs = np.concatenate([lm._unpacked(r["tallies"]) for r in sent])
+    assert sorted(pairs.tolist()) == sorted(twin.two.values())
+    held = np.concatenate([lm.words.unpack(r["hashes"]) for r in sent])
+    told = [x for x in np.unique(hashes).tolist() if x not in set(common.value.tolist())]
+    assert set(told) <= set(held.tolist())
+    assert len(held) == len(set(held.tolist()))
+    assert all(int(h) >> 64 - int(math.log2(buckets)) == r["key"] for r in sent if r["hashes"] for h in lm.words.unpack(r["hashes"]))
