@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandframe.engine import Engine
 from strandframe.functions import sequences as S
@@ -25,6 +26,8 @@ GUIDE = "ACGATTTCG"
 PATTERN = "ATTGCA"
 PROBE = "THEREANDTHATTHISWASTHEREDANDTHEN"
 LETTERS = "[^ACGTUNRYSWKMBDHVacgtunryswkmbdhv]"
+#: Bytes of the documents' files for one task.
+TASK = 8 << 20
 SEQ = f"upper(regexp_replace(text, '{LETTERS}', '', 'g'))"
 #: Fixed value: complements.
 REVCOMP = "reverse(translate({0}, 'ACGTUNRYSWKMBDHV', 'TGCAANYRSWMKVHDB'))"
@@ -57,9 +60,24 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, seq): spread over tasks before anything is exploded."""
-    n = max(8, spark.sparkContext.defaultParallelism)
-    return t(spark, d, "documents").select("doc_id", "text").repartition(n, "doc_id").select("doc_id", F.upper(F.regexp_replace("text", LETTERS, "")).alias("seq"))
+    """(doc_id, seq): spread over tasks before anything is exploded, so many that none has much."""
+    rows = t(spark, d, "documents")
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(8, spark.sparkContext.defaultParallelism, size // TASK)
+    rows = rows.select("doc_id", "text").repartition(n, "doc_id")
+    return rows.mapInArrow(_lettered, T.StructType([rows.schema["doc_id"], T.StructField("seq", T.StringType())]))
+
+
+def _lettered(batches):
+    """Texts without what is not in the alphabet, in upper case."""
+    import pyarrow as pa
+
+    own = S.ALPHABET + S.ALPHABET.lower()
+    upper, rest = bytes(range(256)).upper(), bytes(i for i in range(128) if chr(i) not in own)
+    for batch in batches:
+        texts = (x.as_py() for x in batch.column(1))
+        seq = pa.array([None if x is None else x.encode("ascii", "ignore").translate(upper, rest).decode() for x in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), seq], ["doc_id", "seq"])
 
 
 def days(c: str) -> F.Column:
@@ -122,8 +140,7 @@ def genes_in_region(spark, d):
 def stored(spark: SparkSession, d: str) -> SequenceStore:
     """All documents, laid end to end in sixteen sequences of a store: (9606, a, c0) to (9606, a, c15)."""
     store = SequenceStore(spark, fresh(spark, "store"), 5000)
-    rows = docs(spark, d).groupBy((F.col("doc_id") % 16).alias("g")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    store.store(rows.select(F.lit(9606).alias("tax_id"), F.lit("a").alias("assembly_name"), F.concat(F.lit("c"), F.col("g").cast("string")).alias("seq_id"), "seq"))
+    store.store_pieces(docs(spark, d).filter("seq IS NOT NULL").select(F.lit(9606).alias("tax_id"), F.lit("a").alias("assembly_name"), F.concat(F.lit("c"), (F.col("doc_id") % 16).cast("string")).alias("seq_id"), F.col("doc_id").alias("part"), "seq"))
     return store
 
 
@@ -143,7 +160,7 @@ def store_fetch(spark, d):
 def store_verify(spark, d):
     """Digests of what was stored, one of them wrong."""
     store = stored(spark, d)
-    told = store.whole().select("tax_id", "assembly_name", "seq_id", F.length("seq").cast("long").alias("length_bp"), F.when(F.col("seq_id") == "c3", F.lit("0")).otherwise(F.sha2("seq", 256)).alias("sha256"))
+    told = store.digests().withColumn("sha256", F.when(F.col("seq_id") == "c3", F.lit("0")).otherwise(F.col("sha256")))
     return store.verified(told).join(store.lengths().select("seq_id", "length_bp"), "seq_id").select("seq_id", "length_bp", "intact")
 
 

@@ -7,16 +7,20 @@ by the statistics of their number. Each chunk carries the CRC-32 of its symbols
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.errors import CorruptData, EncodingError, InvalidCoordinates, NotFound
 from strandframe.functions import sequences as S
+from strandframe.session import cut, drop_cut
 
 #: Symbols of a chunk.
 CHUNK = 1 << 16
+#: Symbols of the run of chunks that one task puts together.
+RUN = 1 << 22
 KEYS = ["tax_id", "assembly_name", "seq_id"]
 SCHEMA = "chunk_id int, chunk_start bigint, seq string, length_bp bigint, crc bigint, tax_id int, assembly_name string, seq_id string"
 #: Fixed value: what a component of a path may not hold.
@@ -29,6 +33,30 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(parts), lambda p: p["s"]), "")
 
 
+def _digests(batches):
+    """Rows of ``SequenceStore.digests`` from chunks that come in order."""
+    import pyarrow as pa
+
+    names = [*KEYS, "length_bp", "sha256", "sound"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    row = lambda key, n, told, sha, kept: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, n, sha.hexdigest(), kept and n == told), types, strict=True)], names)
+    last = None
+    for batch in batches:
+        column = batch.column
+        for i in range(batch.num_rows):
+            key = tuple(column(j)[i].as_py() for j in range(3))
+            if last is None or key != last[0]:
+                if last:
+                    yield row(*last)
+                last = [key, 0, 0, hashlib.sha256(), True]
+            last[1] += column(5)[i].as_py()
+            last[2] = max(last[2], column(6)[i].as_py())
+            last[3].update(column(4)[i].as_buffer())
+            last[4] = last[4] and bool(column(7)[i].as_py())
+    if last:
+        yield row(*last)
+
+
 class SequenceStore:
     def __init__(self, spark: SparkSession, root: str, chunk: int = CHUNK):
         self.spark, self.root, self.chunk = spark, f"{root.rstrip('/')}/sequence_store", chunk
@@ -47,9 +75,43 @@ class SequenceStore:
         """Write (tax_id, assembly_name, seq_id, seq), replacing sequences of the same key. Nothing is entered in a catalog.
 
         Letters are stored in upper case. Symbols outside the alphabet, nulls and unsafe names are errors, and then
-        nothing is written. A record is one string, so it is limited to 2 GB.
+        nothing is written. A record is one string, so it is limited to 2 GB; longer ones go by ``store_pieces``.
         """
-        rows = records.select(F.col("tax_id").cast("int"), "assembly_name", "seq_id", F.upper("seq").alias("seq"))
+        self._write(records.withColumn("part", F.lit(0)), alone=True)
+
+    def store_pieces(self, pieces: DataFrame) -> None:
+        """``store`` for sequences that come in pieces (tax_id, assembly_name, seq_id, part, seq): they are laid end to end
+        in order of ``part``. Only the pieces' lengths are ordered in one task a sequence, so a sequence may be of any size.
+        """
+        self._write(pieces, alone=False)
+
+    def _write(self, pieces: DataFrame, alone: bool) -> None:
+        rows = cut(pieces.select(F.col("tax_id").cast("int"), "assembly_name", "seq_id", "part", F.upper("seq").alias("seq"), F.monotonically_increasing_id().alias("row")))
+        try:
+            self._check(rows)
+            lengths = rows.select(*KEYS, "part", "row", F.length("seq").cast("bigint").alias("n"))
+            own = Window.partitionBy(*KEYS)
+            before = own.orderBy("part", "row").rowsBetween(Window.unboundedPreceding, -1)
+            placed = lengths.select(*KEYS, "row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), F.sum("n").over(own).alias("length_bp"), F.count("*").over(own).alias("pieces"))
+            if alone and (twice := placed.filter("pieces > 1").first()):
+                raise ValueError(f"two records of {twice.tax_id}:{twice.assembly_name}:{twice.seq_id}")
+            # a piece is cut at the chunks' edges in one pass over it
+            room = (self.chunk - F.col("at") % self.chunk).cast("int")
+            rest = F.regexp_extract_all(F.substring(F.col("seq"), room + 1, F.length("seq")), F.lit(f"(?s).{{1,{self.chunk}}}"), F.lit(0))
+            cuts = F.concat(F.array(F.substring(F.col("seq"), F.lit(1), room)), rest)
+            each = rows.select("row", "seq").join(placed, "row").select(*KEYS, "length_bp", "at", F.posexplode(cuts).alias("i", "s"))
+            each = each.filter((F.col("s") != "") | (F.col("length_bp") == 0))
+            each = each.withColumn("chunk_id", (F.floor(F.col("at") / self.chunk) + F.col("i")).cast("int"))
+            each = each.withColumn("run", F.floor(F.col("chunk_id") / max(1, RUN // self.chunk)))
+            chunks = each.repartition(*KEYS, "run").groupBy(*KEYS, "run", "chunk_id").agg(F.max("length_bp").alias("length_bp"), _joined(F.collect_list(F.struct("at", "s"))).alias("seq"))
+            chunks = chunks.select("chunk_id", (F.col("chunk_id").cast("bigint") * self.chunk).alias("chunk_start"), "seq", "length_bp", F.crc32(F.col("seq").cast("binary")).alias("crc"), *KEYS)
+            chunks.sortWithinPartitions(*KEYS, "chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.root)
+        finally:
+            drop_cut(rows)
+
+    @staticmethod
+    def _check(rows: DataFrame) -> None:
+        """An error for the first unsafe name, missing sequence or symbol outside the alphabet."""
         unsafe = F.col("assembly_name").rlike(UNSAFE) | F.col("seq_id").rlike(UNSAFE) | F.col("tax_id").isNull() | F.col("seq").isNull()
         at = F.regexp_instr("seq", F.lit(f"[^{S.ALPHABET}]"))
         bad = rows.filter(F.coalesce(unsafe, F.lit(True)) | (at > 0)).select(*KEYS, unsafe.alias("unsafe"), (at - 1).alias("position")).first()
@@ -58,12 +120,6 @@ class SequenceStore:
             if bad.position is not None and bad.position >= 0:
                 raise EncodingError(f"{name}: a symbol outside the alphabet at {bad.position}")
             raise ValueError(f"unsafe name or missing sequence: {name}")
-        n = F.length("seq")
-        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(self.chunk))).otherwise(F.array(F.lit(0)))
-        chunks = rows.select(*KEYS, n.cast("bigint").alias("length_bp"), "seq", F.posexplode(starts).alias("chunk_id", "at"))
-        piece = F.substring(F.col("seq"), F.col("at") + 1, F.lit(self.chunk))
-        chunks = chunks.select("chunk_id", F.col("at").cast("bigint").alias("chunk_start"), piece.alias("seq"), "length_bp", F.crc32(piece.cast("binary")).alias("crc"), *KEYS)
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.root)
 
     def store_sequence(self, tax_id: int, assembly: str, seq_id: str, seq: str) -> None:
         self.store(self.spark.createDataFrame([(tax_id, assembly, seq_id, seq)], "tax_id int, assembly_name string, seq_id string, seq string"))
@@ -122,10 +178,17 @@ class SequenceStore:
         rows = self.table().groupBy(*KEYS).agg(_joined(F.collect_list(F.struct("chunk_id", F.col("seq").alias("s")))).alias("seq"), F.max("length_bp").alias("n"), ok.alias("ok"))
         return rows.select(*KEYS, "seq", (F.col("ok") & (F.length("seq") == F.col("n"))).alias("sound"))
 
+    def digests(self) -> DataFrame:
+        """(tax_id, assembly_name, seq_id, length_bp, sha256, sound) of the symbols that are there; sound: no chunk is
+        missing or damaged. A sequence goes through one task chunk by chunk and is never held as a whole."""
+        kept = F.crc32(F.col("seq").cast("binary")) == F.col("crc")
+        rows = self.table().select(*KEYS, "chunk_id", "seq", F.length("seq").cast("bigint").alias("n"), "length_bp", kept.alias("kept"))
+        return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "chunk_id").mapInArrow(_digests, "tax_id int, assembly_name string, seq_id string, length_bp bigint, sha256 string, sound boolean")
+
     def verified(self, sequences: DataFrame) -> DataFrame:
         """(tax_id, assembly_name, seq_id, intact) of catalog rows (tax_id, assembly_name, seq_id, length_bp, sha256):
         whether the stored symbols have that length and digest and every chunk its checksum. Missing ones are not intact."""
-        own = self.whole().select(*KEYS, "sound", F.length("seq").alias("__n"), F.sha2(F.col("seq").cast("binary"), 256).alias("__sha"))
+        own = self.digests().select(*KEYS, "sound", F.col("length_bp").alias("__n"), F.col("sha256").alias("__sha"))
         joined = sequences.select(*KEYS, "length_bp", "sha256").join(own, KEYS, "left")
         intact = F.col("sound") & (F.col("__n") == F.col("length_bp")) & (F.col("__sha") == F.lower("sha256"))
         return joined.select(*KEYS, F.coalesce(intact, F.lit(False)).alias("intact"))
