@@ -20,7 +20,7 @@ def legacy_clean(seq: Column) -> Column:
 
 
 def dna(seq: Column) -> Column:
-    return F.translate(F.upper(seq), "U", "T")
+    return F.replace(F.upper(seq), F.lit("U"), F.lit("T"))
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -78,14 +78,19 @@ def strip_prefix(name: Column, prefix: str) -> Column:
 
 def attributes(text: Column) -> Column:
     """Map of GFF3 (k=v) or GTF (k "v") attributes: keys in lower case, quotes trimmed, the last of a key wins."""
-    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
-    # the mark is the first '=', or else the first space
-    key = lambda x: F.lower(F.trim(F.regexp_replace(x, "(?s)^([^=]*)=.*$|^([^= ]*) [^=]*$", "$1$2")))
-    value = lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, "(?s)^[^=]*=(.*)$|^[^= ]* ([^=]*)$", "$1$2")), '^"+|"+$', ""))
-    pairs = F.transform(F.filter(parts, lambda x: x.rlike("[= ]")), lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x.rlike("[= ]"))
+
+    def pair(x):
+        # the mark is the first '=', or else the first space
+        at = F.when(x.contains("="), F.instr(x, "=")).otherwise(F.instr(x, " "))
+        value = F.trim(F.substring(x, at + 1, F.length(x)))
+        value = F.trim(F.when(value.contains('"'), F.regexp_replace(value, '^"+|"+$', "")).otherwise(value))
+        return F.struct(F.lower(F.trim(F.substring(x, F.lit(1), at - 1))).alias("key"), value.alias("value"))
+
     # of equal keys the last one stays, whatever the session's map policy is
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))), lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.greatest(F.size(pairs) - p["i"] - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    # as the one element of an array the pairs have a name: they are made once a text, not once for each use
+    return F.map_from_entries(F.transform(F.array(F.transform(parts, pair)), last)[0])
 
 
 def encode_vector(v: Column) -> Column:
