@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandframe.session import cut, drop_cut
 
@@ -40,22 +41,93 @@ def cell_totals(spots: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
     return cells.select("cell_id").join(counts, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).alias("total_transcripts"))
 
 
+#: Spots of a tile, on the average.
+TILE = 5000
+#: Pairs of a spot and a cell that are compared at once.
+PAIRS = 1 << 20
+
+
 def nearest_cell(spots: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
     """(spot_id, cell_id, d2): the nearest cell within ``radius``, ties to the smaller id. Both sides: (id, x, y).
 
-    Cells go to the nine grid squares around them, so each spot meets all cells within reach in one equi-join.
+    The plane is dealt in tiles of whole squares of side ``radius``; cells go to the tiles of the nine squares around them.
+    Within a tile spots are looked up in grids that get coarser until a cell is found, so no table of pairs is made.
     """
     square = lambda c: F.floor(F.col(c) / radius).cast("long")
-    a = spots.select("spot_id", F.col("x").alias("sx"), F.col("y").alias("sy"), square("x").alias("gx"), square("y").alias("gy"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    b = cells.select("cell_id", "x", "y", F.explode(around).alias("o"), square("x").alias("qx"), square("y").alias("qy"))
-    b = b.select("cell_id", "x", "y", (F.col("qx") + F.col("o.i")).alias("gx"), (F.col("qy") + F.col("o.j")).alias("gy"))
-    d2 = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))
-    near = a.join(b, ["gx", "gy"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    sound = lambda df: df.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    a = sound(spots).select("spot_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), square("x").alias("gx"), square("y").alias("gy"))
+    held = a.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct("gx", "gy")).alias("squares")).first()
+    side = max(1, int((TILE * held.squares / max(1, held.n)) ** 0.5))
+    tile = lambda c: F.floor(c / side).cast("long")
+    a = a.select("spot_id", "x", "y", tile(F.col("gx")).alias("tx"), tile(F.col("gy")).alias("ty"))
+    around = F.array_distinct(F.array(*(F.struct(tile(square("x") + i).alias("tx"), tile(square("y") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    b = sound(cells).select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.explode(around).alias("t")).select("cell_id", "x", "y", "t.tx", "t.ty")
+    schema = T.StructType([spots.schema["spot_id"], cells.schema["cell_id"], T.StructField("d2", T.DoubleType())])
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        right = right.take(pc.sort_indices(right.column("cell_id"), null_placement="at_start"))
+        place = lambda t: [t.column(c).to_numpy() for c in "xy"]
+        cell, d2 = _nearest(*place(left), *place(right), radius)
+        hit = np.flatnonzero(cell >= 0)
+        return pa.table([left.column("spot_id").take(pa.array(hit)), right.column("cell_id").take(pa.array(cell[hit])), pa.array(d2[hit])], names=["spot_id", "cell_id", "d2"])
+
+    near = a.groupBy("tx", "ty").cogroup(b.groupBy("tx", "ty")).applyInArrow(run, schema)
     best = near.groupBy("spot_id").agg(F.min(F.struct("d2", "cell_id")).alias("m"))
     return best.select("spot_id", F.col("m.cell_id").alias("cell_id"), F.col("m.d2").alias("d2"))
 
 
+def _nearest(sx, sy, x, y, radius: float):
+    """Of each spot the first of the nearest cells within ``radius`` (-1: none) and its squared distance."""
+    import numpy as np
+
+    cell, most = np.full(len(sx), -1, np.int64), np.full(len(sx), np.inf)
+    if not len(sx) or not len(x):
+        return cell, most
+    _, first = np.unique(x + 1j * y, return_index=True)  # of cells at one place the first
+    first.sort()
+    x, y = x[first], y[first]
+    left, last = np.arange(len(sx)), radius * 1.002
+    width = min(last, 3 * radius / (len(x) / 2) ** 0.5)
+    while len(left):
+        across = lambda v, low: np.floor((v - low) / width).astype(np.int64)  # noqa: E731, B023
+        cx, cy = across(x, x.min()), across(y, y.min())
+        columns, rows = cx.max() + 1, cy.max() + 1
+        key = cy * columns + cx
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        qx, qy = np.clip(across(sx[left], x.min()), -1, columns), np.clip(across(sy[left], y.min()), -1, rows)
+        # the three rows of squares around a spot are three runs of cells; a few more of other rows do no harm
+        begin = np.stack([np.searchsorted(key, (qy + j) * columns + qx - 1, "left") for j in (-1, 0, 1)], 1)
+        end = np.stack([np.searchsorted(key, (qy + j) * columns + qx + 1, "right") for j in (-1, 0, 1)], 1)
+        total = np.cumsum((end - begin).sum(1))
+        done = np.zeros(len(left), bool)
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            n = (end - begin)[at:to].ravel()
+            spot = np.repeat(np.repeat(np.arange(at, to), 3), n)
+            other = order[np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:to].ravel(), n)]
+            own = left[spot]
+            d2 = (sx[own] - x[other]) * (sx[own] - x[other]) + (sy[own] - y[other]) * (sy[own] - y[other])
+            best, found = np.full(to - at, np.inf), np.full(to - at, len(x))
+            np.minimum.at(best, spot - at, d2)
+            tie = d2 == best[spot - at]
+            np.minimum.at(found, spot[tie] - at, other[tie])
+            # what lies outside the squares around a spot is farther than a square's side
+            ok = best <= (radius * radius if width >= last else min(radius, width * 0.999) ** 2)
+            cell[left[at:to][ok]], most[left[at:to][ok]] = first[found[ok]], best[ok]
+            done[at:to] = ok
+            at = to
+        if width >= last:
+            break
+        left, width = left[~done], min(2 * width, last)
+    return cell, most
+
+
 class Cycle(ValueError):
     pass
 
