@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import functools
-import operator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandframe.functions import sequences as S
 
 CHUNK = 2000
+#: Symbols, and rows, that a worker looks at in one go.
+BLOCK = 1 << 20
+ROWS = 1 << 14
 
 
 def chunk(df: DataFrame, id_col: str, seq_col: str = "seq", size: int = CHUNK, overlap: int = 0) -> DataFrame:
     """Chunks of ``size`` symbols, each with the next ``overlap`` symbols: windows up to overlap + 1 start in one chunk."""
-    n = F.length(seq_col)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
-    out = df.select(id_col, seq_col, F.posexplode(starts).alias("chunk_id", "chunk_start"))
-    return out.select(id_col, F.col("chunk_id").cast("long").alias("chunk_id"), F.col("chunk_start").cast("long").alias("chunk_start"), F.substring(F.col(seq_col), F.col("chunk_start") + 1, F.lit(size + overlap)).alias("seq"))
+    # one pass over the sequence; a chunk is not cut out by counting symbols from the sequence's start
+    found = F.regexp_extract_all(F.col(seq_col), F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+    pieces = F.when(F.length(seq_col) > 0, found).otherwise(F.array(F.col(seq_col)))
+    out = df.select(id_col, F.posexplode(pieces).alias("chunk_id", "seq"))
+    return out.select(id_col, F.col("chunk_id").cast("long").alias("chunk_id"), (F.col("chunk_id").cast("long") * size).alias("chunk_start"), "seq")
 
 
 def fetch(chunks: DataFrame, id_col: str, start: int, end: int, size: int = CHUNK) -> DataFrame:
@@ -37,25 +41,171 @@ def fetch_full(chunks: DataFrame, id_col: str, size: int = CHUNK) -> DataFrame:
     return parts.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), "").alias("seq"))
 
 
-def postings(df: DataFrame, id_col: str, k: int, seq_col: str = "seq") -> DataFrame:
-    """(id, pos, kmer) of every window, U read as T."""
-    clean = df.select(id_col, S.dna(F.col(seq_col)).alias("seq"))
-    chunks = chunk(clean, id_col, "seq", CHUNK, k - 1)
-    each = chunks.select(id_col, "chunk_start", F.posexplode(S.windows(F.col("seq"), k)).alias("i", "kmer"))
-    return each.filter(F.col("i") < CHUNK).select(id_col, (F.col("chunk_start") + F.col("i")).alias("pos"), "kmer")
+class _Block:
+    """Pieces of some rows' sequences, one after the other: ``at(j)`` is the j-th symbol of every window of ``width``.
+    like: the same windows' reverse complements.
 
+    A window belongs to the piece where it starts; those that begin in one piece and end in another are none.
+    """
+
+    def __init__(self, keys, pieces, width, like=None):
+        import numpy as np
+
+        self.keys, self.width, self.turned = keys, width, like is not None
+        if like is not None:
+            self.symbols = _mapped(like.symbols, S.ALPHABET, S.COMPLEMENT)
+            return
+        self.rows, self.froms = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+        self.lengths = np.array([len(p[2]) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.symbols = np.concatenate([p[2] for p in pieces])
+
+    def at(self, j):
+        j = self.width - 1 - j if self.turned else j
+        return self.symbols[j : j + len(self.symbols) - self.width + 1]
+
+    def whole(self, hits):
+        """Which of these windows lie within one piece, and the number of the piece."""
+        import numpy as np
 
-def sites(df: DataFrame, id_col: str, width: int, test, seq_col: str = "seq") -> DataFrame:
-    """(id, pos, kmer) of the windows of ``width`` for which ``test`` holds.
+        piece = np.searchsorted(self.starts, hits, "right") - 1
+        return hits - self.starts[piece] + self.width <= self.lengths[piece], piece
+
+    def texts(self, hits):
+        """The symbols of windows, as an array of strings."""
+        import numpy as np
+        import pyarrow as pa
+
+        windows = np.lib.stride_tricks.sliding_window_view(self.symbols, self.width)[hits]
+        windows = windows[:, ::-1] if self.turned else windows
+        if self.symbols.dtype == np.uint8:
+            return _strings(windows)
+        return pa.array([w.tobytes().decode("utf-32-le") for w in windows], pa.string())
+
+
+def _strings(octets):
+    """Rows of ASCII codes as strings."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, width = octets.shape
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(octets)))
+
+
+def _symbols(text: str):
+    """Code points, in bytes where all are ASCII."""
+    import numpy as np
+
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _mapped(symbols, source: str, target: str, other: str | None = None):
+    """Symbols by a table from one string to another; what it lacks stays, or becomes ``other``."""
+    import numpy as np
 
-    test: a function of the chunk's column and the window's 1-based place in it. It is asked inside the chunk, before
-    anything is exploded, so only the windows that are wanted become rows.
+    table = np.arange(256, dtype=symbols.dtype) if other is None else np.full(256, ord(other), symbols.dtype)
+    table[[ord(c) for c in source]] = [ord(c) for c in target]
+    if symbols.dtype == np.uint8:
+        return table[symbols]
+    return np.where(symbols < 256, table[np.minimum(symbols, 255)], symbols if other is None else ord(other)).astype(symbols.dtype)
+
+
+def _pieces(batch, width: int, size: int, bases: bool = False, pad: int = 0):
+    """(row, from, symbols) of the sequences in the last column, each with the next width - 1 symbols. bases: symbols
+    outside ACGT are read as A; pad: so many zeros follow the sequence."""
+    import numpy as np
+
+    texts = batch.column(batch.num_columns - 1)
+    for row in range(batch.num_rows):
+        text = texts[row].as_py()
+        if text is not None and len(text) + pad >= width:
+            symbols = _symbols(text)
+            symbols = _mapped(symbols, "ACGT", "ACGT", "A") if bases else symbols
+            symbols = np.concatenate((symbols, np.zeros(pad, symbols.dtype))) if pad else symbols
+            for start in range(0, len(symbols) - width + 1, size):
+                yield row, start, symbols[start : start + size + width - 1]
+
+
+def _blocks(batches, width: int, bases: bool = False, pad: int = 0):
+    size = max(1 << 12, min(BLOCK, (BLOCK << 4) // width))
+    for batch in batches:
+        held, n = [], 0
+        for piece in _pieces(batch, width, size, bases, pad):
+            held.append(piece)
+            n += len(piece[2])
+            if n >= size or len(held) >= ROWS:
+                yield _Block(batch, held, width)
+                held, n = [], 0
+        if held:
+            yield _Block(batch, held, width)
+
+
+def scan(df: DataFrame, keys: list[str], seq: Column, width: int, visit, fields: str, bases: bool = False) -> DataFrame:
+    """(keys, pos, fields) of windows of ``width`` of a sequence.
+
+    visit: a function of a block that gives the windows that it wants, by number, and their fields as arrays. A worker
+    asks for all windows of a block at once, so the time is in proportion to the symbols; only what is wanted becomes rows.
+    bases: symbols outside ACGT are read as A.
     """
-    chunks = chunk(df.select(id_col, F.col(seq_col).alias("seq")), id_col, "seq", CHUNK, width - 1)
-    last = F.least(F.length("seq") - (width - 1), F.lit(CHUNK))
-    wanted = F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), lambda i: test(F.col("seq"), i)))
-    each = chunks.select(id_col, "chunk_start", "seq", F.explode(wanted).alias("i"))
-    return each.select(id_col, (F.col("chunk_start") + F.col("i") - 1).alias("pos"), F.substring(F.col("seq"), F.col("i"), F.lit(width)).alias("kmer"))
+    rows = df.select(*keys, seq.alias("__seq"))
+    extra = T.StructType.fromDDL(fields) if fields else T.StructType()
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("pos", T.LongType()), *extra])
+    names = schema.names
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for block in _blocks(batches, width, bases):
+            hits, columns = visit(block)
+            ok, piece = block.whole(hits)
+            if not ok.any():
+                continue
+            piece, kept = piece[ok], np.flatnonzero(ok)
+            pos = hits[ok] - block.starts[piece] + block.froms[piece]
+            row = pa.array(block.rows[piece])
+            columns = [c.take(pa.array(kept)) if isinstance(c, pa.Array) else pa.array(c[kept]) for c in columns]
+            yield pa.RecordBatch.from_arrays([*(block.keys.column(i).take(row) for i in range(len(keys))), pa.array(pos), *columns], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _differences(block, pattern: str, hits=None):
+    """Mismatches of windows with a pattern that is not longer than they are."""
+    import numpy as np
+
+    n = len(block.symbols) - block.width + 1 if hits is None else len(hits)
+    total = np.zeros(n, np.uint8 if len(pattern) < 256 else np.int32)
+    for j, c in enumerate(pattern):
+        here = block.at(j) if hits is None else block.at(j)[hits]
+        total += here != ord(c)
+    return total
+
+
+def postings(df: DataFrame, id_col: str, k: int, seq_col: str = "seq", among: str | None = None) -> DataFrame:
+    """(id, pos, kmer) of every window, U read as T. among: only of windows that occur in this query."""
+    own = None if among is None else sorted(set(query_kmers(among, k)))
+
+    def visit(block):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(block.symbols) - k + 1
+        if own is None:
+            hits = np.arange(n)
+            return hits, [block.texts(hits)]
+        # by a hash of the windows first, then by their symbols
+        mix = lambda symbol: functools.reduce(lambda h, j: h * np.uint64(0x9E3779B97F4A7C15) + symbol(j).astype(np.uint64), range(k), np.uint64(0))
+        wanted = np.array([list(map(ord, x)) for x in own], np.uint64).reshape(len(own), k)
+        told = np.sort(np.atleast_1d(mix(lambda j: wanted[:, j])))
+        code = mix(block.at)
+        hits = np.flatnonzero(told[np.minimum(np.searchsorted(told, code), len(told) - 1)] == code) if own else np.arange(0)
+        texts = block.texts(hits)
+        same = pc.is_in(texts, value_set=pa.array(own, pa.string())).to_numpy(zero_copy_only=False)
+        return hits[same], [texts.take(pa.array(np.flatnonzero(same)))]
+
+    return scan(df, [id_col], S.dna(F.col(seq_col)), k, visit, "kmer string")
 
 
 def query_kmers(query: str, k: int) -> list[str]:
@@ -74,6 +224,109 @@ def jaccard(index: DataFrame, id_col: str, query: str, k: int) -> DataFrame:
     return sets.groupBy(id_col).agg((hit / (F.count("*") + len(own) - hit)).alias("jaccard"))
 
 
+def _distinct(batches, k: int):
+    """(id, k-mers, their counts, which of them are new to the id) of sequences that come in order of their ids.
+
+    K-mers are numbers of their ASCII codes, in order; those with other symbols are strings.
+    """
+    import collections
+
+    import numpy as np
+
+    last, seen, others = object(), np.empty(0, np.uint64), set()
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for row, start, symbols in _pieces(batch, k, BLOCK):
+            if type(ids[row]) is not type(last) or ids[row] != last:
+                last, seen, others = ids[row], np.empty(0, np.uint64), set()
+            n = len(symbols) - k + 1
+            code = np.zeros(n, np.uint64)
+            for j in range(k):
+                code <<= np.uint64(8)
+                code |= symbols[j : j + n].astype(np.uint64)
+            if symbols.dtype != np.uint8:
+                plain = np.lib.stride_tricks.sliding_window_view(symbols < 128, k).all(axis=1)
+                rest = collections.Counter(symbols[i : i + k].tobytes().decode("utf-32-le") for i in np.flatnonzero(~plain))
+                yield row, batch, list(rest), np.array(list(rest.values()), np.int64), np.array([x not in others for x in rest], bool)
+                others |= set(rest)
+                code = code[plain]
+            code, count = np.unique(code, return_counts=True)
+            new = ~np.isin(code, seen) if len(seen) else np.ones(len(code), bool)
+            yield row, batch, code, count, new
+            seen = np.union1d(seen, code) if len(seen) else code
+
+
+def _grouped(df: DataFrame, id_col: str, seq: Column) -> DataFrame:
+    """(id, seq), the rows of an id together in one task."""
+    n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    return df.select(id_col, seq.alias("__seq")).repartition(n, id_col).sortWithinPartitions(id_col)
+
+
+def kmer_counts(df: DataFrame, id_col: str, k: int, seq_col: str = "seq") -> DataFrame:
+    """(kmer, n, docs): windows of each k-mer, U read as T, and the ids that have it. They are counted where the sequences
+    are, so what is shuffled are sums of up to four million k-mers."""
+    if k > 8:
+        return postings(df, id_col, k, seq_col).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct(id_col).alias("docs"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def summed(held):
+            code, n, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(code)
+            code = code[order]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            return code[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+        def out(held):
+            code, n, docs = summed(held)
+            texts = _strings(code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - k :])
+            return pa.RecordBatch.from_arrays([texts, pa.array(n), pa.array(docs)], ["kmer", "n", "docs"])
+
+        held, size = [], 0
+        for row, batch, code, count, new in _distinct(batches, k):
+            known = batch.column(0)[row].is_valid
+            docs = (new & known).astype(np.int64)
+            if isinstance(code, list):
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.string()), pa.array(count), pa.array(docs)], ["kmer", "n", "docs"])
+                continue
+            held.append((code, count, docs))
+            size += len(code)
+            if size >= 4 * BLOCK:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size >= 2 * BLOCK:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    parts = _grouped(df, id_col, S.dna(F.col(seq_col))).mapInArrow(run, "kmer string, n long, docs long")
+    return parts.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def jaccard_of(df: DataFrame, id_col: str, query: str, k: int, seq_col: str = "seq") -> DataFrame:
+    """``jaccard`` of sequences instead of an index: distinct k-mers are counted where the sequences are."""
+    own = sorted(set(query_kmers(query, k)))
+    if k > 8 or not own or not all(x.isascii() for x in own):
+        return jaccard(postings(df, id_col, k, seq_col), id_col, query, k)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        codes = np.array([int.from_bytes(x.encode(), "big") for x in own], np.uint64)
+        for row, batch, code, _, new in _distinct(batches, k):
+            hit = 0 if isinstance(code, list) else np.count_nonzero(np.isin(code[new], codes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([np.count_nonzero(new)], pa.int64()), pa.array([hit], pa.int64())], [id_col, "n", "hit"])
+
+    rows = _grouped(df, id_col, S.dna(F.col(seq_col)))
+    counts = rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("n", T.LongType()), T.StructField("hit", T.LongType())]))
+    sums = counts.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
+    return sums.select(id_col, (F.col("hit") / (F.col("n") + len(own) - F.col("hit"))).alias("jaccard"))
+
+
 def jaccard_whole(index: DataFrame, query: str, k: int) -> DataFrame:
     """One row (jaccard): the query against all k-mers of the index as one set; 0 where the union is empty."""
     own = sorted(set(query_kmers(query, k)))
@@ -92,7 +345,8 @@ def shared_positions(index: DataFrame, id_col: str, query: str, k: int) -> DataF
     own = query_kmers(query, k)
     spark = index.sparkSession
     q = spark.createDataFrame([(i, x) for i, x in enumerate(own)], "qpos int, kmer string")
-    return index.select(id_col, "kmer").distinct().join(F.broadcast(q), "kmer").groupBy(id_col).agg(F.count("*").alias("shared"))
+    held = index.filter(F.col("kmer").isin(own))  # before anything is made distinct
+    return held.select(id_col, "kmer").distinct().join(F.broadcast(q), "kmer").groupBy(id_col).agg(F.count("*").alias("shared"))
 
 
 def window_density(index: DataFrame, id_col: str, query: str, k: int, width: int = 100, least: int = 1) -> DataFrame:
@@ -105,12 +359,17 @@ def window_density(index: DataFrame, id_col: str, query: str, k: int, width: int
 
 def locate_exact(df: DataFrame, id_col: str, pattern: str, seq_col: str = "seq") -> DataFrame:
     """(id, pos) of overlapping occurrences; symbols outside ACGTU of the text count as A, in a pattern give nothing."""
-    text = df.select(id_col, F.regexp_replace(S.dna(F.col(seq_col)), "[^ACGT]", "A").alias("seq"))
+    text = df.select(id_col, S.dna(F.col(seq_col)).alias("seq"))
     pattern = pattern.upper().replace("U", "T")
     if not pattern or set(pattern) - set("ACGT"):
         return text.select(id_col, F.lit(0).cast("long").alias("pos")).limit(0)
-    held = text.filter(F.col("seq").contains(pattern))
-    return sites(held, id_col, len(pattern), lambda seq, i: F.substring(seq, i, F.lit(len(pattern))) == pattern).select(id_col, "pos")
+
+    def visit(block):
+        import numpy as np
+
+        return np.flatnonzero(_differences(block, pattern) == 0), []
+
+    return scan(text, [id_col], F.col("seq"), len(pattern), visit, "", bases=True)
 
 
 def count_exact(df: DataFrame, id_col: str, pattern: str, seq_col: str = "seq") -> DataFrame:
@@ -124,16 +383,29 @@ def suffix_interval(df: DataFrame, id_col: str, pattern: str, seq_col: str = "se
     This is what backward search in a full-text index finds; here suffixes below and at the pattern are counted in one
     scan, by their first symbols. Ids without an occurrence, empty patterns and other symbols than ACGTU give nothing.
     """
-    text = df.select(id_col, F.regexp_replace(S.dna(F.col(seq_col)), "[^ACGT]", "A").alias("seq"))
+    text = df.select(id_col, S.dna(F.col(seq_col)).alias("seq"))
     pattern = pattern.upper().replace("U", "T")
     if not pattern or set(pattern) - set("ACGT"):
         return text.select(id_col, F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).limit(0)
     m = len(pattern)
-    chunks = chunk(text, id_col, "seq", CHUNK, m - 1)
-    head = lambda i: F.substring(F.col("seq"), i, F.lit(m))
-    places = F.when(F.length("seq") > 0, F.sequence(F.lit(1), F.least(F.length("seq"), F.lit(CHUNK)))).otherwise(F.array().cast("array<int>"))
-    count = lambda test: F.sum(F.size(F.filter(places, test)))
-    rows = chunks.groupBy(id_col).agg(count(lambda i: head(i) < pattern).alias("below"), count(lambda i: head(i) == pattern).alias("n"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for block in _blocks(batches, m, bases=True, pad=m - 1):  # a short suffix is below what it begins
+            below, same = (np.full(len(block.symbols) - m + 1, x) for x in (False, True))
+            for j, c in enumerate(pattern):
+                below |= same & (block.at(j) < ord(c))
+                same &= block.at(j) == ord(c)
+            count = lambda mask: np.bincount(piece[mask[hits]], minlength=len(block.rows)).astype(np.int64)  # noqa: E731, B023
+            hits = np.flatnonzero(below | same)
+            ok, piece = block.whole(hits)
+            hits, piece = hits[ok], piece[ok]
+            yield pa.RecordBatch.from_arrays([block.keys.column(0).take(pa.array(block.rows)), pa.array(count(below)), pa.array(count(same))], [id_col, "below", "n"])
+
+    counts = text.mapInArrow(run, T.StructType([text.schema[id_col], T.StructField("below", T.LongType()), T.StructField("n", T.LongType())]))
+    rows = counts.groupBy(id_col).agg(F.sum("below").alias("below"), F.sum("n").alias("n"))
     return rows.filter("n > 0").select(id_col, (F.col("below") + 1).alias("low"), (F.col("below") + 1 + F.col("n")).alias("high"))
 
 
@@ -176,35 +448,21 @@ def bwt(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFrame:
     return text.mapInArrow(run, f"`{id_col}` {kind}, bwt string")
 
 
-def hamming(a, pattern: str):
-    """Mismatches of a column of equal length with ``pattern``."""
-    total = F.lit(0)
-    for i, c in enumerate(pattern):
-        total = total + (F.substring(a, i + 1, 1) != c).cast("int")
-    return total
-
-
 def locate_approximate(df: DataFrame, id_col: str, pattern: str, mismatches: int, seq_col: str = "seq") -> DataFrame:
-    """(id, pos, mismatches) with at most so many substitutions.
-
-    By pigeonhole one of mismatches + 1 pieces of the pattern occurs unchanged; sequences without any piece are dropped
-    and windows are verified only where a piece fits.
-    """
-    text = df.select(id_col, F.regexp_replace(S.dna(F.col(seq_col)), "[^ACGT]", "A").alias("seq"))
+    """(id, pos, mismatches) with at most so many substitutions: every window is compared."""
+    text = df.select(id_col, S.dna(F.col(seq_col)).alias("seq"))
     pattern = pattern.upper().replace("U", "T")
-    n = len(pattern)
     if not pattern or set(pattern) - set("ACGT"):
         return text.select(id_col, F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("mismatches")).limit(0)
-    pieces = mismatches + 1
-    if n >= 2 * pieces:
-        cuts = [round(i * n / pieces) for i in range(pieces + 1)]
-        spans = list(zip(cuts, cuts[1:], strict=False))
-        text = text.filter(functools.reduce(operator.or_, (F.col("seq").contains(pattern[a:b]) for a, b in spans)))
-        w = sites(text, id_col, n, lambda seq, i: functools.reduce(operator.or_, (F.substring(seq, i + a, F.lit(b - a)) == pattern[a:b] for a, b in spans)))
-    else:
-        w = postings(text, id_col, n)
-    scored = w.withColumn("mismatches", hamming(F.col("kmer"), pattern).cast("long"))
-    return scored.filter(F.col("mismatches") <= mismatches).select(id_col, "pos", "mismatches")
+
+    def visit(block):
+        import numpy as np
+
+        found = _differences(block, pattern)
+        hits = np.flatnonzero(found <= mismatches)
+        return hits, [found[hits].astype(np.int64)]
+
+    return scan(text, [id_col], F.col("seq"), len(pattern), visit, "mismatches long", bases=True)
 
 
 def pam_sites(df: DataFrame, id_col: str, guide: str, mismatches: int, seq_col: str = "seq", weights: DataFrame | None = None) -> DataFrame:
@@ -215,15 +473,25 @@ def pam_sites(df: DataFrame, id_col: str, guide: str, mismatches: int, seq_col:
     """
     g = len(guide)
     guide = guide.upper().replace("U", "T")
-    text = df.select(id_col, S.dna(F.col(seq_col)).alias("f")).filter(F.length("f") >= g + 3)
-    # the reverse complement is made below the explode, once a row
-    both = text.select(id_col, F.length("f").alias("n"), F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("f").alias("seq")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("f")).alias("seq")))).alias("s")).select(id_col, "n", "s.strand", "s.seq")
     if not g:
         raise ValueError("an empty guide")
-    both = both.withColumn("key", F.struct(id_col, "n", "strand"))
-    w = sites(both.select("key", "seq"), "key", g + 3, lambda seq, i: F.substring(seq, i + g + 1, F.lit(2)).isin("GG", "AG"))
-    site = w.select("key.*", "pos", F.substring("kmer", 1, g).alias("protospacer"), F.substring("kmer", g + 1, 3).alias("pam"))
-    site = site.withColumn("mismatches", hamming(F.col("protospacer"), guide).cast("long")).filter(F.col("mismatches") <= mismatches)
+
+    def visit(block):
+        import numpy as np
+        import pyarrow as pa
+
+        other = _Block(block.keys, [], block.width, like=block)  # each window's reverse complement
+        out = []
+        for strand, b in (("+", block), ("-", other)):
+            hits = np.flatnonzero(((b.at(g + 1) == ord("G")) | (b.at(g + 1) == ord("A"))) & (b.at(g + 2) == ord("G")))
+            found = _differences(b, guide, hits)
+            few = found <= mismatches
+            out.append((hits[few], pa.array([strand] * np.count_nonzero(few), pa.string()), b.texts(hits[few]), found[few].astype(np.int64)))
+        hits, strand, texts, found = zip(*out, strict=True)
+        return np.concatenate(hits), [pa.concat_arrays(strand), pa.concat_arrays(texts), np.concatenate(found)]
+
+    w = scan(df, [id_col], S.dna(F.col(seq_col)), g + 3, visit, "strand string, kmer string, mismatches long")
+    site = w.select(id_col, "strand", "pos", F.substring("kmer", 1, g).alias("protospacer"), F.substring("kmer", g + 1, 3).alias("pam"), "mismatches")
     score = 100.0 * F.when(F.substring("pam", 2, 1) == "G", 1.0).otherwise(0.25)
     if weights is not None:
         w = {(r.position, r.dna): r.weight for r in weights.collect() if r.rna.upper().replace("U", "T") == guide[r.position]}  # at most 3 rows a position
@@ -233,8 +501,8 @@ def pam_sites(df: DataFrame, id_col: str, guide: str, mismatches: int, seq_col:
                 if p == i:
                     factor = F.when(F.substring("protospacer", i + 1, 1) == base, x).otherwise(factor)
             score = score * factor
-    pam_at = F.col("pos") + g
-    return site.select(id_col, "strand", F.when(F.col("strand") == "+", pam_at).otherwise(F.col("n") - pam_at).cast("long").alias("pos"), "protospacer", "pam", "mismatches", score.alias("score"))
+    # on the reverse strand the PAM ends where the window starts: the place after it, from the sequence's start, is told
+    return site.select(id_col, "strand", (F.col("pos") + F.when(F.col("strand") == "+", g).otherwise(3)).alias("pos"), "protospacer", "pam", "mismatches", score.alias("score"))
 
 
 def offtarget_report(sites: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -262,14 +530,21 @@ def audit_guides(df: DataFrame, id_col: str, guides: list[str], mismatches: int,
 
 def pwm_scan(df: DataFrame, id_col: str, matrix: list[dict[str, float]], threshold: float, seq_col: str = "seq") -> DataFrame:
     """(id, pos, score): windows whose summed log-odds reach ``threshold``; other symbols score 0."""
-    score = F.lit(0.0)
-    for i, column in enumerate(matrix):
-        symbol = F.substring("kmer", i + 1, 1)
-        part = F.lit(0.0)
-        for base, x in column.items():
-            part = F.when(symbol == base, F.lit(float(x))).otherwise(part)
-        score = score + part
-    return postings(df, id_col, len(matrix), seq_col).withColumn("score", score).filter(F.col("score") >= threshold).select(id_col, "pos", "score")
+
+    def visit(block):
+        import numpy as np
+
+        score = np.zeros(len(block.symbols) - block.width + 1)
+        for j, column in enumerate(matrix):
+            part = np.zeros(len(score))
+            for base, x in column.items():
+                if len(base) == 1:
+                    part[block.at(j) == ord(base)] = x
+            score += part
+        hits = np.flatnonzero(score >= threshold)
+        return hits, [score[hits]]
+
+    return scan(df, [id_col], S.dna(F.col(seq_col)), len(matrix), visit, "score double")
 
 
 def cpg_islands(df: DataFrame, id_col: str, seq_col: str = "seq", width: int = 200, step: int = 50, gc: float = 0.5, ratio: float = 0.6) -> DataFrame:

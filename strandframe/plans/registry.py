@@ -304,7 +304,7 @@ KMERS = f"(SELECT doc_id, unnest(range(0, greatest(length(s) - {{0}} + 1, 0))) A
 
 @query(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}) GROUP BY kmer")
 def kmer_postings(spark, d):
-    return kmers.postings(docs(spark, d), "doc_id", 6).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return kmers.kmer_counts(docs(spark, d), "doc_id", 6)
 
 
 PROBE_KMERS = f"(SELECT i, substring('{PROBE}', i + 1, 6) AS kmer FROM (SELECT unnest(range(0, {len(PROBE) - 5})) AS i))"
@@ -314,17 +314,17 @@ PROBE_KMERS = f"(SELECT i, substring('{PROBE}', i + 1, 6) AS kmer FROM (SELECT u
 WITH k AS (SELECT DISTINCT doc_id, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}), q AS (SELECT DISTINCT kmer FROM {PROBE_KMERS})
 SELECT doc_id, round(count(q.kmer) / (count(*) + (SELECT count(*) FROM q) - count(q.kmer)), 9) AS jaccard FROM k LEFT JOIN q ON k.kmer = q.kmer GROUP BY doc_id""")
 def kmer_jaccard(spark, d):
-    return kmers.jaccard(kmers.postings(docs(spark, d), "doc_id", 6), "doc_id", PROBE, 6).select("doc_id", F.round("jaccard", 9).alias("jaccard"))
+    return kmers.jaccard_of(docs(spark, d), "doc_id", PROBE, 6).select("doc_id", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query(f"SELECT doc_id, count(*) AS shared FROM (SELECT DISTINCT doc_id, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}) k JOIN {PROBE_KMERS} q ON k.kmer = q.kmer GROUP BY doc_id")
 def kmer_shared(spark, d):
-    return kmers.shared_positions(kmers.postings(docs(spark, d), "doc_id", 6), "doc_id", PROBE, 6)
+    return kmers.shared_positions(kmers.postings(docs(spark, d), "doc_id", 6, among=PROBE), "doc_id", PROBE, 6)
 
 
 @query(f"SELECT doc_id, pos // 100 * 100 AS \"window\", count(*) AS hits FROM (SELECT doc_id, pos, substring(s, pos + 1, 6) AS kmer FROM {KMERS.format(6)}) k JOIN {PROBE_KMERS} q ON k.kmer = q.kmer GROUP BY ALL HAVING count(*) >= 2")
 def kmer_window_density(spark, d):
-    return kmers.window_density(kmers.postings(docs(spark, d), "doc_id", 6), "doc_id", PROBE, 6, least=2)
+    return kmers.window_density(kmers.postings(docs(spark, d), "doc_id", 6, among=PROBE), "doc_id", PROBE, 6, least=2)
 
 
 FMS = f"(SELECT doc_id, unnest(range(0, greatest(length(s) - {{0}} + 1, 0))) AS pos, s FROM (SELECT doc_id, {FM} AS s FROM documents))"
